@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import oracles
+from .mixing import op5_weighted_mix
 from .sharding import op9_hash_tree_sharding
+from .simhash import op4_simhash_trie
 
 QUERIES = {
+    "op4_simhash_trie": op4_simhash_trie,
+    "op5_weighted_mix": op5_weighted_mix,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_weighted_mix": oracles.OP5,
+}
