@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracles
+from .bpe import op10_bpe_transducer
 from .mixing import op5_weighted_mix
 from .sharding import op9_hash_tree_sharding
 from .simhash import op4_simhash_trie
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_simhash_trie": op4_simhash_trie,
     "op5_weighted_mix": op5_weighted_mix,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
+    "op10_bpe_transducer": op10_bpe_transducer,
 }
 
 ORACLE_SQL: dict[str, str] = {
