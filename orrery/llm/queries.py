@@ -7,10 +7,12 @@ from .bpe import op10_bpe_transducer
 from .mixing import op5_weighted_mix
 from .sharding import op9_hash_tree_sharding
 from .simhash import op4_simhash_trie
+from .toxicity import op6_subword_toxicity
 
 QUERIES = {
     "op4_simhash_trie": op4_simhash_trie,
     "op5_weighted_mix": op5_weighted_mix,
+    "op6_subword_toxicity": op6_subword_toxicity,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
