@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from . import oracles
 from .bpe import op10_bpe_transducer
+from .chat import op7_prefix_target_chat
 from .mixing import op5_weighted_mix
 from .sharding import op9_hash_tree_sharding
 from .simhash import op4_simhash_trie
+from .topk import op3_segment_topk
 from .toxicity import op6_subword_toxicity
 
 QUERIES = {
+    "op3_segment_topk": op3_segment_topk,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_weighted_mix": op5_weighted_mix,
     "op6_subword_toxicity": op6_subword_toxicity,
+    "op7_prefix_target_chat": op7_prefix_target_chat,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_segment_topk": oracles.OP3,
     "op5_weighted_mix": oracles.OP5,
+    "op7_prefix_target_chat": oracles.OP7,
 }
