@@ -68,3 +68,20 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP1 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r AS (
+    SELECT vec_id AS node, vec_id AS seen FROM v
+    UNION
+    SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links,
+       coalesce(m.component_id, e.vec_id) AS component_id, coalesce(m.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) m ON m.node = e.vec_id
+"""

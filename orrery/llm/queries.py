@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .bpe import op10_bpe_transducer
 from .chat import op7_prefix_target_chat
+from .lattice import op1_e8_lattice
 from .mixing import op5_weighted_mix
 from .sharding import op9_hash_tree_sharding
 from .simhash import op4_simhash_trie
@@ -12,6 +13,7 @@ from .topk import op3_segment_topk
 from .toxicity import op6_subword_toxicity
 
 QUERIES = {
+    "op1_e8_lattice": op1_e8_lattice,
     "op3_segment_topk": op3_segment_topk,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_weighted_mix": op5_weighted_mix,
@@ -22,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_e8_lattice": oracles.OP1,
     "op3_segment_topk": oracles.OP3,
     "op5_weighted_mix": oracles.OP5,
     "op7_prefix_target_chat": oracles.OP7,
