@@ -7,12 +7,14 @@ from .bpe import op10_bpe_transducer
 from .chat import op7_prefix_target_chat
 from .lattice import op1_e8_lattice
 from .mixing import op5_weighted_mix
+from .pii import op2_bilstm_crf_pii
 from .sharding import op9_hash_tree_sharding
 from .simhash import op4_simhash_trie
 from .topk import op3_segment_topk
 from .toxicity import op6_subword_toxicity
 
 QUERIES = {
+    "op2_bilstm_crf_pii": op2_bilstm_crf_pii,
     "op1_e8_lattice": op1_e8_lattice,
     "op3_segment_topk": op3_segment_topk,
     "op4_simhash_trie": op4_simhash_trie,
