@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .bpe import op10_bpe_transducer
 from .chat import op7_prefix_target_chat
+from .html_text import op8_layout_html
 from .lattice import op1_e8_lattice
 from .mixing import op5_weighted_mix
 from .pii import op2_bilstm_crf_pii
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_weighted_mix": op5_weighted_mix,
     "op6_subword_toxicity": op6_subword_toxicity,
     "op7_prefix_target_chat": op7_prefix_target_chat,
+    "op8_layout_html": op8_layout_html,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
