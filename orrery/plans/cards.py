@@ -122,10 +122,10 @@ CARDS: dict[str, Card] = {
 
 
 def run_card(card: Card, spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """The card over the given business tables, bound as views of the session."""
-    for name in card.tables():
-        tables[name].createOrReplaceTempView(name)
-    return spark.sql(card.sql())
+    """The card over the given business tables. They are bound to this query alone, so tables of
+    the catalog keep their names."""
+    text = re.sub(r"\bgold_\w+", lambda m: "{" + m.group() + "}", card.sql())
+    return spark.sql(text, **{name: tables[name] for name in card.tables()})
 
 
 def on_test_tables(card: Card, spark: SparkSession, sf_dir: str) -> DataFrame:
