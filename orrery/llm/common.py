@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -82,6 +83,22 @@ def uniform(*parts: Column) -> Column:
     return (top + 0.5) / F.lit(float(1 << 53))
 
 
+def least_by_hash(df: DataFrame, rows: int, of: int, *parts: str) -> DataFrame:
+    """The rows of df, of which there are about so many, with the least hash of parts: a sample
+    of at most the given number that is the same on every run. Rows beyond a share of the hashes
+    that surely holds enough are dropped where they are read, so what is sorted doesn't grow with
+    the table."""
+    share = min(1.0, 4 * (rows + 16) / max(1, of))
+    draw = uniform(*[F.col(p) for p in parts])
+    return df.where(draw <= share).orderBy(draw, *parts).limit(rows)
+
+
+def worker_store() -> dict:
+    """A dictionary that lives as long as this Python worker, over all its tasks. (The package's
+    own modules don't: functions come to each task by value.)"""
+    return sys.__dict__.setdefault("_orrery_worker_store", {})
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null counts as empty."""
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]

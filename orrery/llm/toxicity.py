@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, pick, table
+from .common import append_columns, as_bytes, least_by_hash, pick, table
 
 #: The bound of the training sample: labelled texts of each class (clean, toxic), and bytes of a
 #: text in it; EDITED of each class are used a second time with misspelt words.
@@ -234,16 +234,17 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the labels of rows that aren't held out. The sample is bounded: per class the
-    TRAIN_TEXTS ids of least hash, texts of at most TRAIN_BYTES. Null ids, labels and texts are
-    left out; an id with both labels counts as toxic."""
-    known = pick(labels, doc_id=id_col, toxic=label_col).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    TRAIN_TEXTS ids of least hash, texts of at most TRAIN_BYTES. Null ids and texts and labels
+    other than 0 and 1 are left out; an id with both labels counts as toxic."""
+    known = pick(labels, doc_id=id_col, toxic=label_col).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = pick(docs, doc_id=id_col, text=text_col).where(F.octet_length("text") <= TRAIN_BYTES)
-    by_hash = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("toxic") == k).orderBy(by_hash, "doc_id").limit(TRAIN_TEXTS[k]) for k in (0, 1)]
-    # at most sum(TRAIN_TEXTS) ids
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id", "text"]).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    chosen = [least_by_hash(known.where(F.col("toxic") == k), TRAIN_TEXTS[k], counts.get(k, 0), "doc_id") for k in (0, 1)]
+    # at most sum(TRAIN_TEXTS) ids, and one text of each: the least, where an id has several
+    held = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = held.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([r.text for r in rows], [int(r.toxic) for r in rows])
 
 

@@ -6,7 +6,8 @@ from orrery.llm import bpe, pii, toxicity
 from tests.llm.test_simhash import plain_fingerprint, smallest_reachable
 
 
-def test_stages_equal_a_plain_version(spark, tmp_path):
+def test_stages_equal_a_plain_version(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "STEPS", 120)
     draw = random.Random(3)
     words = ["".join(draw.choices(["ta", "ren", "mi", "kol", "us", "ber"], k=draw.randint(1, 4))) for _ in range(300)]
     rows = []
@@ -64,7 +65,8 @@ def test_stages_equal_a_plain_version(spark, tmp_path):
     assert sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in out) == sorted(want)
 
 
-def test_no_documents(spark, tmp_path):
+def test_no_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "STEPS", 10)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
