@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -13,15 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, pick, table
+from .common import append_columns, pick, table, worker_store
 
-#: Determinised states, token pairs and encoded pieces that a worker keeps; made anew beyond it.
-MOST_STATES = 60_000
-MOST_PAIRS = 400_000
-MOST_PIECES = 200_000
+#: Determinised states, token pairs, encoded pieces and words that a worker keeps; made anew beyond it.
+MOST_STATES = 80_000
+MOST_PAIRS = 300_000
+MOST_PIECES = 80_000
+MOST_WORDS = 200_000
 LONGEST_PIECE = 64
+#: Bytes of a piece between looks at the number of states.
+CHECK_BYTES = 4096
 #: Nodes with no more tokens below them are looked through for one that a path can end in.
-FEW_BELOW = 12
+FEW_BELOW = 3
 #: Tokens that the decoder takes at a time.
 DECODE_CHUNK = 1 << 16
 
@@ -78,8 +82,8 @@ class Transducer:
                 if len(self.below[node]) <= FEW_BELOW:
                     self.below[node].append(rank)
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.live: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.ways: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
@@ -107,12 +111,13 @@ class Transducer:
         of one rank the left one comes first."""
         a, b = before, token
         a_until = b_until = 1 << 60
+        text, ranked, halves = self.bytes_of, self.ranks.get, self.halves
         while True:
-            together = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            together = ranked(text[a] + text[b])
             if together is not None and together < a_until and together <= b_until:
                 return False
-            a_made = self._halves(a) if len(self.bytes_of[a]) > 1 else None
-            b_made = self._halves(b) if len(self.bytes_of[b]) > 1 else None
+            a_made = halves[a] if a in halves else self._halves(a)
+            b_made = halves[b] if b in halves else self._halves(b)
             if a_made is None and b_made is None:
                 return True
             if b_made is None or (a_made is not None and a > b):
@@ -121,29 +126,26 @@ class Transducer:
                 b_until, b = b, b_made[0]
 
     def _fits(self, last: int, token: int) -> bool:
-        fits = self.pairs.get((last, token))
+        key = last << 32 | token
+        fits = self.pairs.get(key)
         if fits is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            fits = self.pairs[last, token] = self._reached(token) and (last < 0 or self._may_follow(last, token))
+            fits = self.pairs[key] = self._reached(token) and (last < 0 or self._may_follow(last, token))
         return fits
 
-    def _alive(self, last: int, node: int) -> bool:
-        """Whether a path at node can end in a token that may follow last. Paths that can't are
-        dropped, which lets tokens out sooner and makes states alike."""
-        key = last << 32 | node
-        alive = self.live.get(key)
-        if alive is None:
-            if len(self.live) >= MOST_PAIRS:
-                self.live.clear()
-            below = self.below[node]
-            alive = len(below) > FEW_BELOW
-            for token in () if alive else below:
-                if token != self.token_at.get(node) and self._fits(last, token):
-                    alive = True
-                    break
-            self.live[key] = alive
-        return alive
+    def _ways(self, last: int, node: int) -> int:
+        """What a path at node can do: twice (the token that ends there and may follow last, plus
+        1; else 0), plus 1 if it can go on to such a token. Paths that can do neither are dropped,
+        which lets tokens out sooner and makes states alike."""
+        here = self.token_at.get(node)
+        ends = here is not None and self._fits(last, here)
+        below = self.below[node]
+        goes_on = len(below) > FEW_BELOW or any(token != here and self._fits(last, token) for token in below)
+        if len(self.ways) >= MOST_PAIRS:
+            self.ways.clear()
+        ways = self.ways[last << 32 | node] = (here + 1 if ends else 0) << 1 | goes_on
+        return ways
 
     def _state(self, items: tuple, end: tuple | None = None) -> dict:
         state = self.states.get(items)
@@ -155,15 +157,18 @@ class Transducer:
         """Paths are (tokens not yet emitted, last token, node); the one at the root has ended
         where the bytes end."""
         paths, end = [], None
-        child, token_at, alive = self.child.get, self.token_at.get, self.live.get
+        child, known = self.child.get, self.ways.get
         for chain, last, node in state[_ITEMS]:
             to = child(node << 8 | byte)
             if to is None:
                 continue
-            lives = alive(last << 32 | to)
-            if lives or (lives is None and self._alive(last, to)):
+            ways = known(last << 32 | to)
+            if ways is None:
+                ways = self._ways(last, to)
+            if ways & 1:
                 paths.append((chain, last, to))
-            if end is None and (token := token_at(to)) is not None and self._fits(last, token):
+            if ways > 1 and end is None:
+                token = (ways >> 1) - 1
                 end = (*chain, token)
                 paths.append((end, token, 0))
         first = paths[0][0]
@@ -177,20 +182,33 @@ class Transducer:
         state[byte] = move = (first[:shared], self._state(tuple(paths), end[shared:]))
         return move
 
+    def _finish(self, state: dict, byte: int) -> tuple:
+        """What is left to emit if the piece ends with byte; no state is made for it."""
+        child, token_at = self.child.get, self.token_at.get
+        for chain, last, node in state[_ITEMS]:
+            to = child(node << 8 | byte)
+            if to is not None and (token := token_at(to)) is not None and self._fits(last, token):
+                return (*chain, token)
+        raise AssertionError("every piece has a tokenisation")
+
     def encode(self, piece: bytes, out: list[int]) -> None:
-        if len(self.states) > MOST_STATES:
-            self.reset()
-        state = self.start
-        for i, byte in enumerate(piece):
-            move = state.get(byte) or self._move(state, byte)
-            if move[0]:
-                out.extend(move[0])
-            state = move[1]
-            if not i & 4095 and len(self.states) > MOST_STATES:  # a very long piece: keep the state only
-                self.states = {}
-                state = self._state(state[_ITEMS])
-                self.start = self._state((((), -1, 0),))
-        out.extend(state[_END])
+        state, last = self.start, piece[-1]
+        for start in range(0, len(piece) - 1, CHECK_BYTES):
+            if len(self.states) > MOST_STATES:  # go on from the state that is reached
+                items = state[_ITEMS]
+                self.reset()
+                state = self._state(items)
+            for byte in piece[start : min(start + CHECK_BYTES, len(piece) - 1)]:
+                move = state.get(byte) or self._move(state, byte)
+                if move[0]:
+                    out.extend(move[0])
+                state = move[1]
+        move = state.get(last)
+        if move is None:
+            out.extend(self._finish(state, last))
+        else:
+            out.extend(move[0])
+            out.extend(move[1][_END])
 
 
 class Utf8Machine:
@@ -201,10 +219,10 @@ class Utf8Machine:
 
     def __init__(self, bytes_of: dict[int, bytes]) -> None:
         self.moves: dict[tuple[int, int], int] = {}
-        self.bytes_of = bytes_of
-        self.whole = np.zeros(max(bytes_of, default=0) + 1, dtype=bool)
+        self.texts = [b""] * (max(bytes_of, default=0) + 1)
         for token, text in bytes_of.items():
-            self.whole[token] = text.isascii() or self.run(0, text) == 0
+            self.texts[token] = text
+        self.whole = np.array([text.isascii() or self.run(0, text) == 0 for text in self.texts], dtype=bool)
 
     def step(self, state: int, byte: int) -> int:
         """The state after byte; -1 if it can't come here."""
@@ -226,7 +244,7 @@ class Utf8Machine:
     def token(self, state: int, token: int) -> int:
         known = self.moves.get((state, token))
         if known is None:
-            known = self.moves[state, token] = self.run(state, self.bytes_of[token])
+            known = self.moves[state, token] = self.run(state, self.texts[token])
         return known
 
 
@@ -238,27 +256,26 @@ class StreamDecoder:
         self.machine, self.state, self.held = machine, 0, b""
 
     def feed(self, tokens: np.ndarray) -> str:
-        machine, state, broken = self.machine, self.state, -1
-        complete = 0 if state else len(tokens)
-        at = -1
-        for k in np.flatnonzero(~machine.whole[tokens]).tolist():
-            if state > 0 and k != at + 1:  # a whole token came inside a character
-                state = 0
-            if state == 0:
-                broken = k
+        """The text that is complete with these tokens. What a character's bytes are spread over
+        begins after the last token that is whole by itself, so the machine runs from there."""
+        machine, n = self.machine, len(tokens)
+        if not n:
+            return ""
+        whole = machine.whole[tokens]
+        tail = n if whole[-1] else int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0
+        state = 0 if tail else self.state
+        complete = tail if state == 0 else -1
+        for k in range(tail, n):
             state = max(0, machine.token(state, int(tokens[k])))
-            at = k
-        if state > 0 and at != len(tokens) - 1:
-            state = 0
-        complete = len(tokens) if state == 0 else max(0, broken)
+            if state == 0:
+                complete = k + 1
         self.state = state
-        look = machine.bytes_of
-        ready = self.held + b"".join([look[t] for t in tokens[:complete].tolist()])
-        rest = b"".join([look[t] for t in tokens[complete:].tolist()])
-        if state > 0 and broken < 0:  # the character began in an earlier feed and goes on
-            self.held = ready + rest
+        texts = machine.texts
+        if complete < 0:  # the character began in an earlier feed and goes on
+            self.held += b"".join([texts[t] for t in tokens.tolist()])
             return ""
-        self.held = rest
+        ready = self.held + b"".join([texts[t] for t in tokens[:complete].tolist()])
+        self.held = b"".join([texts[t] for t in tokens[complete:].tolist()])
         return ready.decode("utf-8", "replace")
 
     def close(self) -> str:
@@ -275,6 +292,7 @@ PLAIN = ((r"\p{L}\p{N}", r"\w"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
+        self.by_words = r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|" in pattern
         # the library's white space is the Unicode property
         self.pieces = regex.compile(
             pattern.replace(r"\S", r"\P{White_Space}").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
@@ -285,29 +303,37 @@ class Tokenizer:
         self.transducer = Transducer(ranks)
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.machine = Utf8Machine(self.transducer.bytes_of)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _new(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
         token = self.ranks.get(raw)  # a piece that is a token is it, whether merges reach it or not
         if token is not None:
-            made = (token,)
-        elif (made := self.old.get(piece)) is None:
-            out: list[int] = []
-            self.transducer.encode(raw, out)
-            made = tuple(out)
+            return (token,)
+        out: list[int] = []
+        self.transducer.encode(raw, out)
+        return tuple(out)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        made = self.old.get(piece)
+        if made is None:
+            made = self._new(piece)
         if len(piece) <= LONGEST_PIECE:
             if len(self.young) >= MOST_PIECES:
                 self.old, self.young = self.young, {}
             self.young[piece] = made
         return made
 
-    def encode(self, text: str) -> list[int]:
+    def _split(self, text: str) -> list[str]:
+        return (self.pieces if self.plain is None or ODD.search(text) else self.plain).findall(text)
+
+    def _join(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         add, piece_of = out.extend, self._piece
         known = self.young.get
-        split = self.pieces if self.plain is None or ODD.search(text) else self.plain
-        for piece in split.findall(text):
+        for piece in pieces:
             made = known(piece)
             if made is None:
                 made = piece_of(piece)
@@ -315,6 +341,42 @@ class Tokenizer:
             add(made)
         return out
 
+    def _word(self, word: str) -> tuple[int, ...] | None:
+        """Tokens of a space and the word; None if the word isn't bounded by other than space."""
+        made = self.older.get(word)
+        if made is None:
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            pieces = self._split(" " + word)
+            if len(pieces) > 1:
+                made = tuple(self._join(pieces))
+            else:
+                made = self.young.get(pieces[0]) or self.old.get(pieces[0]) or self._new(pieces[0])
+        if len(word) <= LONGEST_PIECE:
+            if len(self.words) >= MOST_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = made
+        return made
+
+    def encode(self, text: str) -> list[int]:
+        """A space between two other characters always begins a piece (where the pattern lets one
+        space lead a piece), so texts are taken word by word; those with more white space, whole."""
+        head, *words = text.split(" ") if self.by_words else [text]
+        if not words or not head or head[-1].isspace():
+            return self._join(self._split(text))
+        out = self._join(self._split(head))
+        add = out.extend
+        known = self.words.get
+        for word in words:
+            made = known(word)
+            if made is None:
+                made = self._word(word)
+                if made is None:
+                    return self._join(self._split(text))
+                known = self.words.get
+            add(made)
+        return out
+
     def decode(self, tokens: np.ndarray, chunk: int = DECODE_CHUNK) -> Iterator[str]:
         stream = StreamDecoder(self.machine)
         for k in range(0, len(tokens), chunk):
@@ -322,10 +384,18 @@ class Tokenizer:
         yield stream.close()
 
 
-def _worker_tokenizer(held: dict, ranks: dict[bytes, int], pattern: str) -> Tokenizer:
-    if "tokenizer" not in held:
-        held["tokenizer"] = Tokenizer(ranks, pattern)
-    return held["tokenizer"]
+def _of_worker(kind: type, key: str, make):
+    """What an earlier task of this worker made under the same key, with all that it has learnt
+    since, or a new one; the last of each kind is kept."""
+    store = worker_store()
+    if store.get(kind.__name__, ("",))[0] != key:
+        store[kind.__name__] = key, make()
+    return store[kind.__name__][1]
+
+
+def _digest(ranks: dict[bytes, int], pattern: str = "") -> str:
+    text = pattern + "".join(f" {token.hex()}:{rank}" for token, rank in ranks.items())
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "tokens") -> DataFrame:
@@ -333,34 +403,33 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     column. Every match of pattern is encoded by itself; no special tokens. A null text counts as
     empty and has no tokens. path is read here, on the driver; the ranks are broadcast (their size
     is the vocabulary's)."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    read = read_ranks(path)
+    key, ranks = _digest(read, pattern), docs.sparkSession.sparkContext.broadcast(read)
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        tokenizer = _worker_tokenizer(held, ranks.value, pattern)
+        tokenizer = _of_worker(Tokenizer, key, lambda: Tokenizer(ranks.value, pattern))
         made = [np.array(tokenizer.encode(t or ""), dtype="<u4").tobytes() for t in texts.to_pylist()]
         return [pa.array(made, pa.binary())]
 
-    held: dict = {}
     return append_columns(docs, [text_col], run, [T.StructField(name, T.BinaryType())])
 
 
 def decode_tokens(df: DataFrame, path: str, tokens_col: str = "tokens", name: str = "decoded") -> DataFrame:
     """df with the text of each row's tokens; null tokens count as none."""
-    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    read = read_ranks(path)
+    key, ranks = _digest(read), df.sparkSession.sparkContext.broadcast(read)
 
     def run(column: pa.Array) -> list[pa.Array]:
-        if "machine" not in held:
-            held["machine"] = Utf8Machine({rank: token for token, rank in ranks.value.items()})
+        machine = _of_worker(Utf8Machine, key, lambda: Utf8Machine({rank: token for token, rank in ranks.value.items()}))
         made = []
         for raw in column.to_pylist():
-            stream, parts = StreamDecoder(held["machine"]), []
+            stream, parts = StreamDecoder(machine), []
             tokens = np.frombuffer(raw or b"", dtype="<u4")
             for k in range(0, len(tokens), DECODE_CHUNK):
                 parts.append(stream.feed(tokens[k : k + DECODE_CHUNK]))
             made.append("".join([*parts, stream.close()]))
         return [pa.array(made, pa.string())]
 
-    held: dict = {}
     return append_columns(df, [tokens_col], run, [T.StructField(name, T.StringType())])
 
 

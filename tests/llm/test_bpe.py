@@ -20,7 +20,7 @@ def texts(n, seed):
 
 
 def test_tokens_equal_the_library():
-    for text in [*texts(3000, 1), "", "a" * 5000, "ab" * 3000, " " * 4000, "\n" * 999 + "x", "the" * 3000]:
+    for text in [*texts(3000, 1), "", "a" * 5000, "ab" * 3000, " " * 4000, "\n" * 999 + "x", "the" * 3000, " a b", "a b ", "a  b c", "a\n b", "a \nb c", "it's 's b", "x \x1c y"]:
         assert OWN.encode(text) == LIBRARY.encode_ordinary(text)
 
 
@@ -28,6 +28,7 @@ def test_small_tables_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_STATES", 50)
     monkeypatch.setattr(bpe, "MOST_PAIRS", 20)
     monkeypatch.setattr(bpe, "MOST_PIECES", 3)
+    monkeypatch.setattr(bpe, "MOST_WORDS", 3)
     small = bpe.Tokenizer(RANKS, PATTERN)
     for text in [*texts(200, 2), "abracadabra" * 2000]:
         assert small.encode(text) == LIBRARY.encode_ordinary(text)
