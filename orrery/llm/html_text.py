@@ -253,29 +253,30 @@ class Page:
         self.flow = element.own = Flow()
         return self.flow
 
-    def _table_part(self, name: str, attributes: dict[str, str], hidden: bool) -> None:
+    def _table_part(self, name: str, attributes: dict[str, str]) -> None:
+        """Visibility comes from what the part is in once the cell or caption before it has ended."""
         if name == "table":
             if self.open and self.open[-1].name == "table":  # a table can't be directly in a table
                 self._pop()
             self.flow.gap()
-            self._push(Element(name, hidden, False))
+            self._push(Element(name, self._hidden(name, attributes), False))
             self.grids.append(Grid())
             return
         grid = self._to_table()
         if grid is None:
             return
-        table_hidden = self.open[-1].hidden
+        hidden = self._hidden(name, attributes)
         if name == "caption":
             grid.end_row()
-            self._inner(name, hidden or table_hidden)
+            self._inner(name, hidden)
         elif name in ("td", "th"):
             if not grid.in_row:
                 grid.rows.append([])
                 grid.in_row = True
             across = _number(attributes.get("colspan"), 1, 1000, 1)
             down = _number(attributes.get("rowspan"), 0, 65534, 1) or 65534
-            flow = self._inner(name, hidden or table_hidden)
-            if not (hidden and not table_hidden):
+            flow = self._inner(name, hidden)
+            if not hidden:
                 grid.cell = (across, down, flow)
         else:
             grid.end_row()
@@ -285,6 +286,15 @@ class Page:
 
     # Events.
 
+    def _hidden(self, name: str, attributes: dict[str, str]) -> bool:
+        """Whether an element that starts here is hidden, by itself or by what is open."""
+        around = self.open[-1] if self.open else None
+        if around is not None and (around.hidden or around.name == "details" and around.option == "closed" and name != "summary"):
+            return True
+        if name in UNSEEN or "hidden" in attributes and attributes["hidden"].lower() != "until-found":
+            return True
+        return bool(attributes.get("style") and _INVISIBLE.search(attributes["style"])) or name == "dialog" and "open" not in attributes
+
     def start(self, name: str, attributes: dict[str, str]) -> Element | None:
         around = self.open[-1] if self.open else None
         if name == "head" and around is not None and (around.name != "html" or self.flow.lines or self.flow.run):
@@ -306,15 +316,11 @@ class Page:
                         break
                     if element.name in BARRIERS or element.flow is not None:
                         break
-        around = self.open[-1] if self.open else None
-        hidden = (around.hidden if around else False) or name in UNSEEN or "hidden" in attributes and attributes["hidden"].lower() != "until-found"
-        hidden = hidden or bool(attributes.get("style") and _INVISIBLE.search(attributes["style"]))
-        hidden = hidden or name == "dialog" and "open" not in attributes
-        if around is not None and around.name == "details" and around.option == "closed" and name != "summary":
-            hidden = True
         if name in ("table", "caption", "tr", "td", "th", "tbody", "thead", "tfoot"):
-            self._table_part(name, attributes, hidden)
+            self._table_part(name, attributes)
             return None
+        around = self.open[-1] if self.open else None
+        hidden = self._hidden(name, attributes)
         if name == "br":
             if not hidden:
                 self.flow.end_line(force=not self.flow.blank)

@@ -77,3 +77,19 @@ def test_rows(spark):
     got = with_rendered(pages, name="text_").collect()
     assert sorted((str(r.page_id), len(r.text_)) for r in got) == [("1", 0), ("2", 0), ("2", 1), ("2", 1), ("None", 499_999)]
     assert with_rendered(pages.limit(0), name="text_").count() == 0
+
+
+HIDDEN_CELLS = [
+    ("<table><tr><td hidden>a<td>b</table>", "b"),
+    ("<table><tr><td><span hidden>x<td>b</table>", "b"),
+    ("<table><tr><td style='display:none'>a<th>b<td>c</table>", "b  c"),
+    ("<table><caption hidden>a<tr><td>b<caption>c</table>", "c\nb"),
+    ("<table><tr><td><p hidden>x<tr><td>b<tbody><tr><td>c</table>", "b\nc"),
+    ("<table hidden><tr><td>a<td>b</table>c", "c"),
+    ("<div hidden><table><tr><td>a</table></div>c", "c"),
+]
+
+
+@pytest.mark.parametrize("html, text", HIDDEN_CELLS)
+def test_a_hidden_cell_hides_no_other(html, text):
+    assert render(html) == text
