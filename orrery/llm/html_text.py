@@ -37,7 +37,8 @@ BARRIERS = (BLOCKS - {"address", "div", "p", "li", "dt", "dd", "optgroup"}) | {"
 _NAME = re.compile(r"[^\s/>]+")
 _ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?)?")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?(?=;|$)", re.I)
+_SHOWN = re.compile(r"[^ \t\n\f\r]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
@@ -111,7 +112,8 @@ class Grid:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
         self.caption: list[str] = []
         self.cell: tuple[int, int, Flow] | None = None
-        self.in_row = False
+        self.group: Element | None = None  # the open row group and row
+        self.row: Element | None = None
 
     def end_cell(self) -> None:
         if self.cell:
@@ -120,7 +122,16 @@ class Grid:
 
     def end_row(self) -> None:
         self.end_cell()
-        self.in_row = False
+        self.row = None
+
+    def end_group(self) -> None:
+        self.end_row()
+        self.group = None
+
+    def start_row(self, row: Element) -> None:
+        self.row = row
+        if not row.hidden or row.collapsed:
+            self.rows.append([])
 
     def lines(self) -> list[str]:
         placed, taken, widths = [], {}, {}  # taken: column to the rows that a cell above still holds
@@ -159,14 +170,28 @@ class Grid:
 
 
 class Element:
-    __slots__ = ("name", "hidden", "keep", "flow", "own", "count", "option")
+    """hidden: neither it nor what is in it shows; unseen: its own text doesn't but takes its room,
+    and what is in it may show; collapsed: a hidden row whose cells take their columns."""
 
-    def __init__(self, name: str, hidden: bool, keep: bool, flow: Flow | None = None) -> None:
-        self.name, self.hidden, self.keep, self.flow = name, hidden, keep, flow
+    __slots__ = ("name", "hidden", "unseen", "collapsed", "keep", "flow", "own", "count", "option")
+
+    def __init__(self, name: str, hidden: bool, unseen: bool, keep: bool = False, flow: Flow | None = None) -> None:
+        self.name, self.hidden, self.unseen, self.keep, self.flow = name, hidden, unseen, keep, flow
+        self.collapsed = False
         self.count: int | None = None  # of an ordered list
         self.option: str | None = None
 
 
+def _style(style: str) -> dict[str, str]:
+    """The properties of a style that decide on visibility; of several the last important one, else
+    the last, holds."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value, important in _VISIBILITY.findall(style):
+        if important or not found.get(name.lower(), (False, ""))[0]:
+            found[name.lower()] = (bool(important), value.lower())
+    return {name: value for name, (_, value) in found.items()}
+
+
 def _number(text: str | None, least: int, most: int, default: int) -> int:
     match = re.match(r"\s*\+?(-?[0-9]{1,9})", text or "")
     return min(most, max(least, int(match[1]))) if match else default
@@ -225,7 +250,7 @@ class Page:
 
     def _end_table(self) -> None:
         grid = self.grids.pop()
-        grid.end_row()
+        grid.end_group()
         lines = grid.lines()
         hidden = bool(self.open) and self.open[-1].hidden
         if lines and not hidden:
@@ -245,9 +270,9 @@ class Page:
         self.grids[-1].end_cell()
         return self.grids[-1]
 
-    def _inner(self, name: str, hidden: bool) -> Flow:
+    def _inner(self, element: Element) -> Flow:
         """Open a cell or caption with a flow of its own."""
-        element = Element(name, hidden, False, self.flow)
+        element.flow = self.flow
         self._push(element)
         self.scopes.append({})
         self.flow = element.own = Flow()
@@ -259,41 +284,55 @@ class Page:
             if self.open and self.open[-1].name == "table":  # a table can't be directly in a table
                 self._pop()
             self.flow.gap()
-            self._push(Element(name, self._hidden(name, attributes), False))
+            self._push(self._made(name, attributes, self.open[-1] if self.open else None))
             self.grids.append(Grid())
             return
         grid = self._to_table()
         if grid is None:
             return
-        hidden = self._hidden(name, attributes)
+        around = self.open[-1]
         if name == "caption":
-            grid.end_row()
-            self._inner(name, hidden)
+            grid.end_group()
+            self._inner(self._made(name, attributes, around))
         elif name in ("td", "th"):
-            if not grid.in_row:
-                grid.rows.append([])
-                grid.in_row = True
+            if grid.row is None:
+                grid.group = grid.group or self._made("tbody", {}, around)
+                grid.start_row(self._made("tr", {}, grid.group))
+            element = self._made(name, attributes, grid.row)
             across = _number(attributes.get("colspan"), 1, 1000, 1)
             down = _number(attributes.get("rowspan"), 0, 65534, 1) or 65534
-            flow = self._inner(name, hidden)
-            if not hidden:
+            flow = self._inner(element)
+            if not element.hidden or element.collapsed:
                 grid.cell = (across, down, flow)
-        else:
+        elif name == "tr":
             grid.end_row()
-            if name == "tr":
-                grid.rows.append([])
-                grid.in_row = True
+            grid.group = grid.group or self._made("tbody", {}, around)
+            grid.start_row(self._made(name, attributes, grid.group))
+        else:
+            grid.end_group()
+            grid.group = self._made(name, attributes, around)
 
     # Events.
 
-    def _hidden(self, name: str, attributes: dict[str, str]) -> bool:
-        """Whether an element that starts here is hidden, by itself or by what is open."""
-        around = self.open[-1] if self.open else None
-        if around is not None and (around.hidden or around.name == "details" and around.option == "closed" and name != "summary"):
-            return True
-        if name in UNSEEN or "hidden" in attributes and attributes["hidden"].lower() != "until-found":
-            return True
-        return bool(attributes.get("style") and _INVISIBLE.search(attributes["style"])) or name == "dialog" and "open" not in attributes
+    def _made(self, name: str, attributes: dict[str, str], around: Element | None) -> Element:
+        """An element in around (not yet open), with what shows of it."""
+        gone = name in UNSEEN or "hidden" in attributes and attributes["hidden"].lower() != "until-found"
+        gone = gone or name == "dialog" and "open" not in attributes
+        unseen = collapsed = inside = False  # inside: what is around is hidden
+        if around is not None:
+            inside = around.hidden or around.name == "details" and around.option == "closed" and name != "summary"
+            unseen, collapsed = around.unseen, around.collapsed
+        style = _style(attributes["style"]) if attributes.get("style") else {}
+        if style:
+            gone = gone or style.get("display") == "none" or style.get("content-visibility") == "hidden"
+            visibility = style.get("visibility")
+            if visibility == "collapse" and name in ("tr", "tbody", "thead", "tfoot"):
+                collapsed = collapsed or not inside
+            if visibility in ("hidden", "collapse", "visible", "initial"):
+                unseen = visibility in ("hidden", "collapse")
+        element = Element(name, inside or gone or collapsed, unseen)
+        element.collapsed = collapsed and not gone and name in ("tr", "tbody", "thead", "tfoot", "td", "th")
+        return element
 
     def start(self, name: str, attributes: dict[str, str]) -> Element | None:
         around = self.open[-1] if self.open else None
@@ -320,18 +359,19 @@ class Page:
             self._table_part(name, attributes)
             return None
         around = self.open[-1] if self.open else None
-        hidden = self._hidden(name, attributes)
+        element = self._made(name, attributes, around)
+        hidden = element.hidden
         if name == "br":
             if not hidden:
                 self.flow.end_line(force=not self.flow.blank)
             return None
         if name == "hr" and not hidden:
             self.flow.gap()
-        if name == "input" and not hidden and attributes.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "file", "password", "image", "color", "range"):
+        if name == "input" and not hidden and not element.unseen and attributes.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "file", "password", "image", "color", "range"):
             self.flow.text(attributes.get("value", ""), False)
         if name in VOID:
             return None
-        element = Element(name, hidden, name in KEEPS_SPACE or bool(around and around.keep and name not in BLOCKS))
+        element.keep = name in KEEPS_SPACE or bool(around and around.keep and name not in BLOCKS)
         if not hidden:
             nested = name in LISTS and self._is_open("li")
             if name in SPACED and not nested:
@@ -364,6 +404,8 @@ class Page:
                 marker = f"{owner.count}. "
                 owner.count = (owner.count or 0) + 1
             width = len(marker)
+            if element.unseen:
+                marker = None
         self.flow.prefixes.append([marker, " " * width])
 
     def end(self, name: str) -> None:
@@ -374,11 +416,16 @@ class Page:
             self._pop()
         elif name in ("table", "tr", "td", "th", "caption", "tbody", "thead", "tfoot"):
             if self.grids:
+                group = self.grids[-1].group
+                if name in ("tbody", "thead", "tfoot") and group is not None and group.name != name:
+                    return  # not the end of the open one
                 grid = self._to_table()
                 if name == "table":
                     self._pop()
-                elif name not in ("td", "th", "caption") and grid is not None:
+                elif name == "tr" and grid is not None:
                     grid.end_row()
+                elif name not in ("td", "th", "caption") and grid is not None:
+                    grid.end_group()
         elif name in HEADINGS:
             if any(self._is_open(h) for h in HEADINGS):
                 while self._pop().name not in HEADINGS:
@@ -396,7 +443,10 @@ class Page:
         keep = around is not None and around.keep
         if around is not None and around.name == "table" and text.isspace():
             return
-        self.flow.text(unescape(text) if "&" in text else text, keep)
+        text = unescape(text) if "&" in text else text
+        if around is not None and around.unseen:
+            text = _SHOWN.sub(" ", text)
+        self.flow.text(text, keep)
 
     def close(self) -> str:
         while self.open:

@@ -93,3 +93,28 @@ HIDDEN_CELLS = [
 @pytest.mark.parametrize("html, text", HIDDEN_CELLS)
 def test_a_hidden_cell_hides_no_other(html, text):
     assert render(html) == text
+
+
+VISIBILITY = [
+    ("<table><tr style='display:none'><td>a<td>b<tr><td>c</table>", "c"),
+    ("<table><tr hidden><td>a</td></tr><tr><td>c</table>", "c"),
+    ("<table><tbody hidden><tr><td>a<tr><td>b<tbody><tr><td>c</table>", "c"),
+    ("<table><thead style='display:none'><td>a</thead><td>b</table>", "b"),
+    ("<table><tbody hidden><tr><td>a</thead><td>b</tbody><tr><td>c</table>", "c"),
+    ("<table><tr hidden><td><table><tr><td>in</table><td>b<tr><td>c</table>", "c"),
+    ("<table><tr><td rowspan=2>a<td>b<tr hidden><td>x<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td rowspan=2>a<td>b<tr style='visibility:collapse'><td>x<tr><td>c</table>", "a  b\nc"),
+    ("<table><tr style='visibility:hidden'><td>a<td style='visibility:visible'>b<tr><td>cc<td>d</table>", "    b\ncc  d"),
+    ("<table><tr><td style='visibility:hidden'>a<td>b<tr><td>cc<td>d</table>", "    b\ncc  d"),
+    ("<table><tbody style='visibility:collapse'><tr><td>a<td style='visibility:visible'>b<tbody><tr><td>c</table>", "c"),
+    ("<div style='visibility:hidden'>a<p style='visibility:visible'>b</div>c", "b\n\nc"),
+    ("<div style='display:none'>a<p style='visibility:visible;display:block'>b</div>c", "c"),
+    ("a<span style='visibility:hidden'>x<b style='visibility: visible !important; visibility:hidden'>y</b></span> b", "a y b"),
+    ("<ol style='visibility:hidden'><li>a<li style='visibility:visible'>b</ol>", "2. b"),
+    ("<p style='display:none;display:block'>a<p style='visibility:hidden;content-visibility:hidden'>b<i style='visibility:visible'>c", "a"),
+]
+
+
+@pytest.mark.parametrize("html, text", VISIBILITY)
+def test_rows_and_groups_hide_and_visible_children_show(html, text):
+    assert render(html) == text
