@@ -173,13 +173,14 @@ class Element:
     """hidden: neither it nor what is in it shows; unseen: its own text doesn't but takes its room,
     and what is in it may show; collapsed: a hidden row whose cells take their columns."""
 
-    __slots__ = ("name", "hidden", "unseen", "collapsed", "keep", "flow", "own", "count", "option")
+    __slots__ = ("name", "hidden", "unseen", "collapsed", "keep", "flow", "own", "count", "option", "select", "outer", "rank", "shown")
 
     def __init__(self, name: str, hidden: bool, unseen: bool, keep: bool = False, flow: Flow | None = None) -> None:
         self.name, self.hidden, self.unseen, self.keep, self.flow = name, hidden, unseen, keep, flow
         self.collapsed = False
         self.count: int | None = None  # of an ordered list
         self.option: str | None = None
+        self.select: Element | None = None  # of an option
 
 
 def _style(style: str) -> dict[str, str]:
@@ -232,6 +233,11 @@ class Page:
                 self.flow.prefixes.pop()
             if name == "blockquote" and not element.hidden:
                 self.flow.gap()
+        elif name == "option" and element.select is not None:
+            self._end_option(element, element.select)
+        elif name == "select" and element.option == "one":
+            if element.shown:  # in a box of its own
+                self.flow.text(f" {element.shown} ", False)
         elif not element.hidden and name in BLOCKS:
             self.flow.gap() if name in SPACED else self.flow.end_line()
         return element
@@ -246,6 +252,31 @@ class Page:
     def _is_open(self, name: str) -> bool:
         return self.scopes[-1].get(name, 0) > 0
 
+    # Options.
+
+    def _start_option(self, element: Element, select: Element, attributes: dict[str, str]) -> None:
+        """Of a list every option shows in a line; of a closed one the last that is selected, else
+        the first that isn't disabled, else the first, even if it is hidden in the opened list."""
+        element.select = select
+        if select.option == "list":
+            if not element.hidden:
+                self.flow.end_line()
+            return
+        disabled = "disabled" in attributes or self.open[-1].name == "optgroup" and self.open[-1].option == "disabled"
+        element.rank = 3 if "selected" in attributes else 1 if disabled else 2
+        element.hidden, element.unseen = select.hidden, select.unseen
+        element.outer, self.flow = self.flow, Flow()
+
+    def _end_option(self, element: Element, select: Element) -> None:
+        if select.option == "list":
+            if not element.hidden:
+                self.flow.end_line()
+            return
+        lines = self.flow.done()
+        self.flow = element.outer
+        if element.rank > select.rank or element.rank == 3:
+            select.rank, select.shown = element.rank, " ".join(line.strip() for line in lines)
+
     # Tables.
 
     def _end_table(self) -> None:
@@ -384,11 +415,17 @@ class Page:
             element.option = "open" if "open" in attributes else "closed"
         if name in ("li", "dd", "blockquote"):
             self._indent(element, name, attributes)
+        if name == "select":
+            element.option = "list" if "multiple" in attributes or _number(attributes.get("size"), 0, 10**9, 0) > 1 else "one"
+            element.rank, element.shown = 0, ""
+            if element.option == "list" and not hidden:
+                self.flow.end_line()
+        if name == "optgroup" and "disabled" in attributes:
+            element.option = "disabled"
         if name == "option":
             select = next((e for e in reversed(self.open[-3:]) if e.name == "select"), None)
-            if select is not None:  # of a closed list the chosen option shows: here the first
-                element.hidden = hidden or select.option is not None
-                select.option = "shown"
+            if select is not None:
+                self._start_option(element, select, attributes)
         self._push(element)
         return element
 

@@ -118,3 +118,25 @@ VISIBILITY = [
 @pytest.mark.parametrize("html, text", VISIBILITY)
 def test_rows_and_groups_hide_and_visible_children_show(html, text):
     assert render(html) == text
+
+
+SELECTS = [
+    ("<select><option>1<option selected>2<option>3</select>", "2"),
+    ("<select><option selected>1<option selected>2<option>3</select>", "2"),
+    ("<select><option>1<option>2</select>", "1"),
+    ("<select><option disabled>1<optgroup disabled><option>2</optgroup><optgroup><option>3</select>", "3"),
+    ("<select><option disabled>1<option disabled>2</select>", "1"),
+    ("<select><option>1<option value='' disabled selected hidden>Choose &amp;lt;</select>", "Choose &lt;"),
+    ("a <select> <option>1</option> <option selected><b>t</b>wo</option> </select> b", "a two b"),
+    ("a<select multiple><option>1<option selected>2<option hidden>3<option>4</select>b", "a\n1\n2\n4\nb"),
+    ("<select size=2><option>1<option selected>2<optgroup><option>3</select>", "1\n2\n3"),
+    ("<select size=1><option>1<option selected>2</select>", "2"),
+    ("<select hidden><option>1<option selected>2</select>x<select style='visibility:hidden' multiple><option>1</select>", "x"),
+    ("<table><tr><td><select><option>1<option selected>2<td>b<tr><td><select multiple><option>3<option>4<td>c</table>", "2  b\n3  c\n4"),
+    ("<select><option>1<option selected>2", "2"),
+]
+
+
+@pytest.mark.parametrize("html, text", SELECTS)
+def test_the_options_that_show(html, text):
+    assert render(html) == text
