@@ -517,6 +517,7 @@ def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
 def render(html: str) -> str:
     """The visible text of a page, laid out in lines."""
     page, at, n = Page(), 0, len(html)
+    bang = -1  # the next "--!>" once a comment has looked for it; n: there is none
     while at < n:
         tag = html.find("<", at)
         if tag < 0:
@@ -535,8 +536,11 @@ def render(html: str) -> str:
             if html.startswith((">", "->"), tag + 4):
                 at = html.index(">", tag + 4) + 1
                 continue
-            ends = [e + k for e, k in ((html.find("-->", tag + 4), 3), (html.find("--!>", tag + 4, tag + 4 + (1 << 16)), 4)) if e >= 0]
-            at = min(ends, default=n)
+            if bang < tag + 4:
+                bang = html.find("--!>", tag + 4)
+                bang = n if bang < 0 else bang
+            end = html.find("-->", tag + 4, bang)  # no further than needed, so that time stays linear
+            at = end + 3 if end >= 0 else min(n, bang + 4)
             continue
         closing = after == "/"
         name_at = tag + 1 + closing

@@ -140,3 +140,13 @@ SELECTS = [
 @pytest.mark.parametrize("html, text", SELECTS)
 def test_the_options_that_show(html, text):
     assert render(html) == text
+
+
+def test_comments_of_any_length():
+    long = "c " * 40_000
+    assert render(f"a<!--{long}--!>b<p>c") == "ab\n\nc"
+    assert render(f"a<!--{long}--!>b<!-- d -->c") == "abc"
+    assert render(f"a<!--{long}-->b<!----!>c<!--x--!>d<!--{long}--!>e<!--> f <!-- g") == "abcde f"
+    assert render(f"a<!--{long}") == "a" and render("a<!--{long}-->b<!--c--!") == "ab"
+    for many in ("<!--a--!>" * 200_000, "<!--a-->" * 200_000 + "<!--b--!>", "<!--a-->x" * 200_000):  # linear: well under a second each
+        render(many + "y")
