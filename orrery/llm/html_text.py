@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from .common import append_columns, pick, table
 
-#: Cells are padded to their column's widest, but no further than this: one very long cell would
-#: else make every row of its table as long.
-MOST_PADDING = 60
+#: Cells are padded to their column's widest as long as a table's padding stays within so many times
+#: its text; beyond that the widest columns are padded only as far as fits, but up to PADDED at
+#: least: one very long cell would else make every row of its table as long.
+MOST_PADDING = 8
+PADDED = 60
 GAP = "  "
 
 # The classes of elements in the HTML standard that matter to text and its layout.
@@ -133,27 +135,50 @@ class Grid:
         if not row.hidden or row.collapsed:
             self.rows.append([])
 
+    @staticmethod
+    def _most(widths: dict[int, int], ends: dict[int, int], room: int) -> int:
+        """The width up to which all columns can be padded within room: a column costs its width
+        in each line that goes on after it."""
+        beyond, lines = [], 0
+        for c in sorted(widths, reverse=True):
+            beyond.append((widths[c], lines))
+            lines += ends.get(c, 0)
+        over = sum(n for _, n in beyond)
+        for width, n in sorted(beyond):
+            if width * over > room:
+                return max(PADDED, room // over)
+            room -= width * n
+            over -= n
+        return max(widths.values(), default=0)
+
     def lines(self) -> list[str]:
         placed, taken, widths = [], {}, {}  # taken: column to the rows that a cell above still holds
+        size, ends = 0, {}  # of the text without spaces; last column to the number of lines
         for cells in self.rows:
-            column, row = 0, []
+            column, row, last = 0, [], {}
             for across, down, lines in cells:
                 while taken.get(column, 0) > 0:
                     column += 1
                 row.append((column, lines))
-                width = min(MOST_PADDING, max(map(len, lines), default=0))
                 if across == 1:
-                    widths[column] = max(widths.get(column, 0), width)
+                    widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
+                for k, line in enumerate(lines):
+                    if line:
+                        size += len(line) - line.count(" ")
+                        last[k] = column
                 for c in range(column, column + across):
                     taken[c] = max(taken.get(c, 0), down)
                     widths.setdefault(c, 0)
                 column += across
             placed.append(row)
+            for c in last.values():
+                ends[c] = ends.get(c, 0) + 1
             taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        most = self._most(widths, ends, MOST_PADDING * size)
         offsets, at = {}, 0
         for c in sorted(widths):
             offsets[c] = at
-            at += widths[c] + len(GAP) if widths[c] else 0
+            at += min(most, widths[c]) + len(GAP) if widths[c] else 0
         out = list(self.caption)
         for row in placed:
             for k in range(max((len(lines) for _, lines in row), default=0)):

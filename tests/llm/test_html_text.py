@@ -150,3 +150,16 @@ def test_comments_of_any_length():
     assert render(f"a<!--{long}") == "a" and render("a<!--{long}-->b<!--c--!") == "ab"
     for many in ("<!--a--!>" * 200_000, "<!--a-->" * 200_000 + "<!--b--!>", "<!--a-->x" * 200_000):  # linear: well under a second each
         render(many + "y")
+
+
+def test_columns_with_long_cells_are_aligned():
+    long = "x" * 100
+    assert render(f"<table><tr><td>{long}<td>b<td>c<tr><td>a<td>bb<td>d</table>") == f"{long}  b   c\na{' ' * 101}bb  d"
+    rows = "".join(f"<tr><td>row {k}<td>{'word ' * (4 + k % 30)}<td>{k}" for k in range(100))
+    lines = render(f"<table>{rows}</table>").split("\n")
+    assert len({line.rindex(" ") for line in lines}) == 1 and len(lines) == 100
+    html = f"<table><tr><td>{'x' * 100_000}<td>b" + "<tr><td>a<td>b" * 5000 + "</table>"  # too long to pad all rows
+    first, *lines = render(html).split("\n")
+    assert first == "x" * 100_000 + "  b" and len(set(lines)) == 1 and 60 < len(lines[0]) < 200
+    wide = render("<table>" + f"<tr><td>{'y' * 3000}" * 3 + "<tr>" + "<td>a" * 500 + "</table>")
+    assert len(wide) < 20_000 and wide.split("\n")[-1].split() == ["a"] * 500
