@@ -198,7 +198,7 @@ class Element:
     """hidden: neither it nor what is in it shows; unseen: its own text doesn't but takes its room,
     and what is in it may show; collapsed: a hidden row whose cells take their columns."""
 
-    __slots__ = ("name", "hidden", "unseen", "collapsed", "keep", "flow", "own", "count", "option", "select", "outer", "rank", "shown")
+    __slots__ = ("name", "hidden", "unseen", "collapsed", "keep", "flow", "own", "count", "option", "select", "outer", "rank", "chosen", "shown")
 
     def __init__(self, name: str, hidden: bool, unseen: bool, keep: bool = False, flow: Flow | None = None) -> None:
         self.name, self.hidden, self.unseen, self.keep, self.flow = name, hidden, unseen, keep, flow
@@ -232,12 +232,18 @@ class Page:
         self.open: list[Element] = []
         self.scopes: list[dict[str, int]] = [{}]  # names open since the last table cell or caption
         self.grids: list[Grid] = []
+        self.lists: list[Element] = []  # the open lists and selects, innermost last
+        self.selects: list[Element] = []
 
     # Elements.
 
     def _push(self, element: Element) -> None:
         self.open.append(element)
         self.scopes[-1][element.name] = self.scopes[-1].get(element.name, 0) + 1
+        if element.name in LISTS:
+            self.lists.append(element)
+        elif element.name == "select":
+            self.selects.append(element)
 
     def _pop(self) -> Element:
         element = self.open.pop()
@@ -246,6 +252,10 @@ class Page:
             self.scopes.pop()
             self.flow = element.flow
         self.scopes[-1][name] -= 1
+        if name in LISTS:
+            self.lists.pop()
+        elif name == "select":
+            self.selects.pop()
         if name == "table":
             self._end_table()
         elif name in LISTS and not element.hidden:
@@ -288,7 +298,9 @@ class Page:
                 self.flow.end_line()
             return
         disabled = "disabled" in attributes or self.open[-1].name == "optgroup" and self.open[-1].option == "disabled"
-        element.rank = 3 if "selected" in attributes else 1 if disabled else 2
+        rank = 3 if "selected" in attributes else 1 if disabled else 2
+        if rank > select.rank or rank == 3:
+            select.rank, select.chosen = rank, element
         element.hidden, element.unseen = select.hidden, select.unseen
         element.outer, self.flow = self.flow, Flow()
 
@@ -299,8 +311,8 @@ class Page:
             return
         lines = self.flow.done()
         self.flow = element.outer
-        if element.rank > select.rank or element.rank == 3:
-            select.rank, select.shown = element.rank, " ".join(line.strip() for line in lines)
+        if select.chosen is element:
+            select.shown = " ".join(line.strip() for line in lines)
 
     # Tables.
 
@@ -442,15 +454,13 @@ class Page:
             self._indent(element, name, attributes)
         if name == "select":
             element.option = "list" if "multiple" in attributes or _number(attributes.get("size"), 0, 10**9, 0) > 1 else "one"
-            element.rank, element.shown = 0, ""
+            element.rank, element.chosen, element.shown = 0, None, ""
             if element.option == "list" and not hidden:
                 self.flow.end_line()
         if name == "optgroup" and "disabled" in attributes:
             element.option = "disabled"
-        if name == "option":
-            select = next((e for e in reversed(self.open[-3:]) if e.name == "select"), None)
-            if select is not None:
-                self._start_option(element, select, attributes)
+        if name == "option" and self.selects:
+            self._start_option(element, self.selects[-1], attributes)
         self._push(element)
         return element
 
@@ -458,7 +468,7 @@ class Page:
         marker: str | None = None
         width = 4
         if name == "li":
-            owner = next((e for e in reversed(self.open[-8:]) if e.name in LISTS), None)
+            owner = self.lists[-1] if self.lists else None
             marker = "- "
             if owner is not None and owner.name == "ol":
                 if "value" in attributes:

@@ -163,3 +163,14 @@ def test_columns_with_long_cells_are_aligned():
     assert first == "x" * 100_000 + "  b" and len(set(lines)) == 1 and 60 < len(lines[0]) < 200
     wide = render("<table>" + f"<tr><td>{'y' * 3000}" * 3 + "<tr>" + "<td>a" * 500 + "</table>")
     assert len(wide) < 20_000 and wide.split("\n")[-1].split() == ["a"] * 500
+
+
+def test_lists_and_selects_are_found_at_any_depth():
+    deep, shut = "<div>" * 9 + "<b>" * 3, "</b>" * 3 + "</div>" * 9
+    assert render(f"<ol start=4><li>a{deep}<li>b{shut}<li>c</ol>").split() == ["4.", "a", "5.", "b", "6.", "c"]
+    assert render(f"<ol>{deep}<li>a</li><li>b</li>{shut}<li>c</ol>").split() == ["1.", "a", "2.", "b", "3.", "c"]
+    assert render(f"<ul>{deep}<ol><li>a</ol><li>b{shut}</ul><li>c").split() == ["1.", "a", "-", "b", "-", "c"]
+    wrapped = "<optgroup><i><b><u>"
+    assert render(f"<select>{wrapped}<option>1<option selected>2<option>3</select>x") == "2 x"
+    assert render(f"<select>{wrapped}<option>1</option><option>2</select><select multiple>{wrapped}<option>3<option>4</select>").split() == ["1", "3", "4"]
+    assert render("<select><option>1<section><option>2</select>") == "1"
