@@ -195,9 +195,9 @@ class Transducer:
         state, last = self.start, piece[-1]
         for start in range(0, len(piece) - 1, CHECK_BYTES):
             if len(self.states) > MOST_STATES:  # go on from the state that is reached
-                items = state[_ITEMS]
+                items, end = state[_ITEMS], state[_END]
                 self.reset()
-                state = self._state(items)
+                state = self._state(items, end)
             for byte in piece[start : min(start + CHECK_BYTES, len(piece) - 1)]:
                 move = state.get(byte) or self._move(state, byte)
                 if move[0]:

@@ -71,3 +71,20 @@ def test_documents(spark):
         want.append((doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert bpe.token_digests(docs.limit(0), PATH, PATTERN).count() == 0
+
+
+def test_a_piece_may_end_where_the_states_were_made_anew(monkeypatch):
+    draw = random.Random(8)
+    monkeypatch.setattr(bpe, "CHECK_BYTES", 8)
+    for _ in range(50):
+        machine = bpe.Transducer(RANKS)
+        piece = bytes(draw.choices(b"etaoin", k=12))
+        out = []
+        with monkeypatch.context() as small:
+            small.setattr(bpe, "MOST_STATES", 2)
+            machine.encode(piece, out)
+        assert out == bpe.merge_by_rank(piece, RANKS)
+        for end in (9, 8, 10, 12):
+            out = []
+            machine.encode(piece[:end], out)
+            assert out == bpe.merge_by_rank(piece[:end], RANKS)
