@@ -1,6 +1,10 @@
 """From raw documents to training tokens: toxic documents go, one document of each group of near
 duplicates stays, personal data is masked, sources are mixed to their weights, and the mix is
-encoded. Each stage works on all that the one before it kept."""
+encoded. Each stage works on all that the one before it kept.
+
+The mix meets its targets to the word, so of each source up to one text, the one in which its
+budget ends, is partial: its first words only are passed on and encoded, in place of the whole
+text or besides whole copies of it. With many small sources that is a great share of the texts."""
 
 from __future__ import annotations
 
