@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
@@ -39,10 +41,19 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """Use the shared folder that the session names in spark.checkpoint.dir. Where none is set, a
+    folder of our own serves a local session (tests), whose driver and executor are one process;
+    on a cluster it would be out of the executors' reach, so that is refused."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="orrery-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,21 +73,35 @@ def arrow_map(
 
 
 def append_columns(
-    df: DataFrame, inputs: Sequence[str], function: Callable[..., Sequence[pa.Array]], fields: Sequence[T.StructField]
+    df: DataFrame,
+    inputs: Sequence[str],
+    function: Callable[..., Sequence[pa.Array]],
+    fields: Sequence[T.StructField],
+    drop: Sequence[str] = (),
 ) -> DataFrame:
-    """df with the columns that function(*input arrays) returns for every batch."""
+    """df with the columns that function(*input arrays) returns for every batch; the columns named
+    in drop don't come back from the worker."""
     where = [df.columns.index(name) for name in inputs]
-    schema = T.StructType([*df.schema.fields, *fields])
+    keep = [i for i, name in enumerate(df.columns) if name not in drop]
+    schema = T.StructType([*(df.schema.fields[i] for i in keep), *fields])
     names = [field.name for field in schema.fields]
 
     def run(batches):
         for batch in batches:
             made = function(*[batch.column(i) for i in where])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=names)
 
     return arrow_map(df, run, schema)
 
 
+def replace_column(df: DataFrame, name: str, function: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """df with function(its array) in the place of a string column, whatever the others' names."""
+    names, at = df.columns, df.columns.index(name)
+    flat = df.toDF(*[f"c{i}" for i in range(len(names))])
+    made = append_columns(flat, [f"c{at}"], lambda a: [function(a)], [T.StructField("made", T.StringType())], [f"c{at}"])
+    return made.select(*["made" if i == at else f"c{i}" for i in range(len(names))]).toDF(*names)
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) drawn from the hash of parts; the same on every run."""
     top = F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")
