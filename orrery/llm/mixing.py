@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import append_columns, arrow_map, as_bytes, cut, pick, table
+from .common import append_columns, as_bytes, cut, pick, table
 
 #: Ranges of the sampling key in each source; only the range that the budget ends in is sorted.
 KEY_RANGES = 4096
@@ -82,6 +81,58 @@ def targets(by_source: DataFrame, weights: Sequence[int], max_epochs: int = MAX_
     return src.select("_source", "_words", whole.cast("double").alias("_target"), F.coalesce(words, F.lit(0)).cast("long").alias("_due"))
 
 
+def ends(small: DataFrame, weights: Sequence[int], max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """For each source (_at): its words, target, whole epochs, and the document in which the rest
+    of its words ends: where it stands in the order (_end: key, id, tie), the words that it and
+    rows equal to it have to give (_room) and how many such rows there are (_equal). A source that
+    has no rest has no such document. small: _id, _source and the drawn columns."""
+    sums = small.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
+    due = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("_words")), weights, max_epochs)
+    epochs = F.least(F.coalesce(F.expr("_due div nullif(_words, 0)"), F.lit(0)), F.lit(max_epochs)).cast("long")
+    due = due.withColumn("_epochs", epochs).withColumn("_rest", F.col("_due") - F.col("_epochs") * F.col("_words"))
+    due = due.withColumnRenamed("_source", "_at")
+    running = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(running), F.lit(0)))
+    same = F.col("_source").eqNullSafe(F.col("_at"))
+    ending = sums.join(due.select("_at", "_rest"), same).where("_before < _rest AND _rest <= _before + _sum")
+    ending = ending.select("_at", F.col("_range").alias("_last"), (F.col("_rest") - F.col("_before")).alias("_left"))
+    # equal rows are one in what is sorted
+    inside = small.join(ending, same & (F.col("_range") == F.col("_last")))
+    inside = inside.groupBy("_at", "_key", "_id", "_tie", "_size", "_left").agg(F.count("*").alias("_equal"))
+    order = Window.partitionBy("_at").orderBy("_key", "_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_room", F.col("_left") - F.coalesce(F.sum(F.col("_equal") * F.col("_size")).over(order), F.lit(0)))
+    end = inside.where("0 < _room AND _room <= _equal * _size")
+    end = end.select(F.col("_at").alias("_of"), F.struct("_key", "_id", "_tie").alias("_end"), "_room", "_equal")
+    return due.join(end, F.col("_at").eqNullSafe(F.col("_of")), "left").select(
+        "_at", F.col("_words").alias("_source_size"), "_target", "_epochs", "_end", "_room", "_equal"
+    )
+
+
+def take(drawn: DataFrame, due: DataFrame) -> DataFrame:
+    """drawn (_id, _source and the drawn columns, besides others) with _source_size, _target and
+    _taken. Where the document in which a source ends has equals, these are numbered: so many are
+    taken whole, one in part, and the others not."""
+    due = F.broadcast(due) if due.count() <= BROADCAST_SOURCES else due
+    joined = drawn.join(due, F.col("_source").eqNullSafe(F.col("_at")))
+    here = F.struct("_key", "_id", "_tie")
+    part = F.when(here < F.col("_end"), F.col("_size")).when(here == F.col("_end"), F.least("_room", "_size")).otherwise(F.lit(0))
+    out = joined.withColumn("_part", part)
+    if not due.where("_equal > 1").isEmpty():
+        several = F.coalesce((here == F.col("_end")) & (F.col("_equal") > 1), F.lit(False))
+        number = F.row_number().over(Window.partitionBy("_at").orderBy("_key")) - 1
+        numbered = joined.where(several).withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("_room") - number * F.col("_size"))))
+        out = out.where(~several).unionByName(numbered)
+    taken = (F.col("_epochs") * F.col("_size") + F.col("_part")).cast("long").alias("_taken")
+    return out.select(*drawn.columns, "_source_size", "_target", taken)
+
+
+def drawn_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """_id, _source and the drawn columns of every row, without its text; kept, as the sums, the
+    order inside the last ranges and the result all start from them."""
+    few = pick(docs, _id=id_col, _text=text_col, _source=source_col)
+    return cut(append_columns(few, ["_id", "_text"], draw, DRAWN, drop=["_text"]))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (1, 2, 3),
@@ -97,44 +148,36 @@ def mix(
     part (its first words). Keys are exponential draws divided by the document's quality, drawn
     from the id, so reruns agree. Documents are summed by source and range of the key (combined
     map-side); only the one range per source in which the budget ends is sorted, so a source with
-    a great share of all rows doesn't meet in one task. The texts stay where they are.
+    a great share of all rows doesn't meet in one task. The texts stay where they are: they are
+    read once to draw and once more to be handed on with what is taken of them.
 
     Null texts have size 0; a null source is a source of its own, last in order; equal keys are
     ordered by id and text, and equal rows are interchangeable. No rows in, no rows out. Other
     columns, whatever their names, pass through in front.
     """
     width = len(docs.columns)
-    id_at, text_at, source_at = (docs.columns.index(c) for c in (id_col, text_col, source_col))
+    due = cut(ends(drawn_rows(docs, id_col, text_col, source_col), weights, max_epochs))
     flat = docs.toDF(*[f"c{i}" for i in range(width)])
-    drawn = append_columns(flat, [f"c{id_at}", f"c{text_at}"], draw, DRAWN)
-    few = pick(docs, _id=id_col, _text=text_col, _source=source_col)
-    sums = append_columns(few, ["_id", "_text"], draw, DRAWN).groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
-    due = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("_words")), weights, max_epochs)
-    running = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(running), F.lit(0)))
-    same = F.col("s._source").eqNullSafe(F.col("d._source"))
-    epochs = F.least(F.coalesce(F.expr("_due div nullif(_words, 0)"), F.lit(0)), F.lit(max_epochs)).cast("long")
-    due = due.withColumn("_epochs", epochs).withColumn("_rest", F.col("_due") - F.col("_epochs") * F.col("_words"))
-    last = (
-        sums.alias("s").join(due.alias("d"), same).where("_before < _rest")
-        .groupBy(F.col("d._source").alias("_source")).agg(F.max(F.struct("_range", "_before")).alias("_end"))
-    )
-    due = due.alias("d").join(last.alias("s"), same, "left").select(
-        F.col("d._source").alias("_at"), F.col("_words").alias("_source_size"), "_target", "_epochs", "_rest",
-        F.coalesce("_end._range", F.lit(-1)).alias("_end_range"), F.coalesce("_end._before", F.lit(0)).alias("_end_before"),
-    )
-    due = cut(due)
-    due = F.broadcast(due) if due.count() <= BROADCAST_SOURCES else due
-    joined = drawn.join(due, F.col(f"c{source_at}").eqNullSafe(F.col("_at")))
-    inner = joined.where("_range <> _end_range").withColumn(
-        "_part", F.when(F.col("_range") < F.col("_end_range"), F.col("_size")).otherwise(F.lit(0))
-    )
-    order = Window.partitionBy(f"c{source_at}").orderBy("_key", f"c{id_at}", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.col("_rest") - F.col("_end_before") - F.coalesce(F.sum("_size").over(order), F.lit(0))
-    ending = joined.where("_range = _end_range").withColumn("_part", F.greatest(F.lit(0), F.least("_size", room)))
-    taken = (F.col("_epochs") * F.col("_size") + F.col("_part")).cast("long").alias("_taken")
-    out = inner.unionByName(ending).select(*[f"c{i}" for i in range(width)], "_size", "_source_size", "_target", taken)
-    return out.toDF(*docs.columns, "_size", "_source_size", "_target", "_taken")
+    id_at, text_at, source_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    drawn = append_columns(flat, [id_at, text_at], draw, DRAWN)
+    found = take(drawn.select("*", F.col(id_at).alias("_id"), F.col(source_at).alias("_source")), due)
+    found = found.select(*[f"c{i}" for i in range(width)], "_size", "_source_size", "_target", "_taken")
+    return found.toDF(*docs.columns, "_size", "_source_size", "_target", "_taken")
+
+
+def allotment(
+    docs: DataFrame,
+    weights: Sequence[int] = (1, 2, 3),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    max_epochs: int = MAX_EPOCHS,
+) -> DataFrame:
+    """_id, _source, _size, _source_size, _target and _taken of every row, as mix() has them, in
+    one pass over the texts."""
+    small = drawn_rows(docs, id_col, text_col, source_col)
+    found = take(small, cut(ends(small, weights, max_epochs)))
+    return found.select("_id", "_source", "_size", "_source_size", "_target", "_taken")
 
 
 def mixed_texts(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -142,44 +185,24 @@ def mixed_texts(docs: DataFrame, text_col: str = "text", **options) -> DataFrame
     first words if it is taken in part. Documents without words, of which any number is in keeping
     with the targets, stay once."""
     width, names = len(docs.columns), docs.columns
-    mixed = mix(docs, text_col=text_col, **options)
-    text_at = names.index(text_col)
-    flat = mixed.toDF(*[f"c{i}" for i in range(width)], "size", "source_size", "target", "taken")
+    text = f"c{names.index(text_col)}"
+    flat = mix(docs, text_col=text_col, **options).toDF(*[f"c{i}" for i in range(width)], "size", "source_size", "target", "taken")
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.expr("try_divide(taken, size)")))
-    flat = flat.withColumn("times", times.cast("int"))
-    flat = flat.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    cut_text = first_words(flat.withColumn("words", words.cast("long")), f"c{text_at}", "size", "words")
-    return cut_text.select(*[f"c{i}" for i in range(width)]).toDF(*names)
-
-
-def first_words(df: DataFrame, text: str, size: str, words: str) -> DataFrame:
-    """df with the text up to the end of its first so many words, if it has more."""
-    at = [df.columns.index(c) for c in (text, size, words)]
-    names, schema = df.columns, df.schema
-
-    def run(batches):
-        word = re.compile(rb"[^\x20\x09-\x0D]+")
-        for batch in batches:
-            columns = list(batch.columns)
-            texts, sizes, counts = (batch.column(i).to_pylist() for i in at)
-            for i, (t, s, n) in enumerate(zip(texts, sizes, counts, strict=True)):
-                if t is not None and n < s:
-                    raw, end = t.encode(), 0
-                    for k, m in enumerate(word.finditer(raw)):
-                        if k == n:
-                            break
-                        end = m.end()
-                    texts[i] = raw[:end].decode()
-            columns[at[0]] = pa.array(texts, batch.column(at[0]).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return arrow_map(df, run, schema)
+    flat = flat.withColumn("times", times.cast("int")).where("times > 0")
+    flat = flat.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    words = (F.col("taken") - F.col("copy") * F.col("size")).cast("int")
+    handed = F.when(words < F.col("size"), first_words(F.col(text), words)).otherwise(F.col(text))
+    return flat.select(*[handed.alias(c) if c == text else c for c in (f"c{i}" for i in range(width))]).toDF(*names)
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """text up to the end of its first so many words."""
+    spaced = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)  # each word with the space before it
+    return F.array_join(F.slice(spaced, F.lit(1), words), "")
 
 
 def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", source="source")
-    return mix(few).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+    return allotment(table(spark, sf_dir, "documents")).select(
+        F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), F.col("_taken").alias("taken"),
     )

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from orrery.llm import mixing
 
 
@@ -48,3 +50,30 @@ def test_strange_tables(spark):
     assert out.columns[:5] == clash.columns and out.collect()[0][-1] == 2
     long = rows_of(spark, [(1, "word " * 200_000, "a"), (2, "b", "b")])
     assert {r.doc_id: r._taken for r in mixing.mix(long).collect()} == {1: 199_998, 2: 3}
+
+
+def test_allotment_equals_the_mix_of_the_texts(spark):
+    rows = [(i % 37, "a b c " * (1 + i % 7), s) for i, s in enumerate(["a"] * 40 + ["b"] * 5 + ["c"] * 90 + [None] * 20)]
+    docs = rows_of(spark, rows).repartition(3)
+    full = mixing.mix(docs).select("doc_id", "source", "_size", "_source_size", "_target", "_taken").collect()
+    assert sorted(map(str, map(tuple, full))) == sorted(map(str, map(tuple, mixing.allotment(docs).collect())))
+
+
+def test_the_budget_may_end_in_equal_rows(spark):
+    same = [(7, "a b c", "x")] * 50 + [(8, "a b c d", "y")] * 90 + [(None, "q", None)] * 10
+    got = mixing.allotment(rows_of(spark, same).repartition(5)).collect()
+    by = {}
+    for r in got:
+        taken, target = by.setdefault(r._source, ([], r._target))
+        taken.append(r._taken)
+        assert r._taken <= 3 * r._size
+    for source, (taken, target) in by.items():
+        assert abs(sum(taken) - target) < 1, source
+        size = {"x": 3, "y": 4, None: 1}[source]
+        assert sum(t % size != 0 for t in taken) <= 1  # one in part at most
+
+
+def test_first_words(spark):
+    text = "  one\ttwo\n\nthree é four  "
+    made = spark.range(0, 7).select("id", mixing.first_words(F.lit(text), F.col("id").cast("int")).alias("t")).collect()
+    assert [r.t for r in sorted(made)] == ["", "  one", "  one\ttwo", "  one\ttwo\n\nthree", "  one\ttwo\n\nthree é", "  one\ttwo\n\nthree é four", text]
