@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, least_by_hash, pick, table
+from .common import append_columns, arrow_map, as_bytes, least_by_hash, pick, table
 
 #: The bound of the training sample: labelled texts of each class (clean, toxic), and bytes of a
 #: text in it; EDITED of each class are used a second time with misspelt words.
@@ -20,9 +21,11 @@ EDITED = 1200
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 17
 DIMENSIONS = 8
-#: A text is scored by windows of so many words, half overlapping; its score is the highest.
+#: A text is scored as a whole and by windows of so many words, half overlapping; the highest counts.
 WINDOW = 4
-EPOCHS, WARM_EPOCHS = 100, 12
+EPOCHS, WARM_EPOCHS = 70, 12
+#: What the second label weighs in training beside toxicity.
+SIDE_WEIGHT = 0.3
 #: Spreads a word's weight over its n-grams, so that a misspelling keeps much of it.
 DECAY = 1e-5
 THRESHOLD = 0.7
@@ -88,10 +91,11 @@ def misspelt(word: str, draw: random.Random) -> str:
 
 
 class Model:
-    """The trained embeddings times the softmax's weights, by bucket, and its bias."""
+    """The trained embeddings times the softmax's weights, by bucket, and its bias; the embeddings
+    and weights themselves where it has just been trained."""
 
-    def __init__(self, by_bucket: np.ndarray, bias: float) -> None:
-        self.by_bucket, self.bias = by_bucket, bias
+    def __init__(self, by_bucket: np.ndarray, bias: float, embeddings: np.ndarray | None = None, weights: np.ndarray | None = None) -> None:
+        self.by_bucket, self.bias, self.embeddings, self.weights = by_bucket, bias, embeddings, weights
 
     def word_logits(self, words: bytes) -> np.ndarray:
         found, start = [], 0
@@ -134,144 +138,189 @@ class Model:
         return out
 
 
-def window_starts(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges of WINDOW words, each half over the last; the final one ends where the words end."""
+def window_bounds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole of n words, then ranges of WINDOW words, each half over the last; the final one
+    ends where the words end."""
     if n <= WINDOW:
         return np.zeros(1, np.int64), np.full(1, n)
-    starts = np.arange(0, n - WINDOW + WINDOW // 2, WINDOW // 2)
-    starts = np.minimum(starts, n - WINDOW)
-    return starts, starts + WINDOW
+    starts = np.minimum(np.arange(0, n - WINDOW + WINDOW // 2, WINDOW // 2), n - WINDOW)
+    return np.append(0, starts), np.append(n, starts + WINDOW)
 
 
 def window_means(logits: np.ndarray) -> np.ndarray:
-    starts, ends = window_starts(len(logits))
+    starts, ends = window_bounds(len(logits))
     total = np.concatenate([[0.0], np.cumsum(logits, dtype=np.float64)])
     return (total[ends] - total[starts]) / (ends - starts)
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
-    """Embeddings and softmax weights together, by Adam on all windows first (each with the label
-    of its text), then on the highest window of each text, which is what the score is taken from.
-    Embeddings begin at zero, so n-grams that were never seen weigh nothing."""
+class Bags:
+    """Texts as bags of bags: words over a table of the n-grams met, windows over the words."""
+
+    def __init__(self, texts: Sequence[Sequence[bytes]]) -> None:
+        index: dict[bytes, int] = {}
+        ids = [np.array([index.setdefault(w, len(index)) for w in words]) for words in texts]
+        bucket, self.word_of, count = features(b"\0" + b"\0".join(index) + b"\0")
+        self.used, self.gram = np.unique(bucket, return_inverse=True)
+        self.first = np.searchsorted(self.word_of, np.arange(count))
+        self.size = np.bincount(self.word_of, minlength=count)
+        self.flat = np.concatenate(ids)
+        bounds = [window_bounds(len(own)) for own in ids]
+        base = np.cumsum([0, *map(len, ids)])
+        self.starts = np.concatenate([s + b for (s, _), b in zip(bounds, base, strict=False)])
+        self.ends = np.concatenate([e + b for (_, e), b in zip(bounds, base, strict=False)])
+        windows = np.array([len(s) for s, _ in bounds])
+        self.text_of, self.whole = np.repeat(np.arange(len(ids)), windows), np.cumsum(windows) - windows
+
+    def means(self, by_gram: np.ndarray) -> np.ndarray:
+        """The mean over each window's words of the mean over each word's n-grams."""
+        by_word = np.add.reduceat(by_gram[self.gram], self.first) / self.size
+        running = np.concatenate([[0.0], np.cumsum(by_word[self.flat], dtype=np.float64)])
+        return (running[self.ends] - running[self.starts]) / (self.ends - self.starts)
+
+    def back(self, windows: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """The n-grams' shares of errors in the means of these windows."""
+        step = np.zeros(len(self.flat) + 1)  # each window's error in equal parts to its words
+        part = error / (self.ends[windows] - self.starts[windows])
+        np.add.at(step, self.starts[windows], part)
+        np.subtract.at(step, self.ends[windows], part)
+        by_word = np.bincount(self.flat, weights=np.cumsum(step)[:-1], minlength=len(self.size))
+        return np.bincount(self.gram, weights=(by_word / self.size)[self.word_of], minlength=len(self.used))
+
+
+def highest(z: np.ndarray, text_of: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The first highest window of each text."""
+    at = np.flatnonzero(z == np.maximum.reduceat(z, first)[text_of])
+    return at[np.unique(text_of[at], return_index=True)[1]]
+
+
+def balanced(y: np.ndarray) -> np.ndarray:
+    """Weights by which both labels count the same; they sum to 1."""
+    share = np.clip(y.mean(), 1e-9, 1 - 1e-9)
+    return np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+
+
+def train(texts: list[str], toxic: list[int], side: list[int] | None = None, seed: int = 11) -> Model:
+    """Embeddings and softmax weights together, by Adam: on all windows of a text first, each with
+    the label of its text, then on its highest window, which is what the score is taken from. A
+    second label (side: 0, 1, or -1 for unknown), predicted from the average of the whole text,
+    shares the embeddings. They begin at random; n-grams that were never seen weigh nothing."""
     draw = random.Random(seed)
-    bags, labels, times = [], [], {}
-    for text, label in zip(texts, toxic, strict=True):
+    bags, rows, times = [], [], {}
+    for k, (text, label) in enumerate(zip(texts, toxic, strict=True)):
         own = [w for w in words_of(text.encode()).split(b"\0") if w]
         if not own:
             continue
         bags.append(own)
-        labels.append(label)
+        rows.append(k)
         times[label] = times.get(label, 0) + 1
         if times[label] <= EDITED:
             edited = [misspelt(w.decode("utf-8", "replace"), draw).encode() for w in own]
             bags.append([w for w in words_of(b" ".join(edited)).split(b"\0") if w])
-            labels.append(label)
-    y = np.array(labels, dtype=np.float64)
+            rows.append(k)
+    y = np.array(toxic, dtype=np.float64)[rows]
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << BUCKET_BITS), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
-    index: dict[bytes, int] = {}
-    ids = [np.array([index.setdefault(w, len(index)) for w in bag]) for bag in bags]
-    bucket, owner, count = features(b"\0" + b"\0".join(index) + b"\0")
-    used, bucket = np.unique(bucket, return_inverse=True)
-    first = np.searchsorted(owner, np.arange(count))
-    size = np.bincount(owner, minlength=count).astype(np.float32)
-    flat, spans, doc_of = [], [], []
-    base = 0
-    for d, own in enumerate(ids):
-        starts, ends = window_starts(len(own))
-        flat.append(own)
-        spans.append(np.stack([starts + base, ends + base]))
-        doc_of.append(np.full(len(starts), d))
-        base += len(own)
-    flat, (starts, ends), doc_of = np.concatenate(flat), np.concatenate(spans, axis=1), np.concatenate(doc_of)
-    first_window = np.searchsorted(doc_of, np.arange(len(ids)))
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    other = np.array(side if side is not None else [-1] * len(texts), dtype=np.float64)[rows]
+    known = np.flatnonzero(other >= 0)
+    held = Bags(bags)
+    weigh, weigh_side = balanced(y), SIDE_WEIGHT * balanced(other[known]) if len(known) else np.zeros(0)
 
+    # Of two classes' softmax only the difference of their weights counts: a column for each label.
+    # It is linear, so the mean of embeddings times the weights is the mean of these.
     rng = np.random.default_rng(seed)
-    emb = np.zeros((len(used), DIMENSIONS), np.float32)
-    weight = rng.normal(0, 1, DIMENSIONS).astype(np.float32)
-    bias = -1.0
-    moments = [[np.zeros_like(emb), np.zeros_like(emb)], [np.zeros_like(weight), np.zeros_like(weight)], [0.0, 0.0]]
+    value = [rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (len(held.used), DIMENSIONS)), rng.normal(0, 1, (DIMENSIONS, 2)), np.array([-1.0, 0.0])]
+    moments = [(np.zeros_like(v), np.zeros_like(v)) for v in value]
     for epoch in range(1, EPOCHS + 1):
-        # the softmax is linear, so the mean of embeddings times the weights is the mean of these
-        word_logit = np.add.reduceat((emb @ weight)[bucket], first) / size
-        running = np.concatenate([[0.0], np.cumsum(word_logit[flat], dtype=np.float64)])
-        z = (running[ends] - running[starts]) / (ends - starts) + bias
+        emb, weight, bias = value
+        by_gram = emb @ weight
+        z = held.means(by_gram[:, 0]) + bias[0]
         if epoch <= WARM_EPOCHS:
-            at, share = np.arange(len(z)), 1.0 / np.bincount(doc_of)[doc_of]
+            at = np.arange(len(z))
+            share = weigh[held.text_of] / np.bincount(held.text_of)[held.text_of]
         else:
-            top = np.lexsort((-z, doc_of))[first_window]
-            at, share = top, np.ones(len(top))
-        docs = doc_of[at]
-        p = 1 / (1 + np.exp(-z[at]))
-        error = (p - y[docs]) * balance[docs] * share / len(y)
-        # error of each window goes to its words in equal parts: a difference array over the words
-        step = np.zeros(len(flat) + 1)
-        part = error / (ends[at] - starts[at])
-        np.add.at(step, starts[at], part)
-        np.subtract.at(step, ends[at], part)
-        per_word = np.bincount(flat, weights=np.cumsum(step)[:-1], minlength=count)
-        per_gram = np.bincount(bucket, weights=(per_word / size)[owner], minlength=len(used))
-        d_weight = (per_gram @ emb).astype(np.float32) + 1e-5 * weight
-        d_emb = np.outer(per_gram, weight).astype(np.float32) + DECAY * emb
-        d_bias = float(error.sum())
+            at, share = highest(z, held.text_of, held.whole), weigh
+        error = (1 / (1 + np.exp(-z[at])) - y[held.text_of[at]]) * share
+        whole = held.whole[known]
+        z_side = held.means(by_gram[:, 1])[whole] + bias[1]
+        error_side = (1 / (1 + np.exp(-z_side)) - other[known]) * weigh_side
+        back = np.stack([held.back(at, error), held.back(whole, error_side)], axis=1)
+        grads = (back @ weight.T + DECAY * emb, emb.T @ back + 1e-5 * weight, np.array([error.sum(), error_side.sum()]))
         rate = 0.05 if epoch > WARM_EPOCHS else 0.1
-        new = []
-        for value, grad, (m, v) in zip((emb, weight, bias), (d_emb, d_weight, d_bias), moments, strict=True):
+        for k, grad in enumerate(grads):
+            m, v = moments[k]
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            new.append((value - rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8), m, v))
-        emb, weight, bias = (n[0] for n in new)
-        moments = [[n[1], n[2]] for n in new]
+            value[k] = value[k] - rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
+            moments[k] = m, v
     by_bucket = np.zeros(1 << BUCKET_BITS)
-    by_bucket[used] = emb @ weight
-    return Model(by_bucket, float(bias))
+    by_bucket[held.used] = value[0] @ value[1][:, 0]
+    return Model(by_bucket, float(value[2][0]), value[0], value[1])
 
 
 def held_out(doc_id) -> F.Column:
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3) == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    side_col: str = "quality",
+) -> Model:
     """A model of the labels of rows that aren't held out. The sample is bounded: per class the
     TRAIN_TEXTS ids of least hash, texts of at most TRAIN_BYTES. Null ids and texts and labels
-    other than 0 and 1 are left out; an id with both labels counts as toxic."""
-    known = pick(labels, doc_id=id_col, toxic=label_col).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    other than 0 and 1 are left out; an id with both labels counts as toxic. side_col, where the
+    labels have it, is the second label, used in training only."""
+    names = {"doc_id": id_col, "toxic": label_col} | ({"side": side_col} if side_col in labels.columns else {})
+    known = pick(labels, **names).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    side = F.when(F.col("side").isin(0, 1), F.col("side").cast("int")) if "side" in names else F.lit(None).cast("int")
+    known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.coalesce(F.max(side), F.lit(-1)).alias("side"))
     texts = pick(docs, doc_id=id_col, text=text_col).where(F.octet_length("text") <= TRAIN_BYTES)
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = [least_by_hash(known.where(F.col("toxic") == k), TRAIN_TEXTS[k], counts.get(k, 0), "doc_id") for k in (0, 1)]
     # at most sum(TRAIN_TEXTS) ids, and one text of each: the least, where an id has several
     held = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    rows = held.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
+    rows = held.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("side").alias("side"), F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [int(r.toxic) for r in rows])
+    return train([r.text for r in rows], [int(r.toxic) for r in rows], [int(r.side) for r in rows])
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the score of every whole text; null and empty texts get the bias alone."""
+def _scorer(docs: DataFrame, model: Model):
+    """A function from an array of texts to their scores, whose model travels as a broadcast of
+    fixed size."""
     held = docs.sparkSession.sparkContext.broadcast((model.by_bucket.astype(np.float32), model.bias))
+    return lambda texts: Model(*held.value).scores(as_bytes(texts))
 
-    def run(texts: pa.Array) -> list[pa.Array]:
-        scorer = Model(*held.value)
-        return [pa.array(scorer.scores(as_bytes(texts)), pa.float64())]
 
-    return append_columns(docs, [text_col], run, [T.StructField(name, T.DoubleType())])
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score", drop: Sequence[str] = ()) -> DataFrame:
+    """docs with the score of every whole text; null and empty texts get the bias alone. Rows are
+    independent: repeated ones repeat their scores, an empty table gives no rows. Other columns
+    pass through (but those named in drop); if one already has the new name, the result has it
+    twice."""
+    scores = _scorer(docs, model)
+    return append_columns(docs, [text_col], lambda texts: [pa.array(scores(texts), pa.float64())], [T.StructField(name, T.DoubleType())], drop)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is below threshold."""
-    width, names = len(docs.columns), docs.columns
-    model = fit(docs, labels, text_col=text_col)
-    flat = docs.toDF(*[f"c{i}" for i in range(width)])
-    scored = with_score(flat, model, f"c{names.index(text_col)}", "score")
-    return scored.where(F.col("score") < threshold).drop("score").toDF(*names)
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", **columns: str) -> DataFrame:
+    """The rows of docs whose score is below threshold, with their columns, whatever their names.
+    Null and empty texts stay unless the bias alone reaches it; of repeated rows all stay or none."""
+    scores = _scorer(docs, fit(docs, labels, text_col=text_col, **columns))
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([s < threshold for s in scores(batch.column(at))], pa.bool_()))
+
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return arrow_map(flat, keep, flat.schema).toDF(*names)
 
 
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = with_score(pick(docs, doc_id="doc_id", text="text"), model)
+    scored = with_score(pick(docs, doc_id="doc_id", text="text"), model, drop=["text"])
     return scored.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

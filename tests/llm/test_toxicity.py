@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from orrery.llm import toxicity
 
 BAD = ["grumbolt", "vexilode", "snarfick"]
@@ -63,3 +65,54 @@ def test_held_out_ids_teach_nothing(spark):
     assert (a.by_bucket == b.by_bucket).all()
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, all_labels).collect()}
     assert len(kept & set(range(80))) <= 8 and len(kept & set(range(80, 160))) >= 72
+
+
+def plain_score(model, text):
+    """The score by its definition, n-gram by n-gram."""
+    mix = [int(x) for x in toxicity._MIX]
+    words = [w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split(" ") if w]
+    by_word = []
+    for word in words:
+        marked, weights = b"\0" + word.encode() + b"\0", []
+        for n in toxicity.GRAMS:
+            for i in range(len(marked) - n + 1):
+                h = sum((marked[i + k] + 1) * mix[k + 1] for k in range(n)) + mix[0] * n & 0xFFFFFFFF
+                h = (h ^ h >> 15) * mix[-1] & 0xFFFFFFFF
+                weights.append(model.by_bucket[h >> 32 - toxicity.BUCKET_BITS])
+        by_word.append(sum(weights) / max(1, len(weights)))
+    n, size = len(by_word), toxicity.WINDOW
+    spans = [(0, n)] + [(min(s, n - size), min(s, n - size) + size) for s in range(0, n, size // 2) if n > size]
+    best = max(sum(by_word[a:b]) / max(1, b - a) for a, b in spans) if n else 0.0
+    return 1 / (1 + np.exp(-(model.bias + best)))
+
+
+def test_scores_equal_their_definition():
+    words = vocabulary()
+    model = toxicity.train(texts(60, 1, words, BAD) + texts(60, 2, words), [1] * 60 + [0] * 60)
+    for text in [*texts(20, 3, words, BAD), "", "a", "ab", "a b", "Élan élan", "one, two... THREE!! four-five six", "x" * 300, " ".join(words[:9])]:
+        assert abs(model.score(text.encode()) - plain_score(model, text)) < 1e-5, text
+
+
+def test_the_second_label_shapes_the_embeddings_too():
+    words = vocabulary()
+    some = texts(80, 1, words, BAD) + texts(80, 2, words) + texts(80, 3, words, ["brillig"]) + texts(80, 4, words, [*BAD, "brillig"])
+    toxic, side = [1] * 80 + [0] * 160 + [1] * 80, [0] * 160 + [1] * 160
+    model = toxicity.train(some, toxic, side)
+    energy = np.linalg.svd(model.embeddings, compute_uv=False) ** 2
+    assert energy[0] / energy.sum() < 0.9 and energy[1] / energy.sum() > 0.05
+    held = texts(60, 5, words, BAD), texts(60, 6, words, ["brillig"])
+    assert sum(model.score(t.encode()) >= 0.7 for t in held[0]) >= 56
+    assert sum(model.score(t.encode()) >= 0.7 for t in held[1]) <= 3
+    part = toxicity.train(some, toxic, [-1] * 40 + side[40:])  # unknown for some
+    assert part.score(held[0][0].encode()) >= 0.7
+
+
+def test_strange_columns(spark):
+    words = vocabulary()
+    rows = [(i, t, i, "x") for i, t in enumerate(texts(40, 7, words, BAD) + texts(40, 8, words))] + [(90, None, 0, "x"), (91, "", 0, "x"), (91, "", 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, SCORE int, Text string")
+    labels = spark.createDataFrame([(i, int(i < 40), i % 2) for i in range(80)], "doc_id long, toxic int, quality int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {90, 91} <= {r.doc_id for r in kept.collect()}
+    assert sum(r.doc_id == 91 for r in kept.collect()) == 2
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
