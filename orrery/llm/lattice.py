@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, pick, table
@@ -21,6 +21,17 @@ TABLES, PROBES, SCALE = 6, 8, 1.0
 #: fetched. At the threshold 6.5 bits differ on average, with deviation 2.4; unrelated: 32, 4.
 SKETCH_BITS = 18
 VECTORS_AT_A_TIME = 512
+#: Vectors in one cell are gathered into a ball around one of them: those within half the
+#: threshold's angle of it, any two of which are within the whole angle. So many rounds, each with
+#: the cells of another table; cells with fewer vectors are left as they are. A ball's sketch may
+#: be so many bits further from another's than a vector's.
+ROUNDS, LEAST_BALL, BALL_BITS = 3, 8, 6
+ANGLE = float(np.arccos(COSINE))
+HALF = ANGLE / 2 - 1e-6
+#: Members of a ball, and of those that it is held against, in one task.
+BLOCK_ROWS = 2_048
+#: Shares into which rows of a ball are dealt for joins on it.
+SALTS = 16
 
 
 def nearest_even(x: np.ndarray) -> np.ndarray:
@@ -56,16 +67,32 @@ def sound(batches):
         codes = []
         for vector in batch.column(1):
             x = None if not vector.is_valid else np.array(vector.values.cast(pa.float64()).fill_null(np.nan)) + 0.0
-            usable = x is not None and len(x) and np.isfinite(x).all() and 0 < float(x @ x) < np.inf
+            usable = x is not None and len(x) and np.isfinite(x).all() and x.any()
             codes.append(x.tobytes() if usable else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["vec_id", "code"])
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, whatever their scale."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def by_length(codes: list[bytes]):
+    """The positions of the codes of each length, so many at a time, with their vectors."""
+    size = np.array([len(c) for c in codes])
+    for length in np.unique(size):
+        at = np.flatnonzero(size == length)
+        for k in range(0, len(at), VECTORS_AT_A_TIME):
+            part = at[k : k + VECTORS_AT_A_TIME]
+            yield part, np.frombuffer(b"".join(codes[i] for i in part)).reshape(len(part), -1)
+
+
 def cells(batches):
-    """key, id, sketch, stored: the cell of each vector in each table (stored), and the cells in
-    which it looks for others (its own and the PROBES nearest to it)."""
+    """key, id, sketch, level: the cell of each vector in each table (level: the table's number),
+    and the cells in which it looks for others (its own and the PROBES nearest to it; level -1)."""
     steps, held = shortest(), {}
-    names = ["key", "id", "sketch", "stored"]
+    names = ["key", "id", "sketch", "level"]
 
     def solve(ids: np.ndarray, x: np.ndarray):
         dim = x.shape[1]
@@ -73,10 +100,10 @@ def cells(batches):
             rng = np.random.default_rng([8240, dim])
             held[dim] = rng.normal(size=(TABLES, dim, 8)), rng.normal(size=(dim, 64)), rng.integers(1, 1 << 63, (TABLES, 9), dtype=np.uint64)
         projections, signs, salts = held[dim]
-        unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-        sketch = np.packbits(unit @ signs > 0, axis=1).view(">i8").astype(np.int64)[:, 0]
-        for projection, salt in zip(projections, salts, strict=True):
-            y = unit @ projection / SCALE
+        direction = unit(x)
+        sketch = np.packbits(direction @ signs > 0, axis=1).view(">i8").astype(np.int64)[:, 0]
+        for level, (projection, salt) in enumerate(zip(projections, salts, strict=True)):
+            y = direction @ projection / SCALE
             own = decode(y)
             around = ((y[:, None, :] - own[:, None, :] - steps) ** 2).sum(axis=2)
             near = np.argpartition(around, PROBES, axis=1)[:, :PROBES]
@@ -85,66 +112,178 @@ def cells(batches):
             key = (whole * (salt[:8] | np.uint64(1))).sum(axis=2, dtype=np.uint64) ^ salt[8]
             key = (key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             times = key.shape[1]
-            stored = np.zeros(key.shape, bool)
-            stored[:, 0] = True
-            columns = (key.ravel(), np.repeat(ids, times), np.repeat(sketch, times), stored.ravel())
+            own_level = np.full(key.shape, -1, np.int32)
+            own_level[:, 0] = level
+            columns = (key.ravel(), np.repeat(ids, times), np.repeat(sketch, times), own_level.ravel())
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     for batch in batches:
-        ids, codes = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        size = np.array([len(c) for c in codes])
-        for length in np.unique(size):
-            at = np.flatnonzero(size == length)
-            for k in range(0, len(at), VECTORS_AT_A_TIME):
-                part = at[k : k + VECTORS_AT_A_TIME]
-                yield from solve(ids[part], np.frombuffer(b"".join(codes[i] for i in part)).reshape(len(part), -1))
+        ids = batch.column(0).to_numpy()
+        for part, x in by_length(batch.column(1).to_pylist()):
+            yield from solve(ids[part], x)
+
+
+def cosines(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The cosine of each pair of vectors, in double precision; -2 if their lengths differ."""
+    out = np.full(len(left), -2.0)
+    same = [i for i, (x, y) in enumerate(zip(left, right, strict=True)) if len(x) == len(y)]
+    for part, x in by_length([left[i] for i in same]):
+        at = [same[i] for i in part]
+        y = np.frombuffer(b"".join(right[i] for i in at)).reshape(len(at), -1)
+        out[at] = np.einsum("ij,ij->i", unit(x), unit(y))
+    return out
+
+
+def within(batches):
+    """id, lead, sketch of the members within HALF of the vector that leads their cell."""
+    for batch in batches:
+        near = cosines(batch.column("code").to_pylist(), batch.column("lead_code").to_pylist()) >= np.cos(HALF)
+        yield batch.select(["id", "lead", "sketch"]).filter(pa.array(near))
 
 
-def close_pairs(batches):
-    """a and b of the pairs whose cosine, in double precision, is COSINE or more."""
+def close_classes(batches):
+    """a, b, ball_a, ball_b of the pairs of classes that may hold a link: two vectors, if their
+    cosine is COSINE or more; if either is a ball, if its vector is near enough for a member."""
     for batch in batches:
-        a, b, left, right = (batch.column(k).to_pylist() for k in range(4))
-        keep = []
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            if len(x) == len(y):
-                x, y = np.frombuffer(x), np.frombuffer(y)
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                if float(x @ y) >= COSINE * float(np.sqrt(x @ x) * np.sqrt(y @ y)):
-                    keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+        balls = sum(batch.column(k).to_numpy(zero_copy_only=False).astype(int) for k in ("ball_a", "ball_b"))
+        bar = np.where(balls == 0, COSINE, np.cos(ANGLE + balls * HALF + 1e-9))
+        near = cosines(batch.column("code_a").to_pylist(), batch.column("code_b").to_pylist()) >= bar
+        yield batch.select(["a", "b", "ball_a", "ball_b"]).filter(pa.array(near))
+
+
+def count_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """id, others, owner, partner: of the members of a ball (left) and vectors of other classes
+    (right) those that link, the rows that each links with on the other side, and between which
+    classes (partner: once for each vector on the right)."""
+    names = ["id", "others", "owner", "partner"]
+    found = [pa.table([pa.array([], pa.int64())] * 4, names=names)]
+    codes_l, codes_r = left.column("code").to_pylist(), right.column("code").to_pylist()
+    for at_l, x in by_length(codes_l):
+        for at_r, y in by_length(codes_r):
+            if x.shape[1] != y.shape[1]:
+                continue
+            near = unit(x) @ unit(y).T >= COSINE
+            for table_, at, hits, other, at_other in ((left, at_l, near, right, at_r), (right, at_r, near.T, left, at_l)):
+                on = np.flatnonzero(hits.any(axis=1))
+                others = hits[on] @ other.column("n").to_numpy()[at_other]
+                ids, owner = (table_.column(k).to_numpy()[at[on]] for k in ("id", "owner"))
+                partner = pa.array(right.column("class").to_numpy()[at[on]] if table_ is right else [None] * len(on), pa.int64())
+                found.append(pa.table([pa.array(ids), pa.array(others), pa.array(owner), partner], names=names))
+    return pa.concat_tables(found)
+
+
+def _salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows joined to few, which has one row a key, with the rows of a common key spread over
+    several tasks. rows have id."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(few, [key, "salt"]).drop("salt")
+
+
+def gathered(placed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """id, lead, sketch: the vectors that lie in a ball, the one it is around (the least id of its
+    cell, a member too) and that one's sketch. None if there is no ball."""
+    found = None
+    for level in range(min(ROUNDS, TABLES)):
+        free = placed.where(F.col("level") == level).select("key", "id", "sketch")
+        if found is not None:
+            free = free.join(found.select("id"), "id", "left_anti")
+        leads = free.groupBy("key").agg(F.min(F.struct("id", "sketch")).alias("first"), F.count("*").alias("members"))
+        leads = cut(leads.where(F.col("members") >= LEAST_BALL).select("key", "first.*"))
+        if leads.isEmpty():
+            continue
+        lead_codes = leads.join(classes.select("id", F.col("code").alias("lead_code")), "id")
+        members = _salted(free.select("key", "id"), lead_codes.select("key", F.col("id").alias("lead"), "sketch", "lead_code"), "key")
+        members = members.join(classes.select("id", "code"), "id").select("id", "lead", "sketch", "code", "lead_code")
+        more = arrow_map(members, within, "id long, lead long, sketch long")
+        found = cut(more if found is None else found.unionByName(more))
+    return found
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
-    Equal vectors are one class and cost no pairs; classes are hashed into lattice cells, meet in
-    a join on the cell, pass the sketch test inside that join, and their cosine is verified. So
-    the links between different vectors are as many as there are, and rows of a class are counted
-    into n_links without being paired. Vectors that are null, zero, empty or hold null or
-    non-finite components link with nothing, nor do rows without an id, whose component is null.
-    Rows that share an id are counted apart and share their vectors' links. Vectors of different
-    lengths don't link. An empty table gives no rows; extra columns are ignored.
+    Equal vectors are one class and cost no pairs. Vectors within half the threshold's angle of
+    one vector of their cell are gathered around it into a ball: any two of them link, so a group
+    of near copies, whatever its size, is counted and not paired. Classes (balls and single
+    vectors) meet in the lattice cells of their members in a join on the cell, pass the sketch test
+    inside that join, and their cosine is verified. Two single vectors link by that. Of a ball that
+    comes near enough to another class the members are held against that class's in blocks, which
+    give the number of links of each vector, not the links. Components are found among classes.
+
+    Vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor
+    do rows without an id, whose component is null. Rows that share an id are counted apart and
+    share their vectors' links. Vectors of different lengths don't link. An empty table gives no
+    rows; extra columns are ignored.
     """
     base = pick(vectors, vec_id=id_col, embedding=vector_col).selectExpr("cast(vec_id as long) vec_id", "embedding")
     base = cut(arrow_map(base, sound, "vec_id long, code binary"))
     able = base.where("code IS NOT NULL AND vec_id IS NOT NULL")
     classes = cut(able.groupBy("code").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
-    placed = cut(arrow_map(classes.select("id", "code"), cells, "key long, id long, sketch long, stored boolean"))
-    one = placed.where("stored").select("key", F.col("id").alias("x"), F.col("sketch").alias("s"))
-    other = placed.where("NOT stored").select("key", F.col("id").alias("y"), F.col("sketch").alias("t"))
-    alike = (F.col("x") != F.col("y")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= SKETCH_BITS)
-    met = one.join(other, (one["key"] == other["key"]) & alike)
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    full = met.join(classes.select(F.col("id").alias("a"), F.col("code").alias("ca")), "a")
-    full = full.join(classes.select(F.col("id").alias("b"), F.col("code").alias("cb")), "b")
-    links = cut(arrow_map(full.select("a", "b", "ca", "cb"), close_pairs, "a long, b long"))
+    placed = cut(arrow_map(classes.select("id", "code"), cells, "key long, id long, sketch long, level int"))
+    balls = gathered(placed, classes)
+    if balls is None:
+        named = classes.select("*", F.col("id").alias("class"), F.lit(False).alias("ball"))
+        seen = placed.select("key", "level", F.col("id").alias("class"), "sketch", F.lit(False).alias("ball"))
+    else:
+        named = classes.join(balls.select("id", "lead"), "id", "left")
+        named = cut(named.select("code", "id", "n", F.coalesce("lead", "id").alias("class"), F.col("lead").isNotNull().alias("ball")))
+        seen = placed.join(balls.select("id", "lead", F.col("sketch").alias("lead_sketch")), "id", "left").select(
+            "key", "level", F.coalesce("lead", "id").alias("class"), F.coalesce("lead_sketch", "sketch").alias("sketch"),
+            F.col("lead").isNotNull().alias("ball"),
+        ).distinct()
+    one = seen.where("level >= 0").select("key", F.col("class").alias("x"), F.col("sketch").alias("s"), F.col("ball").alias("u"))
+    other = seen.where("level < 0").select("key", F.col("class").alias("y"), F.col("sketch").alias("t"), F.col("ball").alias("v"))
+    bits = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) - BALL_BITS * (F.col("u").cast("int") + F.col("v").cast("int"))
+    met = one.join(other, (one["key"] == other["key"]) & (F.col("x") != F.col("y")) & (bits <= SKETCH_BITS))
+    first = F.col("x") < F.col("y")
+    met = met.select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+        F.when(first, F.col("u")).otherwise(F.col("v")).alias("ball_a"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("ball_b"),
+    ).distinct()
+    for side in "ab":
+        met = met.join(classes.select(F.col("id").alias(side), F.col("code").alias(f"code_{side}")), side)
+    close = cut(arrow_map(met, close_classes, "a long, b long, ball_a boolean, ball_b boolean"))
+
+    links = close.where("NOT ball_a AND NOT ball_b").select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(classes.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    component = connected_components(links).withColumnRenamed("node", "id")
-    known = classes.join(counted, "id", "left").join(component, "id", "left").select(
-        "code", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+    counted = both.join(classes.select(F.col("id").alias("b"), "n"), "b").select(F.col("a").alias("id"), F.col("n").alias("others"))
+    near = close.where("ball_a OR ball_b")
+    edges = links
+    if balls is not None:
+        owner_is_a = F.col("ball_a") & (~F.col("ball_b") | (F.col("a") < F.col("b")))
+        near = near.select(F.when(owner_is_a, F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(owner_is_a, F.col("b")).otherwise(F.col("a")).alias("class"))
+        members = named.select("id", "n", "code", "class")
+        left = members.join(near.select(F.col("owner").alias("class")).distinct(), "class").withColumn("owner", F.col("class"))
+        right = near.join(members, "class")
+        per_block = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
+        sizes = left.groupBy("owner").agg(per_block.alias("l_blocks")).join(right.groupBy("owner").agg(per_block.alias("r_blocks")), "owner")
+        left, right = (_salted(rows, sizes, "owner") for rows in (left, right))
+
+        def own_block(blocks: str) -> Column:
+            return F.pmod(F.xxhash64("id", F.lit(7)), F.col(blocks)).cast("int")
+
+        def all_blocks(blocks: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+        left = left.withColumn("i", own_block("l_blocks")).withColumn("j", all_blocks("r_blocks"))
+        right = right.withColumn("j", own_block("r_blocks")).withColumn("i", all_blocks("l_blocks"))
+        kept = ["owner", "i", "j", "id", "n", "code", "class"]
+        left, right = (rows.select(kept).toDF(*kept) for rows in (left, right))
+        crossing = left.groupBy("owner", "i", "j").cogroup(right.groupBy("owner", "i", "j"))
+        crossing = cut(crossing.applyInArrow(count_links, "id long, others long, owner long, partner long"))
+        counted = counted.unionByName(crossing.select("id", "others"))
+        between = crossing.where("partner IS NOT NULL").select(F.col("owner").alias("a"), F.col("partner").alias("b")).distinct()
+        edges = links.unionByName(between)
+    counted = counted.groupBy("id").agg(F.sum("others").alias("others"))
+    component = connected_components(edges).select(F.col("node").alias("class"), "component")
+    totals = named.groupBy("class").agg(F.sum("n").alias("rows"), F.min("id").alias("least"))
+    totals = totals.join(component, "class", "left")
+    known = _salted(named, totals, "class").join(counted, "id", "left").select(
+        F.col("code").alias("known_code"),
+        (F.when(F.col("ball"), F.col("rows")).otherwise(F.col("n")) - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "least").alias("component_id"),
     )
-    known = known.withColumnRenamed("code", "known_code")
     out = base.join(known, (F.col("code") == F.col("known_code")) & F.col("vec_id").isNotNull(), "left")
     component_id = F.coalesce("component_id", "vec_id")
     return out.select(

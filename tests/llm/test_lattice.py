@@ -61,3 +61,59 @@ def test_null_and_repeated_ids(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(str(tuple(r)) for r in lattice.near_vectors(vectors).collect())
     assert got == sorted(["(None, 0, None, True)", "(1, 2, 1, True)", "(1, 2, 1, True)", "(2, 2, 1, False)", "(3, 0, 3, True)"])
+
+
+def near_copies(rng, centre, n, spread):
+    noise = rng.normal(size=(n, len(centre)))
+    return [[float(c) for c in v] for v in centre / np.linalg.norm(centre) + spread * noise / np.linalg.norm(noise, axis=1)[:, None]]
+
+
+def test_groups_of_near_copies_are_counted_without_pairs(spark, monkeypatch):
+    """Two groups, the centre of the second a link's angle from the first, and looser ones: all
+    links are counted, and what the blocks hand on grows with the vectors only."""
+    rng = np.random.default_rng(12)
+    centre, aside = rng.normal(size=64), rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    aside -= (aside @ centre) * centre
+    aside /= np.linalg.norm(aside)
+    second = np.cos(0.3) * centre + np.sin(0.3) * aside
+    vectors = near_copies(rng, centre, 300, 0.1) + near_copies(rng, second, 200, 0.1) + near_copies(rng, centre, 60, 0.25)
+    vectors += near_copies(rng, rng.normal(size=64), 30, 0.15) + [[float(c) for c in rng.normal(size=64)] for _ in range(200)]
+    order = rng.permutation(len(vectors)).tolist()
+    rows = [(i, vectors[k]) for i, k in enumerate(order)] + [(2000 + i, vectors[0]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want, links = brute(rows)
+    for name, value in (("BLOCK_ROWS", 2048), ("BLOCK_ROWS", 64)):
+        monkeypatch.setattr(lattice, name, value)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(frame).collect()}
+        assert all(got[i][0] <= want[i][0] for i in got)
+        assert sum(g[0] for g in got.values()) / 2 >= 0.99 * links
+        assert sum(got[i][1:] == want[i][1:] for i in got) >= 0.98 * len(got)
+    handed = []
+    count = lattice.connected_components
+    monkeypatch.setattr(lattice, "connected_components", lambda edges: handed.append(edges.count()) or count(edges))
+    lattice.near_vectors(frame).count()
+    assert links > 60_000 and handed[0] < 4 * len(rows)
+
+
+def test_vectors_of_any_scale(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2.0001e200]), (3, [5e-324, 1e-323]), (4, [1.0, -1.0]), (5, [0.0, -0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at a cosine just over the threshold, the hardest ones to meet."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(400):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        angle = np.arccos(0.9502)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (np.cos(angle) * a + np.sin(angle) * b).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in lattice.near_vectors(frame).collect()) / 2
+    assert found >= 0.95 * 400
