@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,9 +21,14 @@ BUDGET = 3
 #: Tries are rooted at each 16-bit block of the fingerprint in turn; fingerprints within a budget
 #: of 3 agree on one of the 4 blocks, so that in one of the tries they meet below one root.
 BLOCKS, BLOCK_BITS = 4, 16
-#: A root with more fingerprints is dealt into parts; each pair of parts is a task.
-ROOT_ROWS = 2000
-MOST_PARTS = 16
+#: A root with more fingerprints than MANY_ROWS is taken apart: tries are rooted once more at each
+#: quarter of the bits that remain, by the same argument. What still has more than ROOT_ROWS is
+#: dealt into parts, FEW_PARTS at most unless a part would hold more than PART_ROWS; each pair of
+#: parts is a task.
+MANY_ROWS, REROOTS = 200_000, 2
+ROOT_ROWS, FEW_PARTS, PART_ROWS = 2_000, 16, 100_000
+#: Roots up to this number (8 bytes each) are broadcast; beyond it they are joined.
+BROADCAST_ROOTS = 1_000_000
 #: Fingerprints that a task takes from its sorted input at a time, whole roots only.
 CHUNK_ROWS = 400_000
 
@@ -52,8 +60,10 @@ def _fingerprints(texts: pa.Array) -> list[pa.Array]:
     return [pa.array([_signed(fingerprint(t)) for t in as_bytes(texts)], pa.int64())]
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
-    return append_columns(docs, [text_col], _fingerprints, [T.StructField(name, T.LongType())])
+def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp", drop: Sequence[str] = ()) -> DataFrame:
+    """docs with the fingerprint of each whole text as a signed number; null and empty texts have 0.
+    Other columns, but for those named in drop, pass through."""
+    return append_columns(docs, [text_col], _fingerprints, [T.StructField(name, T.LongType())], drop)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -152,28 +162,21 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.n
     return lo
 
 
-def _rotate(fp: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """The 48 bits that remain of each fingerprint below its block."""
-    shift = (block.astype(np.uint64) * np.uint64(BLOCK_BITS)) % np.uint64(64)
-    back = (np.uint64(64) - shift) % np.uint64(64)
-    turned = np.where(shift == 0, fp, (fp << shift) | (fp >> back))
-    return turned & np.uint64((1 << (64 - BLOCK_BITS)) - 1)
-
-
-def _star_links(batches):
-    """Links (member, smallest id) of the components under each root; the input is sorted by
-    root and part pair, so that whole roots are taken a chunk at a time."""
+def _star_links(bits, batches):
+    """Links (member, smallest id) of the components under each root, whose trie is over the bits
+    that remain; the input is sorted by root and part pair, so that whole roots are taken a chunk
+    at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(root, i, j, fp, ids):
+    def solve(root, i, j, rest, ids):
         if not len(root):
             return
         key = np.stack([root, i, j])
         group = np.r_[0, np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))]
-        rest = _rotate(fp.view(np.uint64), root >> BLOCK_BITS)
+        rest = rest.view(np.uint64)
         order = np.lexsort((rest, group))
         group, rest, ids = group[order], rest[order], ids[order]
-        found = trie_links(rest, group, 64 - BLOCK_BITS, BUDGET)
+        found = trie_links(rest, group, bits, BUDGET)
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, found, ids)
         least = least[found]
@@ -196,25 +199,60 @@ def _star_links(batches):
     yield from solve(*held)
 
 
+def rooted(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (root, rest, id) four times over: below their root a further one for each quarter of
+    their remaining bits (rest, so many), whose trie is over the other three quarters."""
+    quarter = bits // BLOCKS
+    spread = rows.select("root", "rest", "id", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("k"))
+    low = f"({bits} - {quarter} * (k + 1))"
+    own = F.expr(f"shiftrightunsigned(rest, {low}) & {(1 << quarter) - 1}L")
+    above = F.expr(f"CASE WHEN k = 0 THEN 0L ELSE shiftleft(shiftrightunsigned(rest, {low} + {quarter}), {low}) END")
+    below = F.expr(f"rest & (shiftleft(1L, {low}) - 1L)")
+    root = (F.col("root") * BLOCKS + F.col("k")) * (1 << quarter) + own
+    return spread.select(root.alias("root"), above.bitwiseOR(below).alias("rest"), "id")
+
+
+def _apart(rows: DataFrame, rows_by_root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose root is, and isn't, in rows_by_root."""
+    return rows.join(rows_by_root, "root", "left_semi"), rows.join(rows_by_root, "root", "left_anti")
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (columns fp, id), enough to join all
     within BUDGET bits of each other, directly or through others."""
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    spread = prints.select("fp", "id", blocks)
-    own = F.shiftrightunsigned(F.expr(f"shiftleft(fp, block * {BLOCK_BITS})"), 64 - BLOCK_BITS)
-    spread = spread.select("fp", "id", (F.col("block") * (1 << BLOCK_BITS) + own).cast("int").alias("root"))
-    # at most BLOCKS x 2^BLOCK_BITS rows of 12 bytes, whatever the input
-    heavy = spread.groupBy("root").count().where(F.col("count") > ROOT_ROWS)
-    heavy = heavy.select("root", F.least(F.lit(MOST_PARTS), F.ceil(F.col("count") / ROOT_ROWS)).cast("int").alias("parts"))
-    dealt = spread.join(F.broadcast(heavy), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    # two parts that meet are held against themselves as well
-    dealt = dealt.where("own <> other OR parts = 1").select(
-        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "id"
-    )
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return arrow_map(dealt, _star_links, "a long, b long")
+    bits = BLOCKS * BLOCK_BITS
+    spread = rooted(prints.select(F.lit(0).cast("long").alias("root"), F.col("fp").alias("rest"), "id"), bits)
+    ready = []
+    for _ in range(REROOTS):
+        bits -= bits // BLOCKS
+        many = cut(spread.groupBy("root").count().where(F.col("count") > MANY_ROWS).select("root"))
+        found = many.count()  # one in MANY_ROWS of the rows at most
+        if not found:
+            break
+        hot, cold = _apart(spread, F.broadcast(many) if found <= BROADCAST_ROOTS else many)
+        ready.append((cold, bits))
+        spread = rooted(hot, bits)
+    else:
+        bits -= bits // BLOCKS
+    ready.append((spread, bits))
+    links = None
+    for rows, left in ready:
+        heavy = rows.groupBy("root").count().where(F.col("count") > ROOT_ROWS)
+        parts = F.greatest(F.least(F.lit(FEW_PARTS), F.ceil(F.col("count") / ROOT_ROWS)), F.ceil(F.col("count") / PART_ROWS))
+        heavy = heavy.select("root", parts.cast("int").alias("parts"))
+        if rows is ready[0][0]:  # at most BLOCKS x 2^BLOCK_BITS rows of 12 bytes, whatever the input
+            heavy = F.broadcast(heavy)
+        dealt = rows.join(heavy, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        # two parts that meet are held against themselves as well
+        dealt = dealt.where("own <> other OR parts = 1").select(
+            "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rest", "id"
+        )
+        dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+        found = arrow_map(dealt, partial(_star_links, left), "a long, b long")
+        links = found if links is None else links.unionByName(found)
+    return links
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +265,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their texts). An empty table gives no rows; extra columns are ignored.
     """
     base = pick(docs, doc_id=id_col, text=text_col)
-    made = cut(with_fingerprint(base).select("doc_id", "fp"))
+    made = cut(with_fingerprint(base, drop=["text"]))
     named = made.where("doc_id IS NOT NULL")
     prints = cut(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")))
     links = fingerprint_links(prints.select("fp", "id"))

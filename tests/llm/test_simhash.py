@@ -60,6 +60,22 @@ def corpus():
     return texts
 
 
+def test_roots_hold_a_quarter_and_tries_the_rest(spark):
+    rng = np.random.default_rng(9)
+    for bits in (64, 48, 36):
+        v = [int(x) for x in rng.integers(0, 1 << bits, 50, dtype=np.uint64)]
+        rows = spark.createDataFrame([(i % 3, x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(v)], "root long, rest long, id long")
+        quarter, found = bits // 4, set()
+        for r in simhash.rooted(rows, bits).collect():
+            k, own = divmod(r.root - r.id % 3 * (4 << quarter), 1 << quarter)
+            low = bits - quarter * (k + 1)
+            x = v[r.id]
+            assert own == x >> low & (1 << quarter) - 1
+            assert r.rest == (x >> low + quarter << low) | x & (1 << low) - 1
+            found.add((r.id, k))
+        assert len(found) == 200
+
+
 def test_components_equal_brute_force(spark, monkeypatch):
     texts = corpus()
     docs = spark.createDataFrame(
@@ -68,8 +84,9 @@ def test_components_equal_brute_force(spark, monkeypatch):
     prints = [plain_fingerprint(t) for t in texts]
     want = smallest_reachable(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
     assert len(set(want)) < len(set(prints))
-    monkeypatch.setattr(simhash, "ROOT_ROWS", 3)  # every larger root is dealt into parts
-    for _ in range(2):
+    for small in ({"ROOT_ROWS": 3}, {"ROOT_ROWS": 3, "FEW_PARTS": 2, "PART_ROWS": 4}, {"MANY_ROWS": 9, "ROOT_ROWS": 3}, {"MANY_ROWS": 2, "ROOT_ROWS": 2, "BROADCAST_ROOTS": 0}, {}):
+        for name, value in small.items():  # larger roots are dealt into parts, or taken apart
+            monkeypatch.setattr(simhash, name, value)
         got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.simhash_groups(docs).collect()}
         assert got == {i: (prints[i], want[i]) for i in range(len(texts))}
         monkeypatch.undo()
