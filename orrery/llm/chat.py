@@ -16,7 +16,8 @@ REPLY_ROLE = "assistant"
 
 _TAILS = "|".join("".join("\\" + c if not c.isalnum() else c for c in s[1:]) for s in CONTROL)
 _FIRST = rf"([<\[])(?={_TAILS})"
-_TURN = r"(?s)<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n"
+#: Possessive, so that it is matched in a loop: roles of any length.
+_TURN = r"(?s)<\|im_start\|>((?:[^\\\n]|\\.)*+)\n(.*?)<\|im_end\|>\n"
 
 
 def escape(text: Column) -> Column:
@@ -43,8 +44,9 @@ def expand(
     all turns where there is none, are kept by a further example without a loss span (both null).
     Turns are ordered by turn (null first), ties by role and text; repeated rows are repeated
     turns; null roles and texts count as empty; rows of a null conv_id are one conversation. A
-    conversation is gathered into one row, as its longest example has to be. No rows, no examples;
-    extra columns are ignored.
+    conversation is gathered into one row, as its longest example has to be; its examples hold
+    their contexts, so with n replies of equal length they come to n / 2 times its text, as the
+    method has it. They leave the task one by one. No rows, no examples; extra columns are ignored.
     """
     rows = pick(conversations, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
     turn = F.struct(
@@ -76,8 +78,10 @@ def expand(
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation, from the examples alone: turns (array of role, text), loss_text and
-    formatted_chars."""
+    """Per conversation, from the examples alone: turns (array of role, text, read off the last
+    example), loss_text (the replies in order) and formatted_chars (of all examples). A conversation
+    without replies has an empty loss_text; examples of a null conv_id are one conversation; no
+    examples, no rows."""
     target = F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
     roles, texts = (F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(k)) for k in (1, 2))
     turns = F.zip_with(roles, texts, lambda r, t: F.struct(unescape(r).alias("role"), unescape(t).alias("text")))

@@ -40,3 +40,13 @@ def test_query(spark, tmp_path):
     own = "</s>[INST] ok [/INST]"
     assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{own}\nassistant\n{own}\n".encode()).hexdigest()
     assert (got[-1].loss_chars, got[-1].n_turns, got[1].n_turns) == (len(own), 2, 6)
+
+
+def test_long_roles_and_many_turns(spark):
+    role = "r\\o\n<s>" * 20_000
+    rows = [(1, 0, role, "x" * 100_000), (1, 1, "assistant", role), (2, 0, "", "")] + [(3, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in chat.read_back(chat.expand(frame)).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [(role, "x" * 100_000), ("assistant", role)] and back[1].loss_text == role
+    assert [(t.role, t.text) for t in back[2].turns] == [("", "")] and back[2].loss_text == ""
+    assert back[3].loss_text == "".join(f"t{i}" for i in range(1, 300, 2)) and len(back[3].turns) == 300
