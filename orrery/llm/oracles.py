@@ -85,3 +85,37 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links,
        coalesce(m.component_id, e.vec_id) AS component_id, coalesce(m.component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) m ON m.node = e.vec_id
 """
+
+OP9 = """
+WITH crc AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(i AS BIGINT))) AS step
+), d AS MATERIALIZED (
+    SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+           xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)),
+               lambda a, b: xor(a >> 8, step[1 + CAST(xor(a, b) & 255 AS INT)]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32,
+           coalesce(CAST(doc_id AS VARCHAR), 'null') AS key
+    FROM documents, crc
+), nodes AS (
+    SELECT 'root' AS parent, 'region' || r AS name, 8.0 AS weight, CAST(NULL AS INT) AS shard FROM range(2) t(r)
+    UNION ALL SELECT 'region' || r, 'rack' || r || '.' || c, 4.0, NULL FROM range(2) t(r), range(2) u(c)
+    UNION ALL SELECT 'rack' || k % 2 || '.' || k // 2 % 2, 'shard' || k, 1.0, CAST(k AS INT) FROM range(16) t(k)
+    UNION ALL SELECT 'root', 'region+16', 1.0, 16
+), draws AS (
+    SELECT key, parent, name, shard,
+           -ln((CAST('0x' || substr(md5(key || ':' || name), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / weight AS draw
+    FROM (SELECT DISTINCT key FROM d), nodes
+), old AS (
+    SELECT key, parent, arg_min(name, draw) AS name, arg_min(coalesce(shard, -1), draw) AS shard FROM draws WHERE name <> 'region+16' GROUP BY key, parent
+), new AS (
+    SELECT key, arg_min(name, draw) AS name FROM draws WHERE parent = 'root' GROUP BY key
+), placed AS (
+    SELECT region.key, shard.shard, CASE WHEN new.name = 'region+16' THEN 16 ELSE shard.shard END AS grown_shard
+    FROM old region JOIN old rack ON rack.key = region.key AND rack.parent = region.name
+    JOIN old shard ON shard.key = rack.key AND shard.parent = rack.name JOIN new ON new.key = region.key
+    WHERE region.parent = 'root'
+)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(d.key || ':' || text_crc32 || ':' || size), 1, 13) AS BIGINT) % 1024,
+                               d.doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot
+FROM d JOIN placed ON placed.key = d.key
+"""

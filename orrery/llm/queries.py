@@ -32,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_segment_topk": oracles.OP3,
     "op5_weighted_mix": oracles.OP5,
     "op7_prefix_target_chat": oracles.OP7,
+    "op9_hash_tree_sharding": oracles.OP9,
 }

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, pick, table, uniform
+from .common import cut, pick, table
 
 #: Ranges of the hash of a row that get their slots by themselves; more spread the sort wider.
 SLOT_BUCKETS = 1024
+SLOTS_AT_ONCE = 10_000
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,19 @@ def grown(tree: Node, shard: int, weight: float = 1.0) -> Node:
     return Node(tree.name, (*tree.children, Node(f"region+{shard}", (Node(f"rack+{shard}", (leaf,)),))))
 
 
+def hashed(*parts: Column) -> Column:
+    """The first 52 bits of the md5 of parts, joined by colons."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1), the same on every run and in other engines."""
+    return (hashed(*parts) + 0.5) / F.lit(float(1 << 52))
+
+
 def place(node: Node, *key: Column) -> Column:
-    """The shard that key descends to. At every level each child draws -ln(u)/weight from the
+    """The shard that key (not null) descends to. At every level each child draws -ln(u)/weight from the
     hash of (key, child) and the least wins: a child is taken with probability weight/total, and
     a change of its weight moves keys only into it or out of it."""
     if node.shard is not None:
@@ -89,27 +101,34 @@ def assign_shards(
     crc32 as that of the empty text. Slots number the rows of each shard from 0 without gaps:
     rows are split by hash into slot_buckets ranges per shard, ranges are counted, and a row's
     slot is the rows in earlier ranges plus its place in its own; no task sorts a whole shard.
-    Repeated rows get a slot each. An empty table gives no rows; extra columns are ignored.
+    Repeated rows are counted map-side, sorted as one and given a slot each in the end. An empty
+    table gives no rows; extra columns are ignored.
     """
     base = pick(docs, doc_id=id_col, text=text_col)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     more = place(bigger, key) if bigger is not None else F.lit(None)
     base = base.select(
         "doc_id", size.alias("size"), crc.alias("text_crc32"), key.alias("key"),
         place(tree, key).cast("int").alias("shard"), more.cast("int").alias("grown_shard"),
     )
-    bucket = F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(slot_buckets)).cast("int")
-    base = cut(base.withColumn("bucket", bucket).drop("key"))
-    counts = base.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    bucket = (hashed(F.col("key"), F.col("text_crc32"), F.col("size")) % slot_buckets).cast("int")
+    alike = base.withColumn("bucket", bucket).groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket")
+    alike = cut(alike.agg(F.count("*").alias("n")))
+    counts = alike.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    placed = base.withColumn("place", F.row_number().over(within) - 1)
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
     # starts has one row for each shard and range at most: shards x slot_buckets, both parameters
-    return placed.join(F.broadcast(starts), ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), "grown_shard"
+    placed = placed.join(F.broadcast(starts), ["shard", "bucket"]).withColumn("first", F.col("start") + F.col("place"))
+    # a slot for each of n equal rows, SLOTS_AT_ONCE at a time
+    placed = placed.withColumn("end", F.col("first") + F.col("n") - 1)
+    placed = placed.withColumn("some", F.explode(F.sequence("first", "end", F.lit(SLOTS_AT_ONCE).cast("long"))))
+    slot = F.explode(F.sequence("some", F.least(F.col("some") + (SLOTS_AT_ONCE - 1), "end"))).alias("slot")
+    return placed.select("doc_id", "size", "text_crc32", "shard", slot, "grown_shard").select(
+        "doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
     )
 
 

@@ -1,8 +1,41 @@
+import hashlib
+import math
 import zlib
 
-from orrery.llm.sharding import Node, assign_shards, even_tree, grown, place
 from pyspark.sql import functions as F
 
+from orrery.llm import sharding
+from orrery.llm.sharding import Node, assign_shards, even_tree, grown, place
+
+
+def number(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+
+def descend(node, key):
+    """The tree's law, draw by draw."""
+    while node.shard is None:
+        node = min(node.children, key=lambda c: -math.log((number(key, c.name) + 0.5) / 2**52) / c.weight)
+    return node.shard
+
+
+def test_every_row_is_where_the_draws_put_it(spark, monkeypatch):
+    texts = ["", "é", "x y", None]
+    rows = [(i % 701, texts[i % 4] and texts[i % 4] + "z" * (i % 9)) for i in range(1500)] + [(None, "n")] * 3 + [(5000, "many")] * 70
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tree = even_tree(11, 3, 2)
+    bigger = grown(tree, 11, 2.5)
+    want = {}
+    for doc_id, text in rows:
+        key, raw = "null" if doc_id is None else str(doc_id), (text or "").encode()
+        crc, size = zlib.crc32(raw), len(raw) + 1
+        place_ = (number(key, crc, size) % 16, -1 if doc_id is None else doc_id, crc, size)
+        want.setdefault(descend(tree, key), []).append((*place_, doc_id, descend(bigger, key)))
+    want = sorted(str((r[4], r[3], r[2], shard, slot, r[5])) for shard, mine in want.items() for slot, r in enumerate(sorted(mine, key=lambda r: r[:4])))
+    for at_once in (10_000, 7):
+        monkeypatch.setattr(sharding, "SLOTS_AT_ONCE", at_once)
+        assert sorted(str(tuple(r)) for r in assign_shards(docs, tree, bigger, slot_buckets=16).collect()) == want
+
 
 def test_slots_are_gapless_and_growth_moves_rows_only_into_the_new_shard(spark):
     docs = spark.createDataFrame([(i, f"text {i % 300}") for i in range(4000)], "doc_id long, text string").repartition(5)
