@@ -4,7 +4,11 @@ encoded. Each stage works on all that the one before it kept.
 
 The mix meets its targets to the word, so of each source up to one text, the one in which its
 budget ends, is partial: its first words only are passed on and encoded, in place of the whole
-text or besides whole copies of it. With many small sources that is a great share of the texts."""
+text or besides whole copies of it. With many small sources that is a great share of the texts.
+
+Every stage reads and writes the columns of documents (doc_id, text, lang, source, n_chars), and
+passes extra columns through, also ones whose names differ from these in case only. An empty table
+stays empty. What a stage does with nulls, ties and repeated rows is in its docstring."""
 
 from __future__ import annotations
 
@@ -14,35 +18,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, mixing, pii, simhash, toxicity
-from orrery.llm.common import checkpoint_dir, table
+from orrery.llm.common import checkpoint_dir, pick, table
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    """docs with n_chars as the text now has them; by position, as other columns may be named alike."""
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, count = f"c{names.index('text')}", names.index("n_chars")
+    return flat.withColumn(f"c{count}", F.char_length(text).cast("long")).toDF(*names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score is below the threshold. Null and empty texts hold no word and stay;
+    of repeated rows all stay or none; a text of any length is scored whole."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the least doc_id. Texts without words
+    are one group; of rows that share a doc_id one stays; rows without one link with nothing."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data in the text replaced by its kind in brackets.
+    Null texts stay null; repeated rows are masked alike."""
     return _recounted(pii.mask_texts(docs, pii.fit(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to one of each source in part. Documents
+    without words stay once; a null source is a source; equal keys are ordered by doc_id and text,
+    and of equal rows as many are taken as the budget has room for."""
     return _recounted(mixing.mixed_texts(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and source of each text of the mix, its tokens (little-endian unsigned 32-bit), their
-    number, and digests of the tokens and of what they decode to."""
+    number, and digests of the tokens and of what they decode to. Null texts have no tokens."""
     path, pattern = bpe.vocabulary()
-    coded = bpe.encode_texts(docs.select("doc_id", "source", "text"), path, pattern).drop("text")
-    return bpe.decode_tokens(coded, path).select(
+    coded = bpe.code_texts(pick(docs, doc_id="doc_id", source="source", text="text"), path, pattern)
+    return coded.select(
         "doc_id", "source", "tokens",
         F.expr("octet_length(tokens) div 4").cast("long").alias("n_tokens"),
         F.sha2("tokens", 256).alias("ids_sha256"),
