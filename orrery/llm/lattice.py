@@ -28,8 +28,9 @@ VECTORS_AT_A_TIME = 512
 ROUNDS, LEAST_BALL, BALL_BITS = 3, 8, 6
 ANGLE = float(np.arccos(COSINE))
 HALF = ANGLE / 2 - 1e-6
-#: Members of a ball, and of those that it is held against, in one task.
-BLOCK_ROWS = 2_048
+#: Members of a ball, and of those that it is held against, in one task at most; smaller groups are
+#: dealt into up to FEW_BLOCKS blocks of at least LEAST_BLOCK rows.
+BLOCK_ROWS, FEW_BLOCKS, LEAST_BLOCK = 2_048, 16, 64
 #: Shares into which rows of a ball are dealt for joins on it.
 SALTS = 16
 
@@ -88,39 +89,58 @@ def by_length(codes: list[bytes]):
             yield part, np.frombuffer(b"".join(codes[i] for i in part)).reshape(len(part), -1)
 
 
-def cells(batches):
-    """key, id, sketch, level: the cell of each vector in each table (level: the table's number),
-    and the cells in which it looks for others (its own and the PROBES nearest to it; level -1)."""
-    steps, held = shortest(), {}
-    names = ["key", "id", "sketch", "level"]
-
-    def solve(ids: np.ndarray, x: np.ndarray):
-        dim = x.shape[1]
-        if dim not in held:
-            rng = np.random.default_rng([8240, dim])
-            held[dim] = rng.normal(size=(TABLES, dim, 8)), rng.normal(size=(dim, 64)), rng.integers(1, 1 << 63, (TABLES, 9), dtype=np.uint64)
-        projections, signs, salts = held[dim]
-        direction = unit(x)
-        sketch = np.packbits(direction @ signs > 0, axis=1).view(">i8").astype(np.int64)[:, 0]
-        for level, (projection, salt) in enumerate(zip(projections, salts, strict=True)):
-            y = direction @ projection / SCALE
-            own = decode(y)
-            around = ((y[:, None, :] - own[:, None, :] - steps) ** 2).sum(axis=2)
-            near = np.argpartition(around, PROBES, axis=1)[:, :PROBES]
-            points = np.concatenate([own[:, None, :], own[:, None, :], own[:, None, :] + steps[near]], axis=1)
-            whole = np.rint(2 * points).astype(np.int64).view(np.uint64)
-            key = (whole * (salt[:8] | np.uint64(1))).sum(axis=2, dtype=np.uint64) ^ salt[8]
-            key = (key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            times = key.shape[1]
-            own_level = np.full(key.shape, -1, np.int32)
-            own_level[:, 0] = level
-            columns = (key.ravel(), np.repeat(ids, times), np.repeat(sketch, times), own_level.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+def _tables(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Projections of the tables, directions of the sketch, and salts of the cells' keys."""
+    rng = np.random.default_rng([8240, dim])
+    return rng.normal(size=(TABLES, dim, 8)), rng.normal(size=(dim, 64)), rng.integers(1, 1 << 63, (TABLES, 9), dtype=np.uint64)
+
+
+def _sketches(direction: np.ndarray) -> np.ndarray:
+    return np.packbits(direction @ _tables(direction.shape[1])[1] > 0, axis=1).view(">i8").astype(np.int64)[:, 0]
+
+
+def _key(points: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A hash of lattice points (last axis) in a table."""
+    whole = np.rint(2 * points).astype(np.int64).view(np.uint64)
+    key = (whole * (salt[:8] | np.uint64(1))).sum(axis=-1, dtype=np.uint64) ^ salt[8]
+    return (key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
 
+def own_cells(batches):
+    """key, id, sketch, level: the cell of each vector in each of the first tables."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for part, x in by_length(batch.column(1).to_pylist()):
-            yield from solve(ids[part], x)
+            direction = unit(x)
+            sketch, (projections, _, salts) = _sketches(direction), _tables(x.shape[1])
+            for level in range(min(ROUNDS, TABLES)):
+                key = _key(decode(direction @ projections[level] / SCALE), salts[level])
+                columns = [pa.array(c) for c in (key, ids[part], sketch, np.full(len(part), level, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "sketch", "level"])
+
+
+def cells(batches):
+    """key, class, sketch, ball, stored: the cell of each vector in each table (stored), and the
+    cells in which it looks for others (its own and the PROBES nearest to it). A ball's members
+    have its sketch."""
+    steps = shortest()
+    for batch in batches:
+        ids, ball = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+        given = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        for part, x in by_length(batch.column(1).to_pylist()):
+            direction = unit(x)
+            sketch = np.where(ball[part], given[part], _sketches(direction))
+            projections, _, salts = _tables(x.shape[1])
+            for projection, salt in zip(projections, salts, strict=True):
+                y = direction @ projection / SCALE
+                own = decode(y)
+                around = ((y[:, None, :] - own[:, None, :] - steps) ** 2).sum(axis=2)
+                near = np.argpartition(around, PROBES, axis=1)[:, :PROBES]
+                key = _key(np.concatenate([own[:, None, :], own[:, None, :], own[:, None, :] + steps[near]], axis=1), salt)
+                stored = np.zeros(key.shape, bool)
+                stored[:, 0] = True
+                columns = [key.ravel(), *(np.repeat(c, key.shape[1]) for c in (ids[part], sketch, ball[part])), stored.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "class", "sketch", "ball", "stored"])
 
 
 def cosines(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -180,9 +200,10 @@ def _salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return rows.join(few, [key, "salt"]).drop("salt")
 
 
-def gathered(placed: DataFrame, classes: DataFrame) -> DataFrame | None:
+def gathered(classes: DataFrame) -> DataFrame | None:
     """id, lead, sketch: the vectors that lie in a ball, the one it is around (the least id of its
     cell, a member too) and that one's sketch. None if there is no ball."""
+    placed = cut(arrow_map(classes.select("id", "code"), own_cells, "key long, id long, sketch long, level int"))
     found = None
     for level in range(min(ROUNDS, TABLES)):
         free = placed.where(F.col("level") == level).select("key", "id", "sketch")
@@ -220,20 +241,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     base = cut(arrow_map(base, sound, "vec_id long, code binary"))
     able = base.where("code IS NOT NULL AND vec_id IS NOT NULL")
     classes = cut(able.groupBy("code").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
-    placed = cut(arrow_map(classes.select("id", "code"), cells, "key long, id long, sketch long, level int"))
-    balls = gathered(placed, classes)
+    balls = gathered(classes)
     if balls is None:
-        named = classes.select("*", F.col("id").alias("class"), F.lit(False).alias("ball"))
-        seen = placed.select("key", "level", F.col("id").alias("class"), "sketch", F.lit(False).alias("ball"))
+        named = classes.select("code", "id", "n", F.col("id").alias("class"), F.lit(None).cast("long").alias("sketch"), F.lit(False).alias("ball"))
     else:
-        named = classes.join(balls.select("id", "lead"), "id", "left")
-        named = cut(named.select("code", "id", "n", F.coalesce("lead", "id").alias("class"), F.col("lead").isNotNull().alias("ball")))
-        seen = placed.join(balls.select("id", "lead", F.col("sketch").alias("lead_sketch")), "id", "left").select(
-            "key", "level", F.coalesce("lead", "id").alias("class"), F.coalesce("lead_sketch", "sketch").alias("sketch"),
-            F.col("lead").isNotNull().alias("ball"),
-        ).distinct()
-    one = seen.where("level >= 0").select("key", F.col("class").alias("x"), F.col("sketch").alias("s"), F.col("ball").alias("u"))
-    other = seen.where("level < 0").select("key", F.col("class").alias("y"), F.col("sketch").alias("t"), F.col("ball").alias("v"))
+        named = classes.join(balls, "id", "left")
+        named = cut(named.select("code", "id", "n", F.coalesce("lead", "id").alias("class"), "sketch", F.col("lead").isNotNull().alias("ball")))
+
+    def placed_in_cells(some: DataFrame) -> DataFrame:
+        return arrow_map(some.select("class", "code", "sketch", "ball"), cells, "key long, class long, sketch long, ball boolean, stored boolean")
+
+    placed = placed_in_cells(named.where("NOT ball"))
+    if balls is not None:  # whose members are in few cells
+        placed = placed.unionByName(placed_in_cells(named.where("ball")).distinct())
+    placed = cut(placed)
+    one = placed.where("stored").select("key", F.col("class").alias("x"), F.col("sketch").alias("s"), F.col("ball").alias("u"))
+    other = placed.where("NOT stored").select("key", F.col("class").alias("y"), F.col("sketch").alias("t"), F.col("ball").alias("v"))
     bits = F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) - BALL_BITS * (F.col("u").cast("int") + F.col("v").cast("int"))
     met = one.join(other, (one["key"] == other["key"]) & (F.col("x") != F.col("y")) & (bits <= SKETCH_BITS))
     first = F.col("x") < F.col("y")
@@ -256,7 +279,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         members = named.select("id", "n", "code", "class")
         left = members.join(near.select(F.col("owner").alias("class")).distinct(), "class").withColumn("owner", F.col("class"))
         right = near.join(members, "class")
-        per_block = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
+        rows = F.count("*")
+        per_block = F.greatest(F.ceil(rows / BLOCK_ROWS), F.least(F.lit(FEW_BLOCKS), F.ceil(rows / LEAST_BLOCK))).cast("int")
         sizes = left.groupBy("owner").agg(per_block.alias("l_blocks")).join(right.groupBy("owner").agg(per_block.alias("r_blocks")), "owner")
         left, right = (_salted(rows, sizes, "owner") for rows in (left, right))
 
