@@ -27,8 +27,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 #: parts is a task.
 MANY_ROWS, REROOTS = 200_000, 2
 ROOT_ROWS, FEW_PARTS, PART_ROWS = 2_000, 16, 100_000
-#: Roots up to this number (8 bytes each) are broadcast; beyond it they are joined.
-BROADCAST_ROOTS = 1_000_000
+#: Full roots up to this number (16 bytes each) are broadcast; beyond it they are joined.
+BROADCAST_ROOTS = 300_000
 #: Fingerprints that a task takes from its sorted input at a time, whole roots only.
 CHUNK_ROWS = 400_000
 
@@ -212,47 +212,40 @@ def rooted(rows: DataFrame, bits: int) -> DataFrame:
     return spread.select(root.alias("root"), above.bitwiseOR(below).alias("rest"), "id")
 
 
-def _apart(rows: DataFrame, rows_by_root: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows whose root is, and isn't, in rows_by_root."""
-    return rows.join(rows_by_root, "root", "left_semi"), rows.join(rows_by_root, "root", "left_anti")
-
-
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (columns fp, id), enough to join all
     within BUDGET bits of each other, directly or through others."""
     bits = BLOCKS * BLOCK_BITS
-    spread = rooted(prints.select(F.lit(0).cast("long").alias("root"), F.col("fp").alias("rest"), "id"), bits)
-    ready = []
-    for _ in range(REROOTS):
-        bits -= bits // BLOCKS
-        many = cut(spread.groupBy("root").count().where(F.col("count") > MANY_ROWS).select("root"))
-        found = many.count()  # one in MANY_ROWS of the rows at most
-        if not found:
-            break
-        hot, cold = _apart(spread, F.broadcast(many) if found <= BROADCAST_ROOTS else many)
-        ready.append((cold, bits))
-        spread = rooted(hot, bits)
-    else:
-        bits -= bits // BLOCKS
-    ready.append((spread, bits))
+    rows = prints.select(F.lit(0).cast("long").alias("root"), F.col("fp").alias("rest"), "id")
     links = None
-    for rows, left in ready:
-        heavy = rows.groupBy("root").count().where(F.col("count") > ROOT_ROWS)
-        parts = F.greatest(F.least(F.lit(FEW_PARTS), F.ceil(F.col("count") / ROOT_ROWS)), F.ceil(F.col("count") / PART_ROWS))
-        heavy = heavy.select("root", parts.cast("int").alias("parts"))
-        if rows is ready[0][0]:  # at most BLOCKS x 2^BLOCK_BITS rows of 12 bytes, whatever the input
-            heavy = F.broadcast(heavy)
-        dealt = rows.join(heavy, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        # two parts that meet are held against themselves as well
-        dealt = dealt.where("own <> other OR parts = 1").select(
-            "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rest", "id"
-        )
-        dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-        found = arrow_map(dealt, partial(_star_links, left), "a long, b long")
-        links = found if links is None else links.unionByName(found)
-    return links
+    for again in range(REROOTS + 1):
+        rows, bits = rooted(rows, bits), bits - bits // BLOCKS
+        # one root in ROOT_ROWS rows at most
+        full = cut(rows.groupBy("root").count().where(F.col("count") > ROOT_ROWS))
+        found = full.selectExpr("count(*) AS roots", f"count_if(count > {MANY_ROWS}) AS many").first()
+        shared = F.broadcast(full) if found["roots"] <= BROADCAST_ROOTS else full
+        known = rows.join(shared, "root", "left")
+        last = again == REROOTS or not found["many"]
+        ready = _star_links_of(known if last else known.where(F.coalesce("count", F.lit(0)) <= MANY_ROWS), bits)
+        links = ready if links is None else links.unionByName(ready)
+        if last:
+            return links
+        rows = known.where(F.col("count") > MANY_ROWS).select("root", "rest", "id")
+
+
+def _star_links_of(rows: DataFrame, bits: int) -> DataFrame:
+    """The links below each root of rows (root, count if it is a full one, rest, id)."""
+    count = F.coalesce("count", F.lit(1))
+    parts = F.greatest(F.least(F.lit(FEW_PARTS), F.ceil(count / ROOT_ROWS)), F.ceil(count / PART_ROWS)).cast("int")
+    dealt = rows.select("root", "rest", "id", parts.alias("parts"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    # two parts that meet are held against themselves as well
+    dealt = dealt.where("own <> other OR parts = 1").select(
+        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rest", "id"
+    )
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return arrow_map(dealt, partial(_star_links, bits), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
