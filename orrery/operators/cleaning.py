@@ -88,13 +88,18 @@ def clean_claims(raw: DataFrame) -> DataFrame:
     return with_all(typed, "claim_number", "policy_number", "incident_date").where("incident_hour BETWEEN 0 AND 23")
 
 
+def valid_policies(typed: DataFrame) -> DataFrame:
+    """Rows with a customer, a number, a day of issue and a premium that isn't negative; nor may a
+    sum insured be, if there is one."""
+    valid = with_all(typed, "customer_id", "policy_number", "issue_date", "premium")
+    return valid.where("premium >= 0 AND coalesce(sum_insured >= 0, true)")
+
+
 def clean_policies(raw: DataFrame, specs: Iterable[Mapping] = ()) -> DataFrame:
     """Invalid rows go before duplicates do, so an invalid copy can't displace a valid one."""
     named = rename_by_specs(raw, specs)
     typed = named.withColumns({name: day(name) for name in ("issue_date", "effective_date", "expiry_date", "driver_dob")})
-    valid = with_all(typed, "customer_id", "policy_number", "issue_date", "premium")
-    valid = valid.where("premium >= 0 AND coalesce(sum_insured >= 0, true)")
-    return keep_first(valid, "policy_number", ("issue_date", "expiry_date", "premium", "sum_insured"), ("ingestion_timestamp",))
+    return keep_first(valid_policies(typed), "policy_number", ("issue_date", "expiry_date", "premium", "sum_insured"), ("ingestion_timestamp",))
 
 
 def clean_accidents(raw: DataFrame, specs: Iterable[Mapping] = ()) -> DataFrame:

@@ -7,9 +7,10 @@ import io
 import json
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import accumulate
 from statistics import median
 
 from pyspark.sql import DataFrame
@@ -88,25 +89,66 @@ class PlanFeatures:
     windows: int
     python: int
     scans: tuple[str, ...]
+    #: What adaptive execution made of the shuffles that it read: coalesced, skewed, local.
+    adaptive: dict[str, int] = field(default_factory=dict)
 
 
 def plan_features(df: DataFrame) -> PlanFeatures:
-    """Join strategies, exchanges by kind, and what scans read, of a frame's physical plan."""
+    """Join strategies, exchanges by kind, and what scans read, of a frame's physical plan; of the
+    final plan if it has been run."""
     return features_of_text(df._jdf.queryExecution().executedPlan().toString())
 
 
 def features_of_text(plan: str) -> PlanFeatures:
     plan = plan.split("== Initial Plan ==")[0]
-    joins, exchanges = defaultdict(int), defaultdict(int)
-    for name in re.findall(r"\b(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct)\b", plan):
-        joins[name] += 1
-    for name in re.findall(r"\b(?:Broadcast)?Exchange (\w+)", plan):
-        exchanges[name] += 1
+
+    def counts(pattern: str) -> dict[str, int]:
+        return dict(Counter(re.findall(pattern, plan)))
 
     def count(pattern: str) -> int:
         return len(re.findall(pattern, plan))
 
-    return PlanFeatures(dict(joins), dict(exchanges), count(r"(?<!Take)\bSort \["), count(r"\bWindow \["), count(r"Python|Pandas|Arrow"), tuple(re.findall(r"ReadSchema: struct<([^>]*)>", plan)))
+    joins = counts(r"\b(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|BroadcastNestedLoopJoin|CartesianProduct)\b")
+    reads = Counter(word for text in re.findall(r"AQEShuffleRead (.*)", plan) for word in re.findall(r"coalesced|skewed|local", text))
+    return PlanFeatures(
+        joins, counts(r"\b(?:Broadcast)?Exchange (\w+)"), count(r"(?<!Take)\bSort \["), count(r"\bWindow \["), count(r"Python|Pandas|Arrow"),
+        tuple(re.findall(r"ReadSchema: struct<([^>]*)>", plan)), dict(reads),
+    )
+
+
+@dataclass
+class ActionReport:
+    """One SQL execution: what it was, from its start to its end, its jobs, and the features of the
+    plan that it ended with."""
+
+    execution: int
+    description: str
+    wall_s: float
+    jobs: int
+    plan: PlanFeatures
+
+
+def actions_of_event_log(lines: Iterable[str]) -> list[ActionReport]:
+    """The SQL executions of a Spark event log, slowest first. Adaptive execution reports its plan
+    anew as it changes; the last one counts."""
+    started, ended, plans, jobs = {}, {}, {}, Counter()
+    for event in map(json.loads, lines):
+        kind = event["Event"].rpartition(".")[2]
+        if kind == "SparkListenerSQLExecutionStart":
+            started[event["executionId"]] = event["time"], event.get("description") or ""
+            plans[event["executionId"]] = event.get("physicalPlanDescription") or ""
+        elif kind == "SparkListenerSQLAdaptiveExecutionUpdate":
+            plans[event["executionId"]] = event.get("physicalPlanDescription") or ""
+        elif kind == "SparkListenerSQLExecutionEnd":
+            ended[event["executionId"]] = event["time"]
+        elif kind == "SparkListenerJobStart":
+            execution = (event.get("Properties") or {}).get("spark.sql.execution.id")
+            if execution is not None:
+                jobs[int(execution)] += 1
+    made = [
+        ActionReport(i, description, (ended[i] - time) / 1000, jobs[i], features_of_text(plans[i])) for i, (time, description) in started.items() if i in ended
+    ]
+    return sorted(made, key=lambda r: -r.wall_s)
 
 
 @dataclass
@@ -174,12 +216,18 @@ def read_card(title: str, text: str) -> CardText:
     return CardText(title, head["display"], width, height, json.loads(head["settings"]), " ".join(about), "\n".join(lines).strip().rstrip(";"))
 
 
-def place_cards(cards: Sequence[CardText], columns: int = 24) -> list[tuple[int, int]]:
-    """(column, row) of each card: left to right, a new row where one doesn't fit."""
-    out, x, y, tallest = [], 0, 0, 0
+def shelves(cards: Sequence[CardText], columns: int = 24) -> list[list[CardText]]:
+    """The cards in order, as many on each shelf as its width holds."""
+    filled: list[list[CardText]] = []
     for card in cards:
-        if x and x + card.width > columns:
-            x, y, tallest = 0, y + tallest, 0
-        out.append((x, y))
-        x, tallest = x + card.width, max(tallest, card.height)
-    return out
+        if not filled or sum(c.width for c in filled[-1]) + card.width > columns:
+            filled.append([])
+        filled[-1].append(card)
+    return filled
+
+
+def place_cards(cards: Sequence[CardText], columns: int = 24) -> list[tuple[int, int]]:
+    """(column, row) of each card: a shelf stands below the highest card of the one before it."""
+    filled = shelves(cards, columns)
+    tops = accumulate((max(c.height for c in shelf) for shelf in filled), initial=0)
+    return [(left, top) for shelf, top in zip(filled, tops, strict=False) for left in accumulate((c.width for c in shelf[:-1]), initial=0)]

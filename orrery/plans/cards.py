@@ -26,14 +26,13 @@ class Card:
     order: str = ""
     limit: int = 0
     before: dict[str, str] = field(default_factory=dict)  # named subqueries
-    joins: str = ""
 
     def sql(self) -> str:
         parts = []
         if self.before:
             parts.append("WITH " + ", ".join(f"{name} AS ({query})" for name, query in self.before.items()))
         shown = [expression if expression == name else f"{expression} AS {name}" for name, expression in self.columns.items()]
-        parts += [f"SELECT {', '.join(shown)}", f"FROM {self.source} {self.joins}".rstrip()]
+        parts += [f"SELECT {', '.join(shown)}", f"FROM {self.source}"]
         parts += [f"{word} {value}" for word, value in (("WHERE", self.where), ("GROUP BY", self.group), ("ORDER BY", self.order), ("LIMIT", self.limit)) if value]
         return "\n".join(parts)
 
@@ -47,23 +46,34 @@ def same(*names: str) -> dict[str, str]:
 
 CLAIMS, CRASHES, BOOK = "gold_claims_monthly", "gold_accidents_monthly", "gold_policies_monthly"
 BOROUGHS, BODIES, RATIO = "gold_accidents_borough_monthly", "gold_vehicle_body_risk", "gold_loss_ratio_monthly"
-MONTHLY = {"c": ("claim_year_month", "number_of_claims", CLAIMS, ""), "a": ("accident_year_month", "number_of_accidents", CRASHES, ""), "p": ("year_month", "policies_issued", BOOK, " WHERE policies_issued > 0")}
 
 
 def indexed_trends() -> Card:
-    """The three monthly counts, each 100 in the first month that all have, up to the last one."""
-    before = {key: f"SELECT {month} AS m, {value} AS v FROM {source}{where}" for key, (month, value, source, where) in MONTHLY.items()}
-    ends = ", ".join(f"(SELECT {{0}}(m) FROM {key})" for key in MONTHLY)
-    before["span"] = f"SELECT greatest({ends.format('min')}) AS lo, least({ends.format('max')}) AS hi"
-    every = " UNION ALL ".join(f"SELECT m FROM {key}" for key in MONTHLY)
-    before["months"] = f"SELECT DISTINCT m FROM ({every}) x WHERE m BETWEEN (SELECT lo FROM span) AND (SELECT hi FROM span)"
-    columns = {"month": "months.m"}
-    joins = []
-    for key, name in zip(MONTHLY, ("claims", "accidents", "policies_issued"), strict=True):
-        before[f"{key}0"] = f"SELECT max(v) AS v FROM {key} WHERE m = (SELECT lo FROM span)"
-        columns[name] = f"round({key}.v / nullif((SELECT v FROM {key}0), 0) * 100, 1)"
-        joins.append(f"LEFT JOIN {key} ON {key}.m = months.m")
-    return Card("business trends, indexed", "months", columns, order="months.m", before=before, joins=" ".join(joins))
+    """The three monthly counts, each 100 in the first month that all have, up to the last one.
+    Each table is read once: its counts are a column of their own in a union, and the common span
+    and the first values are windows over the months, of which there are some hundreds."""
+    before = {
+        "counts": f"""
+    SELECT claim_year_month AS m, number_of_claims AS c, NULL AS a, NULL AS p FROM {CLAIMS}
+    UNION ALL SELECT accident_year_month, NULL, number_of_accidents, NULL FROM {CRASHES}
+    UNION ALL SELECT year_month, NULL, NULL, policies_issued FROM {BOOK} WHERE policies_issued > 0""",
+        "months": "SELECT m, max(c) AS c, max(a) AS a, max(p) AS p FROM counts GROUP BY m",
+        "ends": """
+    SELECT *,
+           greatest(min(CASE WHEN c IS NOT NULL THEN m END) OVER (), min(CASE WHEN a IS NOT NULL THEN m END) OVER (), min(CASE WHEN p IS NOT NULL THEN m END) OVER ()) AS lo,
+           least(max(CASE WHEN c IS NOT NULL THEN m END) OVER (), max(CASE WHEN a IS NOT NULL THEN m END) OVER (), max(CASE WHEN p IS NOT NULL THEN m END) OVER ()) AS hi
+    FROM months""",
+        "based": """
+    SELECT *, max(CASE WHEN m = lo THEN c END) OVER () AS c0, max(CASE WHEN m = lo THEN a END) OVER () AS a0, max(CASE WHEN m = lo THEN p END) OVER () AS p0
+    FROM ends""",
+    }
+    columns = {
+        "month": "m",
+        "claims": "round(c / nullif(c0, 0) * 100, 1)",
+        "accidents": "round(a / nullif(a0, 0) * 100, 1)",
+        "policies_issued": "round(p / nullif(p0, 0) * 100, 1)",
+    }
+    return Card("business trends, indexed", "based", columns, where="m BETWEEN lo AND hi", order="m", before=before)
 
 
 def waterfall(shown: int = 10) -> Card:

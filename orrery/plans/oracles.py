@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cards
+import re
 
 POLICIES = """
 policies AS (
@@ -145,11 +145,117 @@ def gold_table(name: str) -> str:
     return f"WITH {_ROLES} SELECT * FROM {TABLES[name]} t"
 
 
-def card(spec: cards.Card) -> str:
-    """The roles and tables as subqueries before the card's own text."""
-    given = ", ".join([_ROLES, *(f"{name} AS {TABLES[name]}" for name in spec.tables())])
-    text = spec.sql().replace("`", '"')
-    return f"WITH {given}, {text[5:]}" if text.startswith("WITH ") else f"WITH {given} {text}"
+#: SQL of the report queries over the tables above, each written by itself.
+REPORTS = {
+    "q01_total_claims": "SELECT CAST(sum(number_of_claims) AS BIGINT) AS total_claims FROM gold_claims_weekly",
+    "q02_total_claim_amount": "SELECT CAST(sum(total) AS BIGINT) AS total_claim_amount FROM claims",
+    "q03_average_claim_severity": "SELECT round(avg(total), 2) AS avg_claim_amount FROM claims",
+    "q04_total_accidents": "SELECT count(*) AS total_accidents FROM accidents",
+    "q05_total_policies_issued": "SELECT count(*) AS total_policies_issued FROM policies",
+    "q06_business_trends_indexed": """
+SELECT m AS month, round(c.v / c0.v * 100, 1) AS claims, round(a.v / a0.v * 100, 1) AS accidents, round(p.v / p0.v * 100, 1) AS policies_issued
+FROM (SELECT m FROM c UNION SELECT m FROM a UNION SELECT m FROM p) LEFT JOIN c USING (m) LEFT JOIN a USING (m) LEFT JOIN p USING (m), first
+LEFT JOIN c c0 ON c0.m = first.lo LEFT JOIN a a0 ON a0.m = first.lo LEFT JOIN p p0 ON p0.m = first.lo
+WHERE m >= first.lo AND m <= first.hi""",
+    "q07_monthly_claim_trends": """
+SELECT claim_year_month, n AS number_of_claims, round((n / lag(n) OVER (ORDER BY claim_year_month) - 1) * 100, 2) AS pct_change_number_of_claims
+FROM (SELECT coalesce(strftime(claim_datetime, '%Y-%m'), '') AS claim_year_month, count(*) AS n FROM claims GROUP BY ALL)""",
+    "q08_claim_amount_by_type": """
+SELECT coalesce(strftime(claim_datetime, '%Y-%m'), '') AS claim_year_month, CAST(sum(injury) AS BIGINT) AS injury_claim_amount,
+       CAST(sum(property) AS BIGINT) AS property_claim_amount, CAST(sum(vehicle) AS BIGINT) AS vehicle_claim_amount
+FROM claims GROUP BY ALL""",
+    "q09_daily_claims_rolling": """
+SELECT d.claim_datetime AS claim_date, d.v AS total_claim_amount,
+       CASE WHEN d.claim_datetime IS NOT NULL THEN round((SELECT sum(e.v) FROM days e WHERE e.claim_datetime > d.claim_datetime - INTERVAL 30 DAY AND e.claim_datetime <= d.claim_datetime)
+             / least(30, date_diff('day', (SELECT min(claim_datetime) FROM days), d.claim_datetime) + 1)) ELSE round(d.v / 30) END AS rolling_30d_avg_claim_amount
+FROM days d""",
+    "q10_weekly_claim_volume": """
+SELECT coalesce(strftime(claim_datetime, '%G-%V'), '') AS claim_year_week, count(*) AS number_of_claims FROM claims GROUP BY ALL""",
+    "q11_driver_age_and_hour": """
+SELECT coalesce(strftime(claim_datetime, '%Y-%m'), '') AS claim_year_month, round(sum(driver_age) / count(driver_age)) AS average_driver_age,
+       round(sum(incident_hour) / count(incident_hour)) AS average_incident_hour
+FROM claims GROUP BY ALL""",
+    "q12_total_accidents_by_borough": "SELECT count(ts) AS total_accidents FROM accidents",
+    "q13_accidents_without_borough": "SELECT count(*) FILTER (borough IS NULL) AS accidents_with_no_borough FROM accidents",
+    "q14_share_without_borough": "SELECT round(100 * (1 - count(borough) / count(*)), 1) AS pct_with_no_borough FROM accidents",
+    "q15_accident_map": """
+SELECT latitude, longitude, number_of_accidents, number_of_persons_injured FROM gold_accident_grid
+QUALIFY row_number() OVER (ORDER BY number_of_accidents DESC, latitude, longitude) <= 2000""",
+    "q16_when_accidents_happen": """
+SELECT printf('%02d', h) AS hour, count(ts) FILTER (isodow(day) = 1) AS Mon, count(ts) FILTER (isodow(day) = 2) AS Tue, count(ts) FILTER (isodow(day) = 3) AS Wed,
+       count(ts) FILTER (isodow(day) = 4) AS Thu, count(ts) FILTER (isodow(day) = 5) AS Fri, count(ts) FILTER (isodow(day) = 6) AS Sat, count(ts) FILTER (isodow(day) = 7) AS Sun
+FROM range(24) t(h) LEFT JOIN accidents ON hour = h GROUP BY h""",
+    "q17_monthly_accidents_by_borough": """
+SELECT strftime(day, '%Y-%m') AS accident_year_month, borough, count(*) AS number_of_accidents FROM accidents WHERE borough IS NOT NULL GROUP BY ALL""",
+    "q18_weekly_accidents_rolling": """
+SELECT w AS accident_year_week, n AS number_of_accidents,
+       round((n + coalesce(lag(n, 1) OVER o, 0) + coalesce(lag(n, 2) OVER o, 0) + coalesce(lag(n, 3) OVER o, 0)) / least(4, row_number() OVER o)) AS rolling_4w_avg
+FROM (SELECT strftime(day, '%G-%V') AS w, count(*) AS n FROM accidents GROUP BY ALL) WINDOW o AS (ORDER BY w)""",
+    "q19_monthly_accident_trends": """
+SELECT accident_year_month, n AS number_of_accidents, round((n - lag(n) OVER o) * 100 / lag(n) OVER o, 2) AS pct_change_number_of_accidents
+FROM (SELECT strftime(day, '%Y-%m') AS accident_year_month, count(*) AS n FROM accidents GROUP BY ALL) WINDOW o AS (ORDER BY accident_year_month)""",
+    "q20_policy_growth": "SELECT strftime(issue_date, '%Y-%m') AS year_month, count(*) AS policies_issued FROM policies GROUP BY ALL",
+    "q21_issued_vs_expired": """
+SELECT year_month, count(*) FILTER (kind = 1) AS policies_issued, count(*) FILTER (kind = 2) AS policies_expired
+FROM (SELECT strftime(issue_date, '%Y-%m') AS year_month, 1 AS kind FROM policies UNION ALL SELECT strftime(expiry_date, '%Y-%m'), 2 FROM policies) GROUP BY ALL""",
+    "q22_estimated_active_policies": """
+SELECT year_month, (SELECT count(*) FROM policies WHERE strftime(issue_date, '%Y-%m') <= year_month) - (SELECT count(*) FROM policies WHERE strftime(expiry_date, '%Y-%m') <= year_month) AS estimated_active_policies
+FROM (SELECT strftime(issue_date, '%Y-%m') AS year_month FROM policies UNION SELECT strftime(expiry_date, '%Y-%m') FROM policies)""",
+    "q23_exposure_trend": "SELECT strftime(issue_date, '%Y-%m') AS year_month, sum(sum_insured) AS exposure FROM policies GROUP BY ALL",
+    "q24_vehicle_age_trend": """
+SELECT strftime(issue_date, '%Y-%m') AS year_month, round(sum(year(issue_date) - model_year) / count(model_year), 1) AS avg_issue_age_of_vehicle FROM policies GROUP BY ALL""",
+    "q25_overall_loss_ratio": """
+SELECT round((SELECT sum(total) FROM claims SEMI JOIN policies USING (policy_number)) / (SELECT sum(premium) FROM policies) * 100, 2) AS overall_loss_ratio_pct""",
+    "q26_riskiest_vehicle_body": """
+SELECT vehicle_body FROM gold_vehicle_body_risk a
+WHERE number_of_policies > 19 AND loss_ratio_pct IS NOT NULL
+  AND NOT EXISTS (FROM gold_vehicle_body_risk b WHERE b.number_of_policies > 19 AND (b.loss_ratio_pct > a.loss_ratio_pct OR b.loss_ratio_pct = a.loss_ratio_pct AND b.vehicle_body < a.vehicle_body))""",
+    "q27_loss_ratio_trend": """
+SELECT year_month, round(100 * x.lost / x.premium, 2) AS loss_ratio_pct,
+       CASE WHEN x.premium > 0 THEN round(100 * (x.lost + coalesce(lag(x.lost) OVER o, 0) + coalesce(lag(x.lost, 2) OVER o, 0)) / (x.premium + coalesce(lag(x.premium) OVER o, 0) + coalesce(lag(x.premium, 2) OVER o, 0)), 2) END AS "3m_rolling_avg_loss_ratio_pct"
+FROM (SELECT year_month, sum(lost) AS lost, nullif(sum(premium), 0) AS premium FROM (
+        SELECT strftime(incident_date, '%Y-%m') AS year_month, total AS lost, 0 AS premium FROM claims SEMI JOIN policies USING (policy_number)
+        UNION ALL SELECT strftime(issue_date, '%Y-%m'), 0, premium FROM policies) GROUP BY ALL) x
+WINDOW o AS (ORDER BY year_month)""",
+    "q28_contribution_waterfall": """
+SELECT vehicle_body, round(pts, 2) AS pct_points_vs_break_even FROM (
+    SELECT vehicle_body, contribution_pct_points AS pts FROM shares WHERE better < 10
+    UNION ALL SELECT 'All other bodies', sum(contribution_pct_points) FROM shares WHERE better >= 10 HAVING count(*) > 0)""",
+    "q29_underwriting_risk_map": """
+SELECT round(n_claims * 100 / n, 2) AS claims_per_100_policies, vehicle_body, round(lost / n_claims) AS avg_claim_severity, premium AS total_premium
+FROM (SELECT body AS vehicle_body, count(*) AS n, sum(premium) AS premium FROM policies WHERE body <> '' GROUP BY ALL)
+JOIN (SELECT body AS vehicle_body, count(*) AS n_claims, sum(total) AS lost FROM claims JOIN policies USING (policy_number) GROUP BY ALL) USING (vehicle_body)
+WHERE n > 19""",
+    "q30_loss_ratio_by_body": """
+SELECT vehicle_body, loss_ratio_pct FROM gold_vehicle_body_risk WHERE number_of_policies > 19
+QUALIFY row_number() OVER (ORDER BY loss_ratio_pct IS NULL, loss_ratio_pct DESC, vehicle_body) <= 15""",
+    "q31_private_vs_commercial": """
+SELECT vehicle_usage, n AS number_of_policies, premium AS total_premium, n_claims AS number_of_claims, round(100 * n_claims / n, 2) AS claims_per_100_policies,
+       round(100 * lost / premium, 2) AS loss_ratio_pct
+FROM (SELECT vehicle_usage, count(*) AS n, sum(premium) AS premium FROM policies GROUP BY ALL ORDER BY premium DESC, vehicle_usage LIMIT 2)
+JOIN (SELECT vehicle_usage, count(*) AS n_claims, CAST(sum(total) AS BIGINT) AS lost FROM claims JOIN policies USING (policy_number) GROUP BY ALL) USING (vehicle_usage)""",
+}
+
+#: Named subqueries of some of these.
+_HELPERS = {
+    "q06_business_trends_indexed": """
+c AS (SELECT strftime(claim_datetime, '%Y-%m') AS m, count(*) AS v FROM claims WHERE claim_datetime IS NOT NULL GROUP BY ALL),
+a AS (SELECT strftime(day, '%Y-%m') AS m, count(*) AS v FROM accidents GROUP BY ALL),
+p AS (SELECT strftime(issue_date, '%Y-%m') AS m, count(*) AS v FROM policies GROUP BY ALL),
+first AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT min(m) AS lo, max(m) AS hi FROM c UNION ALL SELECT min(m), max(m) FROM a UNION ALL SELECT min(m), max(m) FROM p))""",
+    "q09_daily_claims_rolling": "days AS (SELECT claim_datetime, CAST(sum(total) AS BIGINT) AS v FROM claims GROUP BY ALL)",
+    "q28_contribution_waterfall": """
+shares AS (SELECT *, (SELECT count(*) FROM gold_loss_ratio_contribution b
+    WHERE abs(b.contribution_pct_points) > abs(g.contribution_pct_points) OR abs(b.contribution_pct_points) = abs(g.contribution_pct_points) AND b.vehicle_body < g.vehicle_body) AS better
+    FROM gold_loss_ratio_contribution g)""",
+}
+
+
+def report(name: str) -> str:
+    """A report query's SQL below the roles, the business tables that it reads, and its helpers."""
+    text = REPORTS[name] + _HELPERS.get(name, "")
+    used = [f"{t} AS {TABLES[t]}" for t in TABLES if re.search(rf"\b{t}\b", text)]
+    return "WITH " + ", ".join([_ROLES, *used, *filter(None, [_HELPERS.get(name)])]) + " " + REPORTS[name]
 
 
 SILVER = {
@@ -200,6 +306,7 @@ SELECT * FROM (VALUES (0, 'expect_column_values_to_be_between', 'c_acctbal', (SE
 }
 
 OTHER = {
+    "str1_event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL",
     "win7_keep_first": """
 SELECT * EXCLUDE (r) FROM (SELECT l_orderkey || '-' || l_linenumber AS line, * EXCLUDE (l_orderkey, l_linenumber), row_number() OVER (PARTITION BY l_orderkey, l_linenumber
     ORDER BY l_shipdate DESC, l_extendedprice DESC, l_discount, l_linestatus, l_partkey, l_quantity, l_returnflag, l_suppkey, l_tax) AS r FROM lineitem) WHERE r = 1""",

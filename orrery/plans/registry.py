@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, portfolio, quality
-from . import cards, gold, oracles, roles
+from ..streaming import windows
+from . import cards, gold, oracles, roles, roundtrips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,18 +68,25 @@ def _card(card: cards.Card) -> Query:
     return lambda spark, sf_dir: cards.on_test_tables(card, spark, sf_dir)
 
 
-_OTHERS = (slv1_claims, slv2_policies, slv3_accidents, dq_claims_violations, dq_bounds_on_customers, win7_keep_first, agg18_totals, prj4_renamed_columns)
+def str1_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the stream, over the table at rest."""
+    return windows.counts_by_window(roles.read(spark, sf_dir, "events"))
+
+
+_OTHERS = (str1_event_windows, slv1_claims, slv2_policies, slv3_accidents, dq_claims_violations, dq_bounds_on_customers, win7_keep_first, agg18_totals, prj4_renamed_columns)
 
 QUERIES: dict[str, Query] = (
     {key: _gold(name) for key, name in GOLD_IDS.items()}
     | {key: _card(card) for key, card in cards.CARDS.items()}
     | {f.__name__: f for f in _OTHERS}
+    | roundtrips.QUERIES
 )
 
 ORACLE_SQL: dict[str, str] = (
     {key: oracles.gold_table(name) for key, name in GOLD_IDS.items()}
-    | {key: oracles.card(card) for key, card in cards.CARDS.items()}
+    | {key: oracles.report(key) for key in cards.CARDS}
     | oracles.SILVER
     | oracles.QUALITY
     | oracles.OTHER
+    | roundtrips.ORACLE_SQL
 )

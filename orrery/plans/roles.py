@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cleaning
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order of some size is a policy; the customer's nation and market segment are its segments.
-    Smaller orders are no valid policies, so their claims have none."""
+    """An order is a policy; the customer's nation and market segment are its segments. Small orders
+    have a negative premium, so the rules for valid policies drop them, and their claims have none."""
     orders, customer, nation = (read(spark, sf_dir, name) for name in ("orders", "customer", "nation"))
     named = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
-    joined = orders.where("o_totalprice >= 20000").join(named, orders["o_custkey"] == customer["c_custkey"])
-    return joined.selectExpr(
+    joined = orders.join(named, orders["o_custkey"] == customer["c_custkey"])
+    typed = joined.selectExpr(
         "o_orderkey AS policy_number", "o_custkey AS customer_id",
         "cast(o_orderdate AS date) AS issue_date", "cast(o_orderdate AS date) AS effective_date",
         "add_months(cast(o_orderdate AS date), 12) AS expiry_date",
-        "cast(floor(o_totalprice) AS double) AS premium",
+        "cast(CASE WHEN o_totalprice < 20000 THEN -1 ELSE floor(o_totalprice) END AS double) AS premium",
         "CASE WHEN o_orderstatus <> 'O' THEN cast(floor(o_totalprice) * 10 AS double) END AS sum_insured",
         "nullif(n_name, 'KENYA') AS body", "c_mktsegment AS vehicle_usage",
         "cast(year(o_orderdate) - o_orderkey % 20 AS double) AS model_year",
     )
+    return cleaning.valid_policies(typed)
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

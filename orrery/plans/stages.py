@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
@@ -71,12 +72,37 @@ def gold(spark: SparkSession, settings: Settings) -> None:
 STAGES: dict[str, Callable] = {"bronze": bronze, "silver": silver, "quality": check, "gold": gold}
 
 
+def run(spark: SparkSession, settings: Settings, chosen: Sequence[str] = tuple(STAGES), retries: int = 0, wait_s: float = 0.0) -> dict[str, float]:
+    """The chosen stages in their order, each attempted again so many times after a failure; seconds
+    by stage. A quality failure is a finding about the data and isn't tried again. Stages replace
+    their tables, so an attempt that broke off leaves nothing to clear away."""
+    took = {}
+    for name in (n for n in STAGES if n in chosen):
+        for attempt in range(retries + 1):
+            began = time.monotonic()
+            try:
+                spark.sparkContext.setJobDescription(name)
+                STAGES[name](spark, settings)
+                break
+            except quality.DataQualityError:
+                raise
+            except Exception:
+                if attempt == retries:
+                    raise
+                log.warning("%s failed, attempt %s of %s", name, attempt + 1, retries + 1, exc_info=True)
+                time.sleep(wait_s)
+            finally:
+                spark.sparkContext.setJobDescription(None)
+        took[name] = time.monotonic() - began
+        log.info("%s took %.1f s", name, took[name])
+    return took
+
+
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="python -m orrery", description=__doc__)
     parser.add_argument("stage", choices=[*STAGES, "all"])
-    chosen = parser.parse_args(arguments).stage
+    parser.add_argument("--retries", type=int, default=0, help="further attempts of a stage that fails")
+    parser.add_argument("--wait", type=float, default=60.0, help="seconds before a further attempt")
+    given = parser.parse_args(arguments)
     settings = Settings.from_environment()
-    spark = session(settings)
-    for name, stage in STAGES.items():
-        if chosen in (name, "all"):
-            stage(spark, settings)
+    run(session(settings), settings, tuple(STAGES) if given.stage == "all" else (given.stage,), given.retries, given.wait)

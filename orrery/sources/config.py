@@ -9,6 +9,18 @@ from dataclasses import dataclass, field
 FILES, DATABASES = "files", "databases"
 
 
+def split_of(text: str) -> tuple[str, int, int, int]:
+    """column,low,high,readers."""
+    column, *numbers = (part.strip() for part in text.split(","))
+    try:
+        low, high, readers = map(int, numbers)
+    except ValueError:
+        raise ValueError(f"a split is column,low,high,readers, not {text!r}") from None
+    if not column or low >= high or readers < 1:
+        raise ValueError(f"a split is column,low,high,readers with low below high, not {text!r}")
+    return column, low, high, readers
+
+
 @dataclass(frozen=True)
 class Settings:
     """Where the sources are, how tables are stored, and how sessions are made."""
@@ -26,6 +38,8 @@ class Settings:
     jdbc_driver: str = "com.mysql.cj.jdbc.Driver"
     #: A numeric column, its range and a number of readers make the JDBC read parallel.
     jdbc_split: tuple[str, int, int, int] | None = None
+    #: The same for the document store; a document's key, its range and a number of readers.
+    document_split: tuple[str, int, int, int] | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in (FILES, DATABASES):
@@ -39,6 +53,9 @@ class Settings:
             "jdbc_table": env.get("JDBC_TABLE"), "jdbc_user": env.get("JDBC_USER"), "jdbc_password": env.get("JDBC_PASSWORD"),
             "jdbc_driver": env.get("JDBC_DRIVER"),
         }
+        for name, variable in (("jdbc_split", "JDBC_SPLIT"), ("document_split", "DOCUMENT_SPLIT")):
+            if env.get(variable):
+                given[name] = split_of(env[variable])
         if "SHUFFLE_PARTITIONS" in env:
             given["shuffle_partitions"] = int(env["SHUFFLE_PARTITIONS"])
         return cls(**{k: v for k, v in given.items() if v})

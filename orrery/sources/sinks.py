@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def save(df: DataFrame, name: str, table_format: str = "parquet") -> None:
-    """A managed table, replaced with its schema."""
-    df.write.mode("overwrite").option("overwriteSchema", True).format(table_format).saveAsTable(name)
+def save(df: DataFrame, name: str, table_format: str = "parquet", path: str | None = None) -> None:
+    """A managed table, replaced with its schema; one that lies elsewhere if a path is given."""
+    writer = df.write.mode("overwrite").option("overwriteSchema", True).format(table_format)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -20,9 +21,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def load_jdbc(df: DataFrame, name: str, options: Mapping[str, str]) -> int:
     """Replace a warehouse table's rows, keeping the table; executors write, nothing passes the
-    driver. The number of rows."""
-    df.write.format("jdbc").mode("overwrite").options(**{**options, "dbtable": name, "truncate": "true"}).save()
-    return df.count()
+    driver. The number of rows, counted as they are written."""
+    written = Observation()
+    watched = df.observe(written, F.count(F.lit(1)).alias("rows"))
+    watched.write.format("jdbc").mode("overwrite").options(**{**options, "dbtable": name, "truncate": "true"}).save()
+    return written.get["rows"]
 
 
 def load_all(spark: SparkSession, names: list[str], options: Mapping[str, str], load=load_jdbc) -> dict[str, int]:

@@ -53,10 +53,11 @@ class Collection:
         self.fails = fails
 
     def find(self, query, projection):
-        assert (query, projection) == ({}, {"_id": 0})
+        assert projection == {"_id": 0}
         if self.fails:
             raise OSError
-        return [DOCUMENT, {**DOCUMENT, "claim_no": "c2", "policy_no": "x"}]
+        every = [DOCUMENT, {**DOCUMENT, "claim_no": "c2", "policy_no": "x"}]
+        return every if not query else [d for d in every if d["claim_no"] in query["claim_no"]]
 
     def close(self):
         self.closed = True
@@ -75,6 +76,44 @@ def test_documents_equal_files(spark, files):
         readers.fetch_documents(lambda: source)
     assert source.closed
     assert readers.from_json_texts(spark, ["{broken"]).first().claim_no is None
+    for queries in (({},), ({"claim_no": ["c1"]}, {"claim_no": ["c2", "c3"]}, {"claim_no": []})):
+        read = readers.read_documents(spark, Collection, queries)
+        assert read.schema.simpleString() == file.schema.simpleString()
+        assert sorted(map(str, read.collect())) == sorted(map(str, file.collect()))
+    with pytest.raises(Exception, match="OSError"):
+        readers.read_documents(spark, lambda: Collection(fails=True)).collect()
+    databases = Settings(mode="databases", data_dir=str(files), jdbc_url="jdbc:derby:memory:orrery_raw;create=true", jdbc_driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    sinks.load_jdbc(readers.read_file(spark, str(files / "policies.csv"), "csv", True, readers.POLICIES), "policies", databases.jdbc_options())
+    raw = readers.raw_tables(spark, databases, Collection)
+    assert raw["bronze_claims"].count() == raw["bronze_policies"].count() == 2 and "ingestion_timestamp" in raw["bronze_claims"].columns
+
+
+def test_key_ranges_share_out_all_documents():
+    assert readers.key_ranges("k", 0, 10, 1) == [{}]
+    assert readers.key_ranges("k", 0, 10, 3) == [{"k": {"$lt": 3}}, {"k": {"$gte": 3, "$lt": 6}}, {"k": {"$gte": 6}}, {"k": None}]
+
+
+def test_stages_are_tried_again_in_their_order(spark, monkeypatch):
+    called = []
+
+    def flaky(name, failures, error=OSError):
+        def stage(spark, settings):
+            called.append(name)
+            if called.count(name) <= failures:
+                raise error("broken")
+
+        return stage
+
+    monkeypatch.setattr(stages, "STAGES", {"bronze": flaky("bronze", 1), "silver": flaky("silver", 0), "quality": flaky("quality", 1, stages.quality.DataQualityError), "gold": flaky("gold", 0)})
+    assert list(stages.run(spark, Settings(), ("silver", "bronze"), retries=1)) == ["bronze", "silver"]
+    assert called == ["bronze", "bronze", "silver"]
+    called.clear()
+    with pytest.raises(stages.quality.DataQualityError):
+        stages.run(spark, Settings(), ("quality", "gold"), retries=3)
+    assert called == ["quality"]
+    called.clear()
+    with pytest.raises(OSError):
+        stages.run(spark, Settings(), ("bronze",), retries=0)
 
 
 def test_settings():
@@ -85,6 +124,11 @@ def test_settings():
     assert Settings(jdbc_split=("id", 0, 9, 3)).jdbc_options()["numPartitions"] == "3"
     with pytest.raises(ValueError, match="mode"):
         Settings(mode="ftp")
+    got = Settings.from_environment({"JDBC_SPLIT": "id, 0, 90, 3", "DOCUMENT_SPLIT": "n,-5,5,2"})
+    assert got.jdbc_options()["upperBound"] == "90" and got.document_split == ("n", -5, 5, 2)
+    for bad in ("id", "id,1,2", "id,5,5,1", ",0,1,1", "id,0,x,2"):
+        with pytest.raises(ValueError, match="split"):
+            Settings.from_environment({"JDBC_SPLIT": bad})
 
 
 def test_stages_from_files_to_reports(spark, files, tmp_path, monkeypatch):
@@ -146,9 +190,21 @@ def test_plans_logs_and_cards(spark):
     log.append(json.dumps({"Event": "SparkListenerStageCompleted", "Stage Info": {"Stage ID": 1, "Stage Name": "save", "Submission Time": 0, "Completion Time": 9500}}))
     (report,) = tools.stages_of_event_log(log)
     assert (report.tasks, report.longest_s, report.median_s, report.wall_s, report.spill_mb) == (3, 9.0, 1.0, 9.5, 3.0)
+    log = [
+        {"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart", "executionId": 4, "description": "save", "time": 1000, "physicalPlanDescription": "Exchange hashpartitioning(a)"},
+        {"Event": "SparkListenerJobStart", "Job ID": 1, "Properties": {"spark.sql.execution.id": "4"}},
+        {"Event": "SparkListenerJobStart", "Job ID": 2, "Properties": {}},
+        {"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLAdaptiveExecutionUpdate", "executionId": 4, "physicalPlanDescription": "AQEShuffleRead coalesced\n+- AQEShuffleRead coalesced and skewed\nBroadcastHashJoin\n== Initial Plan ==\nSortMergeJoin"},
+        {"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionEnd", "executionId": 4, "time": 3500},
+        {"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart", "executionId": 5, "description": "open", "time": 1},
+    ]
+    (action,) = tools.actions_of_event_log(map(json.dumps, log))
+    assert (action.description, action.wall_s, action.jobs, action.plan.joins, action.plan.adaptive) == ("save", 2.5, 1, {"BroadcastHashJoin": 1}, {"coalesced": 2, "skewed": 1})
     card = tools.read_card("t", "-- display: line\n-- size: 12x6\n-- settings: {\"a\": 1}\n-- What it\n-- shows.\nSELECT 1;\n")
     assert (card.display, card.width, card.height, card.settings, card.about, card.sql) == ("line", 12, 6, {"a": 1}, "What it shows.", "SELECT 1")
     assert tools.place_cards([card, card, card]) == [(0, 0), (12, 0), (0, 6)]
+    tall = tools.read_card("t", "-- size: 5x9\nSELECT 1")
+    assert tools.place_cards([card, tall, card, tall, tall, tall]) == [(0, 0), (12, 0), (0, 9), (12, 9), (17, 9), (0, 18)] and tools.place_cards([]) == []
     with pytest.raises(ValueError):
         tools.read_card("t", "-- nothing")
 
