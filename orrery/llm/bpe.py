@@ -656,15 +656,16 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     """docs with the tokens of each text as little-endian unsigned 32-bit integers in one binary
     column. Every match of pattern is encoded by itself; no special tokens. A null or empty text
     has no tokens. Rows are independent: repeated ones repeat their tokens, an empty table gives no
-    rows. Other columns pass through; if one already has the new name, the result has it twice.
-    path is read on the driver."""
+    rows. Other columns pass through, but for one that already has the new name. path is read on
+    the driver."""
     vocabulary = Vocabulary(docs.sparkSession, path, pattern)
     return append_columns(docs, [text_col], lambda texts: [_encoded(vocabulary, texts)[0]], [T.StructField(name, T.BinaryType())])
 
 
 def decode_tokens(df: DataFrame, path: str, tokens_col: str = "tokens", name: str = "decoded") -> DataFrame:
     """df with the text of each row's tokens; null tokens count as none. Rows are independent, an
-    empty table gives no rows; other columns pass through, also one that already has the new name."""
+    empty table gives no rows; other columns pass through, but for one that already has the new
+    name."""
     vocabulary = Vocabulary(df.sparkSession, path)
 
     def run(column: pa.Array) -> list[pa.Array]:

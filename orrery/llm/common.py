@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import sys
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,9 +82,10 @@ def append_columns(
     drop: Sequence[str] = (),
 ) -> DataFrame:
     """df with the columns that function(*input arrays) returns for every batch; the columns named
-    in drop don't come back from the worker."""
+    in drop don't come back from the worker, and one that has a new one's name gives way to it."""
     where = [df.columns.index(name) for name in inputs]
-    keep = [i for i, name in enumerate(df.columns) if name not in drop]
+    gone = {*drop, *(field.name for field in fields)}
+    keep = [i for i, name in enumerate(df.columns) if name not in gone]
     schema = T.StructType([*(df.schema.fields[i] for i in keep), *fields])
     names = [field.name for field in schema.fields]
 
@@ -118,6 +121,23 @@ def least_by_hash(df: DataFrame, rows: int, of: int, *parts: str) -> DataFrame:
     return df.where(draw <= share).orderBy(draw, *parts).limit(rows)
 
 
+def fit_in_task(sample: DataFrame, function: Callable[[list[dict]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What function makes of a bounded sample's rows, as arrays. It runs in one task, so neither
+    the rows nor the training pass through the driver, and a lost executor means a new attempt."""
+
+    def run(batches):
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        held = io.BytesIO()
+        np.savez(held, **function(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["model"])
+
+    made = arrow_map(sample.repartition(1), run, "model binary").collect()
+    if not made:  # a sample that is known to be empty has no task
+        return function([])
+    with np.load(io.BytesIO(bytes(made[0].model))) as found:
+        return {name: found[name] for name in found.files}
+
+
 def worker_store() -> dict:
     """A dictionary that lives as long as this Python worker, over all its tasks. (The package's
     own modules don't: functions come to each task by value.)"""

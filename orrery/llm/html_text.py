@@ -613,7 +613,9 @@ def render(html: str) -> str:
 
 
 def with_rendered(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
-    """pages with the visible text of each; a null page has the empty text."""
+    """pages with the visible text of each whole page; a null or empty page has the empty text. Rows
+    are independent: repeated ones repeat their texts, an empty table gives no rows. Other columns
+    pass through, but for one that already has the new name."""
 
     def run(column: pa.Array) -> list[pa.Array]:
         return [pa.array([render(h or "") for h in column.to_pylist()], pa.string())]

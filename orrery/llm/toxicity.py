@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, arrow_map, as_bytes, least_by_hash, pick, table
+from .common import append_columns, arrow_map, as_bytes, fit_in_task, least_by_hash, pick, table
 
 #: The bound of the training sample: labelled texts of each class (clean, toxic), and bytes of a
 #: text in it; EDITED of each class are used a second time with misspelt words.
@@ -156,11 +156,11 @@ def window_means(logits: np.ndarray) -> np.ndarray:
 class Bags:
     """Texts as bags of bags: words over a table of the n-grams met, windows over the words."""
 
-    def __init__(self, texts: Sequence[Sequence[bytes]]) -> None:
-        index: dict[bytes, int] = {}
-        ids = [np.array([index.setdefault(w, len(index)) for w in words]) for words in texts]
+    def __init__(self, index: dict[bytes, int], ids: list[np.ndarray]) -> None:
+        """index: a number for each different word; ids: each text's words."""
         bucket, self.word_of, count = features(b"\0" + b"\0".join(index) + b"\0")
-        self.used, self.gram = np.unique(bucket, return_inverse=True)
+        self.used, gram = np.unique(bucket, return_inverse=True)
+        self.gram = gram.astype(np.int32)
         self.first = np.searchsorted(self.word_of, np.arange(count))
         self.size = np.bincount(self.word_of, minlength=count)
         self.flat = np.concatenate(ids)
@@ -205,25 +205,29 @@ def train(texts: list[str], toxic: list[int], side: list[int] | None = None, see
     second label (side: 0, 1, or -1 for unknown), predicted from the average of the whole text,
     shares the embeddings. They begin at random; n-grams that were never seen weigh nothing."""
     draw = random.Random(seed)
-    bags, rows, times = [], [], {}
+    rows, times, ids = [], {}, []
+    index: dict[bytes, int] = {}
+
+    def add(k: int, words: list[bytes]) -> None:
+        rows.append(k)
+        ids.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+
     for k, (text, label) in enumerate(zip(texts, toxic, strict=True)):
         own = [w for w in words_of(text.encode()).split(b"\0") if w]
         if not own:
             continue
-        bags.append(own)
-        rows.append(k)
+        add(k, own)
         times[label] = times.get(label, 0) + 1
         if times[label] <= EDITED:
             edited = [misspelt(w.decode("utf-8", "replace"), draw).encode() for w in own]
-            bags.append([w for w in words_of(b" ".join(edited)).split(b"\0") if w])
-            rows.append(k)
+            add(k, [w for w in words_of(b" ".join(edited)).split(b"\0") if w])
     y = np.array(toxic, dtype=np.float64)[rows]
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << BUCKET_BITS), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
     other = np.array(side if side is not None else [-1] * len(texts), dtype=np.float64)[rows]
     known = np.flatnonzero(other >= 0)
-    held = Bags(bags)
+    held = Bags(index, ids)
     weigh, weigh_side = balanced(y), SIDE_WEIGHT * balanced(other[known]) if len(known) else np.zeros(0)
 
     # Of two classes' softmax only the difference of their weights counts: a column for each label.
@@ -282,9 +286,15 @@ def fit(
     chosen = [least_by_hash(known.where(F.col("toxic") == k), TRAIN_TEXTS[k], counts.get(k, 0), "doc_id") for k in (0, 1)]
     # at most sum(TRAIN_TEXTS) ids, and one text of each: the least, where an id has several
     held = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    rows = held.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("side").alias("side"), F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [int(r.toxic) for r in rows], [int(r.side) for r in rows])
+    sample = held.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("side").alias("side"), F.min("text").alias("text"))
+
+    def learn(rows: list[dict]) -> dict[str, np.ndarray]:
+        rows.sort(key=lambda r: r["doc_id"])
+        model = train(*([r[name] for r in rows] for name in ("text", "toxic", "side")))
+        return {"by_bucket": model.by_bucket, "bias": np.array(model.bias)}
+
+    found = fit_in_task(sample, learn)
+    return Model(found["by_bucket"], float(found["bias"]))
 
 
 def _scorer(docs: DataFrame, model: Model):
@@ -297,8 +307,7 @@ def _scorer(docs: DataFrame, model: Model):
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score", drop: Sequence[str] = ()) -> DataFrame:
     """docs with the score of every whole text; null and empty texts get the bias alone. Rows are
     independent: repeated ones repeat their scores, an empty table gives no rows. Other columns
-    pass through (but those named in drop); if one already has the new name, the result has it
-    twice."""
+    pass through, but for those named in drop and one that already has the new name."""
     scores = _scorer(docs, model)
     return append_columns(docs, [text_col], lambda texts: [pa.array(scores(texts), pa.float64())], [T.StructField(name, T.DoubleType())], drop)
 

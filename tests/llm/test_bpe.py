@@ -140,4 +140,6 @@ def test_two_passes_equal_one(spark):
     apart = bpe.decode_tokens(coded.toDF("doc_id", "text", "other", "tokens"), PATH).collect()
     together = bpe.code_texts(docs, PATH, PATTERN).toDF("doc_id", "text", "other", "tokens", "decoded").collect()
     assert sorted(map(str, apart)) == sorted(map(str, together))
+    old = docs.toDF("doc_id", "decoded", "tokens")
+    assert bpe.code_texts(old, PATH, PATTERN, "decoded").columns == ["doc_id", "tokens", "decoded"]
     assert [r.decoded for r in sorted(apart)] == ["Hello wörld", "", "", ""]

@@ -74,6 +74,8 @@ def test_any_mess_ends_in_time_and_loses_no_plain_text():
 def test_rows(spark):
     rows = [(1, None, "u"), (2, "", "u"), (2, "<p>a", "u"), (2, "<p>a", "u"), (None, "<p>" + "word " * 100_000, "u")]
     pages = spark.createDataFrame(rows, "page_id long, html string, TEXT string")
+    clash = spark.createDataFrame([r[:2] + ("old",) for r in rows], "page_id long, html string, text string")
+    assert with_rendered(clash).columns == ["page_id", "html", "text"] and "old" not in {r.text for r in with_rendered(clash).collect()}
     got = with_rendered(pages, name="text_").collect()
     assert sorted((str(r.page_id), len(r.text_)) for r in got) == [("1", 0), ("2", 0), ("2", 1), ("2", 1), ("None", 499_999)]
     assert with_rendered(pages.limit(0), name="text_").count() == 0
