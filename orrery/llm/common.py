@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 #: Rows and bytes of one Arrow batch: a batch of very long texts must fit a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: Rows of one key from which on it is joined apart, and how many such keys are broadcast.
+HOT_ROWS, BROADCAST_KEYS = 1000, 100_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -105,6 +107,18 @@ def replace_column(df: DataFrame, name: str, function: Callable[[pa.Array], pa.A
     return made.select(*["made" if i == at else f"c{i}" for i in range(len(names))]).toDF(*names)
 
 
+def join_counted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows joined to few (kept; one row a key, and in n how many rows have it). The keys of over
+    HOT_ROWS rows, of which there is one in HOT_ROWS rows at most, are broadcast unless they are
+    over BROADCAST_KEYS, so that their rows are joined where they lie and not in one task."""
+    hot = few.where(F.col("n") > HOT_ROWS).drop("n")
+    if not 0 < hot.count() <= BROADCAST_KEYS:
+        return rows.join(few.drop("n"), key)
+    hot = F.broadcast(hot)
+    others = rows.join(hot.select(key), key, "left_anti").join(few.where(F.col("n") <= HOT_ROWS).drop("n"), key)
+    return rows.join(hot, key).unionByName(others)
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) drawn from the hash of parts; the same on every run."""
     top = F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")

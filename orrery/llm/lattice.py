@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, pick, table
+from .common import arrow_map, cut, join_counted, pick, table
 from .components import connected_components
 
 COSINE = 0.95
@@ -304,11 +304,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     totals = named.groupBy("class").agg(F.sum("n").alias("rows"), F.min("id").alias("least"))
     totals = totals.join(component, "class", "left")
     known = _salted(named, totals, "class").join(counted, "id", "left").select(
-        F.col("code").alias("known_code"),
+        "code",
+        "n",
         (F.when(F.col("ball"), F.col("rows")).otherwise(F.col("n")) - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         F.coalesce("component", "least").alias("component_id"),
     )
-    out = base.join(known, (F.col("code") == F.col("known_code")) & F.col("vec_id").isNotNull(), "left")
+    out = join_counted(able, cut(known), "code").select("vec_id", "n_links", "component_id")
+    unable = base.where("code IS NULL OR vec_id IS NULL").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = out.unionByName(unable)
     component_id = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, arrow_map, as_bytes, cut, pick, table
+from .common import append_columns, arrow_map, as_bytes, cut, join_counted, pick, table
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -260,7 +260,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = pick(docs, doc_id=id_col, text=text_col)
     made = cut(with_fingerprint(base, drop=["text"]))
     named = made.where("doc_id IS NOT NULL")
-    prints = cut(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")))
+    prints = cut(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     links = fingerprint_links(prints.select("fp", "id"))
     # an id met with several texts joins their fingerprints
     repeated = named.distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fp").alias("fp0")).where("n > 1")
@@ -272,8 +272,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     found = connected_components(links.unionByName(bridges))
     group = prints.join(found.withColumnRenamed("node", "id"), "id", "left")
-    group = group.select("fp", F.coalesce("component", "id").alias("component_id"))
-    known = named.join(group, "fp").select("doc_id", "fp", "component_id")
+    group = cut(group.select("fp", F.coalesce("component", "id").alias("component_id"), "n"))
+    known = join_counted(named, group, "fp").select("doc_id", "fp", "component_id")
     nameless = made.where("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
     return known.unionByName(nameless)
 

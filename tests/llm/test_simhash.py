@@ -2,9 +2,10 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
-from orrery.llm import simhash
+from orrery.llm import common, components, simhash
 from orrery.llm.components import connected_components
 
 
@@ -104,7 +105,19 @@ def test_null_ids_repeated_ids_and_no_rows(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
-def test_connected_components_of_chains_stars_and_loops(spark):
+def test_rows_of_a_common_key_are_joined_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2] * 2 + [3] * 5 + [4])], "k long, i long")
+    few = spark.createDataFrame([(1, "a", 9), (2, "b", 2), (3, "c", 5), (5, "e", 0)], "k long, v string, n long")
+    want = sorted((r.k, r.i, r.v) for r in rows.join(few.drop("n"), "k").collect())
+    for most in (100, 1):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+        assert sorted((r.k, r.i, r.v) for r in common.join_counted(rows, few, "k").collect()) == want
+
+
+@pytest.mark.parametrize("last", [0, 10, 500])
+def test_connected_components_of_chains_stars_and_loops(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST_EDGES", last)
     draw = random.Random(1)
     chain = list(range(100, 160))
     draw.shuffle(chain)
