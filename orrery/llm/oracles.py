@@ -119,3 +119,80 @@ SELECT d.doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
                                d.doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot
 FROM d JOIN placed ON placed.key = d.key
 """
+
+_SIMHASH = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM texts WHERE len(w) > 0
+), raw AS (
+    SELECT s, octet_length(encode(s)) AS n, hex(encode(s)) AS x FROM shingles
+), lanes AS (
+    SELECT s, n, x, list_transform(range(n // 8), lambda i: CAST('0x' || list_aggregate(list_reverse(regexp_extract_all(x[16 * i + 1:16 * i + 16], '..')), 'string_agg', '') AS UHUGEINT)) AS l FROM raw
+), striped AS (
+    SELECT s, n, x, l, CASE WHEN n >= 32 THEN [{stripes}] END AS v FROM lanes
+), merged AS (
+    SELECT s, n, x, l, CASE WHEN n < 32 THEN {seed5} ELSE list_reduce(v, lambda h, a: {merge}, {sum}) END + CAST(n AS UHUGEINT) & {M} AS h FROM striped
+), eights AS (
+    SELECT s, n, x, list_reduce(l[n // 32 * 4 + 1:], lambda h, k: {eight}, h) AS h FROM merged
+), fours AS (
+    SELECT s, n, x, CASE WHEN n % 8 < 4 THEN h ELSE {four} END AS h
+    FROM (SELECT *, CAST('0x0' || list_aggregate(list_reverse(regexp_extract_all(x[n // 8 * 16 + 1:n // 8 * 16 + 8], '..')), 'string_agg', '') AS UHUGEINT) AS k FROM eights)
+), ones AS (
+    SELECT s, list_reduce(list_transform(regexp_extract_all(x[n // 4 * 8 + 1:], '..'), lambda b: CAST('0x' || b AS UHUGEINT)), lambda h, b: {one}, h) AS h FROM fours
+), hashed AS MATERIALIZED (
+    SELECT s, xor(h, h >> 32) AS h FROM (SELECT s, xor(h, h >> 29) * {P3} & {M} AS h FROM (SELECT s, xor(h, h >> 33) * {P2} & {M} AS h FROM ones))
+), prints AS MATERIALIZED (
+    SELECT doc_id, coalesce(CAST({bits} AS UHUGEINT), 0::UHUGEINT) AS f
+    FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM texts)
+    LEFT JOIN hashed USING (s) GROUP BY doc_id
+), nodes AS MATERIALIZED (
+    SELECT f, min(doc_id) AS id FROM prints GROUP BY f
+), links AS MATERIALIZED (
+    SELECT a.f AS a, b.f AS b FROM nodes a JOIN nodes b ON a.f <> b.f AND bit_count(CAST(xor(a.f, b.f) AS HUGEINT)) <= 3
+), reached AS (
+    SELECT f AS node, f AS seen FROM nodes UNION SELECT reached.node, links.b FROM reached JOIN links ON links.a = reached.seen
+), least AS (
+    SELECT node, min(id) AS component_id FROM reached JOIN nodes ON nodes.f = reached.seen GROUP BY node
+)
+SELECT doc_id, lower(lpad(hex(CAST(f AS UBIGINT)), 16, '0')) AS fingerprint, component_id FROM prints JOIN least ON least.node = prints.f
+"""
+
+#: The five primes of XXH64, fixed values.
+XXH64_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def simhash_sql(seed: int = 42) -> str:
+    """XXH64 of every different shingle on 128-bit numbers, fingerprints, and the closure of their
+    links. Lanes are read from hexadecimal digits; a round or a tail step is a lambda."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in XXH64_PRIMES)
+    top = 1 << 64
+    low = f"{top - 1}::UHUGEINT"
+
+    def times(a: str, b: str) -> str:
+        return f"(({a}) * {b} & {low})"
+
+    def turned(a: str, by: int) -> str:
+        return f"((({a}) << {by} & {low}) | (({a}) >> {64 - by}))"
+
+    def mixed(accumulator: str, lane: str) -> str:
+        return times(turned(f"(({accumulator}) + {times(lane, p2)} & {low})", 31), p1)
+
+    first, second, last = XXH64_PRIMES[0], XXH64_PRIMES[1], XXH64_PRIMES[4]
+    starts = ((seed + first + second) % top, (seed + second) % top, seed, (seed - first) % top)
+    stripe = "list_reduce(list_transform(range(n // 32), lambda i: l[4 * i + {place}]), lambda acc, lane: {mixed}, {start}::UHUGEINT)"
+    on = f"{times('{inner}', p1)} + {p4} & {low}"
+    bit = "CASE WHEN 2 * count(*) FILTER (h >> {b} & 1 = 1) > count(h) THEN {v}::UHUGEINT ELSE 0::UHUGEINT END"
+    return _SIMHASH.format(
+        stripes=", ".join(stripe.format(place=k + 1, mixed=mixed("acc", "lane"), start=start) for k, start in enumerate(starts)),
+        seed5=f"{(seed + last) % top}::UHUGEINT",
+        merge="(" + on.format(inner=f"xor(h, {mixed('0::UHUGEINT', 'a')})") + ")",
+        sum="(" + " + ".join(turned(f"v[{k + 1}]", by) for k, by in enumerate((1, 7, 12, 18))) + f" & {low})",
+        eight="(" + on.format(inner=turned(f"xor(h, {mixed('0::UHUGEINT', 'k')})", 27)) + ")",
+        four=f"({times(turned(f'xor(h, {times("k", p1)})', 23), p2)} + {p3} & {low})",
+        one=times(turned(f"xor(h, {times('b', p5)})", 11), p1),
+        P2=p2, P3=p3, M=low, bits=" + ".join(bit.format(b=b, v=1 << b) for b in range(64)),
+    )
+
+
+OP4 = simhash_sql()

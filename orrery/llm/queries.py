@@ -30,6 +30,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_e8_lattice": oracles.OP1,
     "op3_segment_topk": oracles.OP3,
+    "op4_simhash_trie": oracles.OP4,
     "op5_weighted_mix": oracles.OP5,
     "op7_prefix_target_chat": oracles.OP7,
     "op9_hash_tree_sharding": oracles.OP9,
