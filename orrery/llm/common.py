@@ -23,13 +23,11 @@ HOT_ROWS, BROADCAST_KEYS = 1000, 100_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower Spark's default Arrow batch size; a value that the user chose stays."""
-    for key, default, own in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20), str(BATCH_BYTES)),
-    ):
-        if spark.conf.get(key, default) in (default, str((1 << 31) - 1), "268435456", "64MB", "256MB"):
-            spark.conf.set(key, own)
+    """Lower Spark's default Arrow batch size for this session; a value that was set stays."""
+    given = spark.conf.getAll
+    for key, own in (("maxRecordsPerBatch", str(BATCH_ROWS)), ("maxBytesPerBatch", str(BATCH_BYTES))):
+        if f"spark.sql.execution.arrow.{key}" not in given:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
