@@ -79,15 +79,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages' result for sf_dir's documents; what a stage keeps is written as Parquet into
-    the shared folder and read from there by the next."""
+    the shared folder and read from there by the next. A stage's files go once the next one's are
+    written; the last ones stay, as the result is read from them."""
     checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            _removed(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
