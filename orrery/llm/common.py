@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,6 +157,19 @@ def worker_store() -> dict:
     return sys.__dict__.setdefault("_orrery_worker_store", {})
 
 
+def sound_vectors(column: pa.Array) -> list[bytes | None]:
+    """Each vector's components as doubles (no negative zeros), one after the other; None for those
+    that are null or hold null or non-finite ones."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    length = np.where(valid, pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    values = np.array(column.flatten().cast(pa.float64()).fill_null(np.nan)) + 0.0
+    ends = np.cumsum(length)
+    broken = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    sound = valid & (broken[ends] == broken[ends - length])
+    raw = values.tobytes()
+    return [raw[8 * (b - n) : 8 * b] if ok else None for b, n, ok in zip(ends.tolist(), length.tolist(), sound.tolist(), strict=True)]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null counts as empty."""
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]

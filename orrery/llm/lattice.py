@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, join_counted, pick, table
+from .common import arrow_map, cut, join_counted, pick, sound_vectors, table
 from .components import connected_components
 
 COSINE = 0.95
@@ -65,11 +65,7 @@ def shortest() -> np.ndarray:
 def sound(batches):
     """vec_id and the components as doubles; null where a vector can have no cosine."""
     for batch in batches:
-        codes = []
-        for vector in batch.column(1):
-            x = None if not vector.is_valid else np.array(vector.values.cast(pa.float64()).fill_null(np.nan)) + 0.0
-            usable = x is not None and len(x) and np.isfinite(x).all() and x.any()
-            codes.append(x.tobytes() if usable else None)
+        codes = [x if x is not None and x.strip(b"\0") else None for x in sound_vectors(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["vec_id", "code"])
 
 

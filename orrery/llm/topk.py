@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, bounded_batches, least_by_hash, pick, table
+from .common import arrow_map, bounded_batches, least_by_hash, pick, sound_vectors, table
 
 K = 5
 SCALE = 256
@@ -27,17 +27,11 @@ LONG = (1 << 63) - 1
 def sound(batches):
     """vec_id, dim, values (doubles) of the vectors that take part."""
     for batch in batches:
-        ids, vectors = batch.column(0).to_pylist(), batch.column(1)
-        keep, found = [], []
-        for vec_id, vector in zip(ids, vectors, strict=True):
-            if vec_id is None or not vector.is_valid:
-                continue
-            x = np.array(vector.values.cast(pa.float64()).fill_null(np.nan))
-            if np.isfinite(x).all():
-                keep.append(vec_id)
-                found.append(x)
-        columns = [pa.array(keep, pa.int64()), pa.array(map(len, found), pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "dim", "vector"])
+        both = zip(batch.column(0).to_pylist(), sound_vectors(batch.column(1)), strict=True)
+        kept = [(i, len(x) // 8, x) for i, x in both if i is not None and x is not None]
+        if kept:
+            columns = [pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "dim", "vector"])
 
 
 def codes(vectors: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
