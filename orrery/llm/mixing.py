@@ -174,7 +174,8 @@ def allotment(
     max_epochs: int = MAX_EPOCHS,
 ) -> DataFrame:
     """_id, _source, _size, _source_size, _target and _taken of every row, as mix() has them, in
-    one pass over the texts."""
+    one pass over the texts. Nulls, ties, equal rows and empty tables are as there; extra columns
+    are ignored."""
     small = drawn_rows(docs, id_col, text_col, source_col)
     found = take(small, cut(ends(small, weights, max_epochs)))
     return found.select("_id", "_source", "_size", "_source_size", "_target", "_taken")
@@ -182,8 +183,9 @@ def allotment(
 
 def mixed_texts(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mix itself, with the columns of docs: each row as often as it is taken whole, then its
-    first words if it is taken in part. Documents without words, of which any number is in keeping
-    with the targets, stay once."""
+    first words if it is taken in part. Documents without words (null, empty or blank texts), of
+    which any number is in keeping with the targets, stay once. Of equal rows as many are handed on
+    as the mix takes; an empty table stays empty; other columns pass through, whatever their names."""
     width, names = len(docs.columns), docs.columns
     text = f"c{names.index(text_col)}"
     flat = mix(docs, text_col=text_col, **options).toDF(*[f"c{i}" for i in range(width)], "size", "source_size", "target", "taken")

@@ -279,8 +279,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each group: that with the smallest id. Rows without an id stay;
-    of rows that share an id one stays."""
+    """The rows of docs, one of each group: that with the smallest id. Rows without an id stay; of
+    rows that share an id one stays, and all go if their id isn't the smallest of its group. Null,
+    empty and blank texts are one group, with whatever else has few bits set. All columns are kept,
+    whatever their names; an empty table stays empty."""
     width, names = len(docs.columns), docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(width)])
     key = f"c{names.index(id_col)}"
