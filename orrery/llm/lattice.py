@@ -188,21 +188,23 @@ def count_links(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(found)
 
 
-def _salted(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+def _salted(rows: DataFrame, few: DataFrame, *key: str) -> DataFrame:
     """rows joined to few, which has one row a key, with the rows of a common key spread over
     several tasks. rows have id."""
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(few, [key, "salt"]).drop("salt")
+    return rows.join(few, [*key, "salt"]).drop("salt")
 
 
 def gathered(classes: DataFrame) -> DataFrame | None:
     """id, lead, sketch: the vectors that lie in a ball, the one it is around (the least id of its
     cell, a member too) and that one's sketch. None if there is no ball."""
     placed = cut(arrow_map(classes.select("id", "code"), own_cells, "key long, id long, sketch long, level int"))
+    crowded = placed.groupBy("level", "key").count().where(F.col("count") >= LEAST_BALL)
+    crowded = cut(_salted(placed, crowded.select("level", "key"), "level", "key"))
     found = None
-    for level in range(min(ROUNDS, TABLES)):
-        free = placed.where(F.col("level") == level).select("key", "id", "sketch")
+    for level in sorted(r.level for r in crowded.select("level").distinct().collect()):  # ROUNDS numbers at most
+        free = crowded.where(F.col("level") == level).select("key", "id", "sketch")
         if found is not None:
             free = free.join(found.select("id"), "id", "left_anti")
         leads = free.groupBy("key").agg(F.min(F.struct("id", "sketch")).alias("first"), F.count("*").alias("members"))
