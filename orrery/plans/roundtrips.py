@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import csv
+import io
 import json
 import shutil
 import tempfile
@@ -12,7 +14,7 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, quality
+from ..operators import cleaning, quality, tools
 from ..sources import readers, sinks
 from ..sources.config import Settings
 from . import roles
@@ -120,6 +122,77 @@ def snk5_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows)), "place INT, row STRING")
 
 
+def snk4_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several tables of the catalog into a warehouse in this process; the rows that each load wrote."""
+    mark = f"orrery{uuid.uuid4().hex}"
+    options = {"url": f"jdbc:derby:memory:{mark};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    names = {f"{mark}_{name}": name for name in ("nation", "region", "supplier")}
+    for table, name in names.items():
+        sinks.save(roles.read(spark, sf_dir, name), table, path=scratch(spark))
+    loaded = sinks.load_all(spark, list(names), options)
+    return spark.createDataFrame([(names[table], rows) for table, rows in loaded.items()], "table_name STRING, loaded BIGINT")
+
+
+def prj1_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technical columns go, the time of arrival comes."""
+    marked = roles.read(spark, sf_dir, "region").withColumn("_id", F.lit("x")).withColumn("_rev", F.lit(1))
+    arrived = readers.with_arrival(marked)
+    stamped = F.col("ingestion_timestamp") <= F.current_timestamp()
+    return arrived.select(*arrived.columns[:-1], stamped.alias("stamped"), F.lit(len(arrived.columns)).alias("columns"))
+
+
+def prj6_specs_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = [{"name": "S_SUPPKEY", "alias": "supplier", "type": "BIGINT"}, {"name": "s_name", "type": "STRING"}, {"name": "S_AcctBal", "alias": "balance"}]
+    with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as file:  # for the driver alone
+        json.dump(specs, file)
+        file.flush()
+        read = cleaning.read_specs(file.name)
+    return cleaning.rename_by_specs(roles.read(spark, sf_dir, "supplier"), read)
+
+
+def src3_src9_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of a kind of file, a mode and a split that there aren't."""
+    attempts = {
+        "kind": lambda: readers.read_file(spark, "x", "parquet"),
+        "mode": lambda: Settings(mode="ftp"),
+        "split": lambda: Settings.from_environment({"JDBC_SPLIT": "id,9,1,2"}),
+    }
+    said = []
+    for what, attempt in attempts.items():
+        try:
+            attempt()
+        except ValueError as error:
+            said.append((what, str(error).replace("'", "`")))
+    return spark.createDataFrame(said, "what STRING, said STRING")
+
+
+def tls1_scaled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations three times over, their texts suffixed and their numbers shifted."""
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(["ID", "KEY", "NOTE"])
+    for r in roles.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        writer.writerow([r.n_nationkey, r.n_name if r.n_nationkey % 5 else "", f'two\nlines, "{r.n_name}"'])
+    scaled = "".join(tools.copies_of_csv(out.getvalue(), 3, ["KEY"], {"ID": 100}))
+    rows = list(csv.reader(io.StringIO(scaled, newline="")))[1:]
+    return spark.createDataFrame([(int(i), key, note) for i, key, note in rows], "id INT, key STRING, note STRING")
+
+
+def tls2_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the comparer says of the regions and of copies that differ."""
+    region = roles.read(spark, sf_dir, "region").withColumn("share", F.col("r_regionkey") / 3)
+    copies = {
+        "same": region.repartition(3),
+        "near": region.withColumn("share", F.col("share") * (1 + 1e-12)),
+        "value": region.withColumn("share", F.col("share") + F.when(F.col("r_regionkey") == 2, 1).otherwise(0)),
+        "rows": region.where("r_regionkey > 0"),
+        "type": region.withColumn("share", F.col("share").cast("float")),
+    }
+    old = sinks.snapshot(region)
+    found = [(name, "; ".join(tools.differences({"t": old}, {"t": sinks.snapshot(df)}))) for name, df in copies.items()]
+    return spark.createDataFrame(found, "copy STRING, differs STRING")
+
+
 def _typed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw policies under their names, with invalid and repeated ones."""
     return cleaning.rename_by_specs(roles.raw_policies(spark, sf_dir), roles.POLICY_SPECS)
@@ -165,7 +238,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         src1_csv_scan, src2_json_scan, src4_multiline_csv, src5_gzip_csv, src6_jdbc_roundtrip, src7_document_scan, src8_json_texts,
-        snk1_table_overwrite, src12_stored_by_path, snk5_snapshot, dq_policies_violations, dq_accidents_violations, dq4_reports, dq6_gate,
+        snk1_table_overwrite, src12_stored_by_path, snk4_load_all, snk5_snapshot, prj1_arrival, prj6_specs_from_json, src3_src9_refusals,
+        tls1_scaled_csv, tls2_differences, dq_policies_violations, dq_accidents_violations, dq4_reports, dq6_gate,
     )
 }
 
@@ -194,6 +268,17 @@ ORACLE_SQL = {
     "snk1_table_overwrite": "SELECT * FROM nation",
     "src12_stored_by_path": "SELECT * FROM customer",
     "snk5_snapshot": "SELECT CAST(row_number() OVER (ORDER BY r_regionkey, r_name) - 1 AS INTEGER) AS place, to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::VARCHAR AS row FROM region",
+    "snk4_load_all": "SELECT 'nation' AS table_name, count(*) AS loaded FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier",
+    "prj1_arrival": "SELECT r_regionkey, r_name, true AS stamped, 3 AS columns FROM region",
+    "prj6_specs_from_json": "SELECT s_suppkey AS supplier, s_name, s_nationkey, s_acctbal AS balance FROM supplier",
+    "src3_src9_refusals": """
+SELECT * FROM (VALUES ('kind', 'files of kind `parquet` are not read here, only csv and json'), ('mode', 'mode is `ftp`; it can be `files` or `databases`'),
+    ('split', 'a split is column,low,high,readers with low below high, not `id,9,1,2`')) v(what, said)""",
+    "tls1_scaled_csv": """
+SELECT CAST(n_nationkey + 100 * k AS INTEGER) AS id, CASE WHEN n_nationkey % 5 = 0 THEN '' WHEN k = 0 THEN n_name ELSE n_name || '-x' || k END AS key,
+       'two' || chr(10) || 'lines, "' || n_name || '"' AS note
+FROM nation, range(3) t(k)""",
+    "tls2_differences": "SELECT * FROM (VALUES ('same', ''), ('near', ''), ('value', 't: row 2, share'), ('rows', 't: 5 rows, 4 rows'), ('type', 't: schema')) v(copy, differs)",
     "dq_policies_violations": f"SELECT * FROM {_POLICIES}",
     "dq_accidents_violations": f"SELECT * FROM {_ACCIDENTS}",
     "dq4_reports": f"SELECT 'silver_claims' AS table_name, true AS success, '' AS failed UNION ALL SELECT t, failed IS NULL, coalesce(failed, '') FROM {_FAILED}",
