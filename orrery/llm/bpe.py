@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from .common import append_columns, pick, table, worker_store
 
 #: Determinised states and moves, and what paths can do, that a worker keeps; made anew beyond them.
-MOST_STATES, MOST_MOVES, MOST_WAYS = 600_000, 1_500_000, 1_500_000
+MOST_STATES, MOST_MOVES, MOST_WAYS = 300_000, 700_000, 700_000
 #: Units of text (a word with the space before it) that a worker keeps, and their characters.
-MOST_UNITS, MOST_CHARS = 400_000, 8_000_000
+MOST_UNITS, MOST_CHARS = 200_000, 4_000_000
 #: Pieces that go through the transducer together; longer ones go through it by themselves, so
 #: many bytes between looks at the number of states.
 LANES, LONG_PIECE, CHECK_BYTES = 50_000, 256, 4096
@@ -659,7 +659,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     rows. Other columns pass through, but for one that already has the new name. path is read on
     the driver."""
     vocabulary = Vocabulary(docs.sparkSession, path, pattern)
-    return append_columns(docs, [text_col], lambda texts: [_encoded(vocabulary, texts)[0]], [T.StructField(name, T.BinaryType())])
+    return append_columns(docs, [text_col], lambda texts: [_encoded(vocabulary, texts)[0]], [T.StructField(name, T.BinaryType())], keep_store=True)
 
 
 def decode_tokens(df: DataFrame, path: str, tokens_col: str = "tokens", name: str = "decoded") -> DataFrame:
@@ -671,7 +671,7 @@ def decode_tokens(df: DataFrame, path: str, tokens_col: str = "tokens", name: st
     def run(column: pa.Array) -> list[pa.Array]:
         return [_decoded(vocabulary, [np.frombuffer(raw or b"", dtype="<u4") for raw in column.to_pylist()])]
 
-    return append_columns(df, [tokens_col], run, [T.StructField(name, T.StringType())])
+    return append_columns(df, [tokens_col], run, [T.StructField(name, T.StringType())], keep_store=True)
 
 
 def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -682,7 +682,8 @@ def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
         tokens, rows = _encoded(vocabulary, texts)
         return [tokens, _decoded(vocabulary, rows)]
 
-    return append_columns(docs, [text_col], run, [T.StructField("tokens", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    fields = [T.StructField("tokens", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    return append_columns(docs, [text_col], run, fields, keep_store=True)
 
 
 def vocabulary() -> tuple[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import shutil
 import sys
@@ -66,13 +67,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: a Python worker lives on after its
+    task, and what it holds counts against the executor in the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(
     df: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | T.StructType,
+    keep_store: bool = False,
 ) -> DataFrame:
+    """df.mapInArrow() in bounded batches. What earlier passes keep in the worker goes, unless this
+    one makes use of it."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        if not keep_store:
+            worker_store().clear()
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def append_columns(
@@ -81,6 +103,7 @@ def append_columns(
     function: Callable[..., Sequence[pa.Array]],
     fields: Sequence[T.StructField],
     drop: Sequence[str] = (),
+    keep_store: bool = False,
 ) -> DataFrame:
     """df with the columns that function(*input arrays) returns for every batch; the columns named
     in drop don't come back from the worker, and one that has a new one's name gives way to it."""
@@ -95,7 +118,7 @@ def append_columns(
             made = function(*[batch.column(i) for i in where])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], names=names)
 
-    return arrow_map(df, run, schema)
+    return arrow_map(df, run, schema, keep_store)
 
 
 def replace_column(df: DataFrame, name: str, function: Callable[[pa.Array], pa.Array]) -> DataFrame:
@@ -139,9 +162,9 @@ def fit_in_task(sample: DataFrame, function: Callable[[list[dict]], dict[str, np
     the rows nor the training pass through the driver, and a lost executor means a new attempt."""
 
     def run(batches):
-        rows = [row for batch in batches for row in batch.to_pylist()]
         held = io.BytesIO()
-        np.savez(held, **function(rows))
+        np.savez(held, **function([row for batch in batches for row in batch.to_pylist()]))
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()], pa.binary())], names=["model"])
 
     made = arrow_map(sample.repartition(1), run, "model binary").collect()

@@ -29,6 +29,8 @@ SIDE_WEIGHT = 0.3
 #: Spreads a word's weight over its n-grams, so that a misspelling keeps much of it.
 DECAY = 1e-5
 THRESHOLD = 0.7
+#: Different words taken at a time in training.
+WORDS_AT_ONCE = 20_000
 #: Bytes featurised at a time, whole words only.
 CHUNK_BYTES = 1 << 15
 
@@ -158,23 +160,38 @@ class Bags:
 
     def __init__(self, index: dict[bytes, int], ids: list[np.ndarray]) -> None:
         """index: a number for each different word; ids: each text's words."""
-        bucket, self.word_of, count = features(b"\0" + b"\0".join(index) + b"\0")
-        self.used, gram = np.unique(bucket, return_inverse=True)
-        self.gram = gram.astype(np.int32)
-        self.first = np.searchsorted(self.word_of, np.arange(count))
-        self.size = np.bincount(self.word_of, minlength=count)
+        words, buckets, sizes = list(index), [], []
+        for k in range(0, len(words), WORDS_AT_ONCE):  # a part at a time, as sorting all takes much memory
+            bucket, owner, count = features(b"\0" + b"\0".join(words[k : k + WORDS_AT_ONCE]) + b"\0")
+            buckets.append(bucket)
+            sizes.append(np.bincount(owner, minlength=count))
+        bucket, self.size = np.concatenate(buckets), np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
+        self.used = np.flatnonzero(np.bincount(bucket, minlength=1 << BUCKET_BITS))
+        number = np.zeros(1 << BUCKET_BITS, np.int32)
+        number[self.used] = np.arange(len(self.used), dtype=np.int32)
+        self.gram = number[bucket]
         self.flat = np.concatenate(ids)
         bounds = [window_bounds(len(own)) for own in ids]
         base = np.cumsum([0, *map(len, ids)])
-        self.starts = np.concatenate([s + b for (s, _), b in zip(bounds, base, strict=False)])
-        self.ends = np.concatenate([e + b for (_, e), b in zip(bounds, base, strict=False)])
+        self.starts = np.concatenate([s + b for (s, _), b in zip(bounds, base, strict=False)]).astype(np.int32)
+        self.ends = np.concatenate([e + b for (_, e), b in zip(bounds, base, strict=False)]).astype(np.int32)
         windows = np.array([len(s) for s, _ in bounds])
-        self.text_of, self.whole = np.repeat(np.arange(len(ids)), windows), np.cumsum(windows) - windows
+        self.text_of, self.whole = np.repeat(np.arange(len(ids), dtype=np.int32), windows), np.cumsum(windows) - windows
+
+    def _parts(self):
+        """Ranges of words, and of the grams that they hold."""
+        ends = self.first + self.size
+        for k in range(0, len(self.size), WORDS_AT_ONCE):
+            last = min(k + WORDS_AT_ONCE, len(self.size))
+            yield slice(k, last), slice(int(self.first[k]), int(ends[last - 1]))
 
     def means(self, by_gram: np.ndarray) -> np.ndarray:
         """The mean over each window's words of the mean over each word's n-grams."""
-        by_word = np.add.reduceat(by_gram[self.gram], self.first) / self.size
-        running = np.concatenate([[0.0], np.cumsum(by_word[self.flat], dtype=np.float64)])
+        by_word = np.empty(len(self.size))
+        for words, grams in self._parts():
+            by_word[words] = np.add.reduceat(by_gram[self.gram[grams]], self.first[words] - grams.start) / self.size[words]
+        running = np.concatenate([[0.0], np.cumsum(by_word[self.flat])])
         return (running[self.ends] - running[self.starts]) / (self.ends - self.starts)
 
     def back(self, windows: np.ndarray, error: np.ndarray) -> np.ndarray:
@@ -183,8 +200,11 @@ class Bags:
         part = error / (self.ends[windows] - self.starts[windows])
         np.add.at(step, self.starts[windows], part)
         np.subtract.at(step, self.ends[windows], part)
-        by_word = np.bincount(self.flat, weights=np.cumsum(step)[:-1], minlength=len(self.size))
-        return np.bincount(self.gram, weights=(by_word / self.size)[self.word_of], minlength=len(self.used))
+        by_word = np.bincount(self.flat, weights=np.cumsum(step)[:-1], minlength=len(self.size)) / self.size
+        out = np.zeros(len(self.used))
+        for words, grams in self._parts():
+            out += np.bincount(self.gram[grams], weights=np.repeat(by_word[words], self.size[words]), minlength=len(self.used))
+        return out
 
 
 def highest(z: np.ndarray, text_of: np.ndarray, first: np.ndarray) -> np.ndarray:
