@@ -196,3 +196,40 @@ def simhash_sql(seed: int = 42) -> str:
 
 
 OP4 = simhash_sql()
+
+OP11 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+    SELECT lang, w, unnest(range(1, 5)) AS size FROM words
+), places AS (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sizes
+), counts AS (
+    SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, any_value(w[i : i + size - 1]) AS w, any_value(size) AS size, count(*) AS a
+    FROM places GROUP BY 1, 2 HAVING count(*) >= 30
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY 1
+), cuts AS (
+    SELECT lang, phrase, w, a, unnest(range(1, size)) AS k FROM counts WHERE size > 1
+), parts AS (
+    SELECT c.lang, c.phrase, c.a, c.k, l.a AS l, r.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score
+    FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 :], ' ')
+), least AS (
+    SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_sizes AS (
+    SELECT lang, w, size, a, unnest(range(2, size)) AS m FROM counts WHERE size > 2
+), inner_places AS (
+    SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM inner_sizes
+), inside AS (
+    SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS over FROM inner_places GROUP BY 1, 2
+), kept AS (
+    SELECT l.* FROM least l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase WHERE i.over IS NULL OR 100 * i.over < 80 * l.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .bpe import op10_bpe_transducer
 from .chat import op7_prefix_target_chat
+from .collocations import op11_phrase_collocations
 from .html_text import op8_layout_html
 from .lattice import op1_e8_lattice
 from .mixing import op5_weighted_mix
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_layout_html": op8_layout_html,
     "op9_hash_tree_sharding": op9_hash_tree_sharding,
     "op10_bpe_transducer": op10_bpe_transducer,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_weighted_mix": oracles.OP5,
     "op7_prefix_target_chat": oracles.OP7,
     "op9_hash_tree_sharding": oracles.OP9,
+    "op11_phrase_collocations": oracles.OP11,
 }
