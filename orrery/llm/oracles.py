@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+import re
+from collections.abc import Sequence
+
 OP5 = r"""
 WITH words AS (
     SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -233,3 +236,78 @@ WITH pieces AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """
+
+def op12(strict: Sequence[str], soft: Sequence[str]) -> str:
+    """The rules are the contract's; terms become one pattern each, with the characters beside them."""
+
+    def hit(term: str) -> str:
+        return f"regexp_matches(low, '(^|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]){re.escape(term)}($|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])')"
+
+    def count(term: str) -> str:
+        # a character between two occurrences serves both, so each is doubled first
+        doubled = "regexp_replace(low, '([^a-z0-9\\x{80}-\\x{10FFFF}])', '\\1\\1', 'g')"
+        return f"len(regexp_extract_all({doubled}, '(^|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]){re.escape(term)}($|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])'))"
+
+    n_strict = " + ".join(count(t) for t in strict)
+    weight = " + ".join([*(f"2 * CAST({hit(t)} AS BIGINT)" for t in strict), *(f"CAST({hit(t)} AS BIGINT)" for t in soft)])
+    n_soft = " + ".join(f"CAST({hit(t)} AS BIGINT)" for t in soft)
+    return f"""
+WITH p AS (
+    SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+           translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), r(name, start, action) AS (
+    VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), h AS (
+    SELECT *, CAST({n_strict} AS BIGINT) AS n_strict, CAST({n_soft} AS BIGINT) AS n_soft, CAST({weight} AS BIGINT) AS weight FROM p
+), j AS (
+    SELECT h.*, (SELECT arg_max(name || start, length(name || start)) FROM r WHERE ends_with('.' || host, '.' || name) AND starts_with(path, start)) AS rule FROM h
+)
+SELECT page_id, host, path, rule, n_strict, n_soft, weight,
+       coalesce((SELECT action FROM r WHERE name || start = rule), CASE WHEN weight >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j
+"""
+
+OP13 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), t AS (
+    SELECT id, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+    SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3
+), v AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY 1
+), g AS (
+    SELECT DISTINCT lang, source FROM d
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), sums AS (
+    SELECT lang, source, sum(n) AS words FROM counts GROUP BY 1, 2
+), dense AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + CAST(1000000000 * CAST(coalesce(c.n, 0) + 1 AS HUGEINT) // (coalesce(s.words, 0) + v.v) AS BIGINT) AS p
+    FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+), totals AS (
+    SELECT lang, sum(words) AS words FROM sums GROUP BY 1
+), wide AS (
+    SELECT c.lang, c.term, 1 + CAST(1000000000 * CAST(sum(c.n) + 1 AS HUGEINT) // (any_value(t.words) + any_value(v.v)) AS BIGINT) AS q
+    FROM counts c JOIN totals t USING (lang) JOIN v USING (lang) GROUP BY 1, 2
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item,
+           CAST(coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term
+                          WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), terms AS (
+    SELECT d.lang, d.source, d.term AS item, (d.p - w.q) * (d.p - w.q) // w.q AS value
+    FROM dense d JOIN wide w ON w.lang = d.lang AND w.term = d.term WHERE d.n > 0 AND d.p > w.q
+)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank
+FROM terms QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200
+"""
