@@ -20,7 +20,7 @@ MOST_WORDS, LEAST_COUNT, SCALE, COVERED, TOP = 4, 30, 2_000_000, 80, 2_000
 #: Positions of one byte of a bitmap. Bytes without a set bit are left out.
 BLOCK = 8
 #: Bytes of bitmaps extended at a time, and ANDs made at a time.
-BATCH_ENTRIES, ANDS_AT_ONCE = 1 << 18, 1 << 20
+BATCH_ENTRIES, ANDS_AT_ONCE = 1 << 16, 1 << 18
 #: Positions whose bitmaps are held at a time.
 SPAN = 1 << 20
 #: Shares in which the best phrases of a language are found before they meet.
@@ -97,10 +97,10 @@ class Bitmaps:
             self.term = self.block = self.bits = np.zeros(0, np.int64)
             return
         key = (where // BLOCK) * len(keep) + terms
-        order = np.argsort(key, kind="stable")
-        key, bit = key[order], np.left_shift(1, where[order] % BLOCK)
+        order = np.argsort(key)
+        key, bit = key[order], np.left_shift(np.uint16(1), (where[order] % BLOCK).astype(np.uint16))
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        self.bits = np.bitwise_or.reduceat(bit, at).astype(np.uint16)
+        self.bits = np.bitwise_or.reduceat(bit, at)
         self.block, self.term = np.divmod(key[at], len(keep))
         self.block, self.term = self.block.astype(np.int32), self.term.astype(np.int32)
         self.ends = np.searchsorted(self.block, np.arange(self.block[-1] + 3))

@@ -15,8 +15,8 @@ from .common import arrow_map
 
 #: Bytes of text that are gathered into one shard (a single longer text is a shard of its own), and
 #: bytes that are split at a time.
-SHARD_BYTES = 8 << 20
-WINDOW_BYTES = 2 << 20
+SHARD_BYTES = 5 << 20
+WINDOW_BYTES = 1 << 20
 #: Bits of a set filter: so many for each member, within bounds (2^27 bits are 16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 27
 
