@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Fixed values of the sources: the youngest driver, and the licence date that means unknown.
@@ -51,10 +52,51 @@ def with_all(df: DataFrame, *names: str) -> DataFrame:
     return df.where(" AND ".join(f"`{name}` IS NOT NULL" for name in names))
 
 
+def _reversed(value: Column, kind: T.DataType) -> list[Column] | None:
+    """Columns that ascend as the value descends; None if there are none for its type."""
+    if isinstance(kind, T.IntegralType):
+        return [F.bitwise_not(value)]
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return [~F.isnan(value), F.when(F.isnan(value), F.lit(0.0)).otherwise(-value)]
+    if isinstance(kind, T.DecimalType):
+        return [-value]
+    if isinstance(kind, T.BooleanType):
+        return [~value]
+    if isinstance(kind, T.DateType):
+        return [-F.unix_date(value)]
+    if isinstance(kind, T.TimestampType):
+        return [-F.unix_micros(value)]
+    if isinstance(kind, T.TimestampNTZType):
+        return [-F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value)]
+    return None
+
+
 def keep_first(df: DataFrame, key: str, best: Sequence[str], ignored: Sequence[str] = ()) -> DataFrame:
     """One row per key: highest in the columns best, in this order, then lowest in every other
-    column by name, so the choice never hangs on partitioning; nulls come last."""
+    column by name, so the choice never hangs on partitioning; nulls come last.
+
+    The row is the least of a struct that orders as said, an aggregate that is combined before the
+    shuffle: of a key with however many rows, each task passes one on, and no window holds them. Where a
+    column to be highest can't be turned round (a text), or another has no order, rows are ranked."""
     rest = sorted(set(df.columns) - {key, *best, *ignored})
+    order: list[Column] = []
+    orderable = all(not isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields)
+    for name in best:
+        turned = _reversed(F.col(name), df.schema[name].dataType)
+        orderable = orderable and turned is not None
+        order += [F.col(name).isNull(), *(turned or ())]
+    if not orderable:
+        return _first_by_rank(df, key, best, rest)
+    for name in rest:
+        order += [F.col(name).isNull(), F.col(name)]
+    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*[F.col(n) for n in df.columns if n != key]).alias("row"))
+    # a list beside it, always empty, makes this an aggregate over objects, which are hashed; a struct alone would be sorted
+    found = df.groupBy(key).agg(F.min(row).alias("_least"), F.collect_list(F.lit(None).cast("int")).alias("_none"))
+    found = found.where(F.size("_none") == 0)
+    return found.select(*[F.col(key) if n == key else F.col(f"_least.row.`{n}`").alias(n) for n in df.columns])
+
+
+def _first_by_rank(df: DataFrame, key: str, best: Sequence[str], rest: Sequence[str]) -> DataFrame:
     order = [F.col(name).desc_nulls_last() for name in best] + [F.col(name).asc_nulls_last() for name in rest]
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("_place", place).where("_place = 1").drop("_place")

@@ -30,16 +30,39 @@ WEEK = Grain("year_week", "4w", 4)
 MONTH = Grain("year_month", "3m", 3)
 
 
-def period_series(rows: DataFrame, at: str, name: str, grain: Grain, measures: Mapping[str, Column], growth: str, rolled: str) -> DataFrame:
-    """One row per period of the column at, named <name>_<grain>: the measures, the change of
-    the measure growth against the period before, and the rolling mean of the measure rolled.
+def modes(rows: DataFrame, group: str, columns: Mapping[str, str]) -> DataFrame:
+    """For each value of group the most frequent one of each column, nulls left out; of equally frequent
+    ones the smallest. columns gives the result's name for each.
+
+    Values are counted as groups of their own, combined map-side and spilled like any other, so a
+    column with as many values as rows needs no more memory than one with two."""
+    names = list(columns)
+    counted = rows.groupingSets([[group, n] for n in names], group, *names).agg(F.count("*").alias("times"), F.grouping_id().alias("which"))
+    full = (1 << len(names)) - 1  # of the bits of grouping_id the one of the set's own column is clear
+    best = [
+        F.min(F.when((F.col("which") == full - (1 << (len(names) - 1 - i))) & F.col(n).isNotNull(), F.struct((-F.col("times")).alias("t"), F.col(n).alias("v"))))["v"].alias(columns[n])
+        for i, n in enumerate(names)
+    ]
+    return counted.groupBy(group).agg(*best)
+
+
+def period_series(
+    rows: DataFrame, at: str, name: str, grain: Grain, measures: Mapping[str, Column], growth: str, rolled: str, common: Mapping[str, str] | None = None
+) -> DataFrame:
+    """One row per period of the column at, named <name>_<grain>: the measures, the modes of the columns
+    in common, the change of the measure growth against the period before, and the rolling mean of
+    the measure rolled.
 
     The aggregation is partial before its one shuffle; the windows run over its result, which has
     a row per period, so their single partition holds some thousand rows whatever the input. Rows
     without a day have a null day, or the empty label among weeks and months.
     """
     period = f"{name}_{grain.suffix}"
-    out = rows.groupBy(grain.label(at).alias(period)).agg(*[measure.alias(key) for key, measure in measures.items()])
+    rows = rows.withColumn(period, grain.label(at))
+    out = rows.groupBy(period).agg(*[measure.alias(key) for key, measure in measures.items()])
+    if common:
+        found = modes(rows, period, common).withColumnRenamed(period, "_period")
+        out = out.join(found, F.col(period).eqNullSafe(F.col("_period")), "left").select(*out.columns, *common.values())
     along = Window.orderBy(period)
     mean = c.calendar_mean(rolled, period, grain.frame) if grain.by_calendar else c.row_mean(rolled, along, grain.frame)
     return out.select("*", c.change_from_previous(growth, along).alias(f"pct_change_{growth}"), mean.alias(f"{grain.prefix}_rolling_avg_{rolled}"))
@@ -59,5 +82,5 @@ def accident_series(accidents: DataFrame, grain: Grain) -> DataFrame:
     """The modes leave nulls out; among equally frequent values the smallest is taken, so the
     result doesn't hang on how the rows are partitioned."""
     measures = {"number_of_accidents": F.count("*"), "average_accident_hour": F.round(F.avg("accident_hour"))}
-    measures |= {f"most_common_{name}": F.mode(name, True) for name in ("borough", "zip_code")}
-    return period_series(accidents, "accident_date", "accident", grain, measures, "number_of_accidents", "number_of_accidents")
+    common = {name: f"most_common_{name}" for name in ("borough", "zip_code")}
+    return period_series(accidents, "accident_date", "accident", grain, measures, "number_of_accidents", "number_of_accidents", common)

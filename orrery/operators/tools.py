@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import accumulate
 from statistics import median
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOLERANCE = 1e-9
 
@@ -44,41 +44,52 @@ def _alike(a, b, tolerance: float) -> bool:
     return a == b
 
 
-def copies_of_csv(text: str, times: int, suffixed: Sequence[str] = (), shifted: Mapping[str, int] | None = None) -> Iterator[str]:
-    """A CSV text several times over with one header, with keys of their own: copy k appends -x<k>
-    to suffixed columns and adds k times a step to shifted ones. Empty keys stay empty; numbers
-    that leave 32 bits are an error; records may span lines."""
-    reader = csv.reader(io.StringIO(text, newline=""))
-    header = next(reader)
-    rows = list(reader)
-    out = io.StringIO(newline="")
-    writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(header)
-    append = [header.index(c) for c in suffixed]
-    add = {header.index(c): step for c, step in (shifted or {}).items()}
-    for k in range(times):
-        for row in rows:
-            new = list(row)
-            for i in append if k else ():
-                new[i] = f"{row[i]}-x{k}" if row[i] else row[i]
-            for i, step in add.items():
-                if row[i]:
-                    value = int(row[i]) + k * step
-                    if value >= 1 << 31:
-                        raise OverflowError(f"{header[i]} {row[i]} in copy {k} leaves 32 bits")
-                    new[i] = str(value)
-            writer.writerow(new)
-        yield out.getvalue()
-        out.seek(0)
-        out.truncate()
-
-
-def copies_of_documents(documents: Iterable[Mapping], times: int, keys: Sequence[str]) -> Iterator[dict]:
-    """Documents several times over, their keys suffixed as in copies_of_csv()."""
-    held = list(documents)
-    for k in range(times):
-        for document in held:
-            yield {**document, **{key: f"{document[key]}-x{k}" for key in keys if k and document.get(key)}}
+def _differs(a: Column, b: Column, kind: T.DataType, tolerance: float) -> Column:
+    """Whether two values do: nulls equal nulls, NaN equals NaN, fractions within a relative tolerance."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        near = (a == b) | (F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b)))
+        return ~F.coalesce(near, a.isNull() & b.isNull())
+    return ~a.eqNullSafe(b)
+
+
+def first_difference(old: DataFrame, new: DataFrame, name: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row, differs: what differs first between two tables whose rows are numbered (`place`): their
+    schema, their number of rows, or the columns of the first row that differs; empty if nothing does.
+
+    Rows meet by their number, which spreads them evenly; the first difference is a minimum over
+    the tasks. Nothing but that row passes the driver."""
+    spark = old.sparkSession
+    a, b = old.drop("place").schema, new.drop("place").schema
+    if a.simpleString() != b.simpleString():
+        return spark.range(1).select(F.lit(f"{name}: schema").alias("differs"))
+    left = old.select("place", *[F.col(f"`{f.name}`").alias(f"a{i}") for i, f in enumerate(a.fields)])
+    right = new.select("place", *[F.col(f"`{f.name}`").alias(f"b{i}") for i, f in enumerate(b.fields)])
+    both = left.withColumn("in_old", F.lit(1)).join(right.withColumn("in_new", F.lit(1)), "place", "full")
+    bad = F.concat_ws(", ", *[F.when(_differs(F.col(f"a{i}"), F.col(f"b{i}"), f.dataType, tolerance), f.name) for i, f in enumerate(a.fields)])
+    # the number of rows is looked at first
+    found = both.select("in_old", "in_new", F.when(bad != "", F.struct("place", bad.alias("bad"))).alias("row"))
+    found = found.agg(F.count("in_old").alias("old"), F.count("in_new").alias("new"), F.min("row").alias("row"))
+    rows = F.concat(F.lit(f"{name}: "), F.col("old").cast("string"), F.lit(" rows, "), F.col("new").cast("string"), F.lit(" rows"))
+    row = F.concat(F.lit(f"{name}: row "), F.col("row.place").cast("string"), F.lit(", "), F.col("row.bad"))
+    return found.select(F.when(F.col("old") != F.col("new"), rows).otherwise(F.coalesce(row, F.lit(""))).alias("differs"))
+
+
+def copies(df: DataFrame, times: int, suffixed: Sequence[str] = (), shifted: Mapping[str, int] | None = None) -> DataFrame:
+    """df several times over, with keys of their own: copy k appends -x<k> to suffixed columns and adds
+    k times a step to shifted ones. Null and empty keys stay; a number that leaves its column's type
+    is an error of the job. Each task multiplies its own rows; nothing is shuffled."""
+    number = "orrery_copy"
+    out = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(number))
+    k, made = F.col(number), {}
+    for name in suffixed:
+        key = F.col(f"`{name}`")
+        made[name] = F.when((k > 0) & (key != ""), F.concat(key, F.lit("-x"), k.cast("string"))).otherwise(key)
+    for name, step in (shifted or {}).items():
+        key, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        moved = key.cast("decimal(38,0)") + k * F.lit(step).cast("decimal(20,0)")
+        said = F.concat(F.lit(f"{name} "), key.cast("string"), F.lit(" in copy "), k.cast("string"), F.lit(" leaves its type"))
+        made[name] = F.when(key.isNull(), None).otherwise(F.coalesce(moved.try_cast(kind), F.raise_error(said).cast(kind)))
+    return out.withColumns(made).drop(number)
 
 
 @dataclass(frozen=True)

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import atexit
-import csv
-import io
 import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, quality, tools
-from ..sources import readers, sinks
+from ..sources import bulk, readers, sinks
 from ..sources.config import Settings
 from . import roles
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+#: Bytes of a range in the scans of single files here; some of the files are small.
+PIECE = 8_192
 SUPPLIER = "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE"
 
 
@@ -41,18 +43,40 @@ def src1_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_file(spark, path, "csv", schema=SUPPLIER)
 
 
+def _one_text_file(lines: DataFrame, path: str, head: str = "", between: str = "", last: str | None = None) -> str:
+    """Lines in one file, the first after a head, the others each after what is between; then a last one.
+    One task writes them as they come."""
+
+    def run(batches):
+        lead = head
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([lead + texts[0], *(between + t for t in texts[1:])])], names=["value"])
+                lead = between
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last if lead != head else head + last])], names=["value"])
+
+    lines.coalesce(1).mapInArrow(run, "value STRING").write.text(path)
+    return path
+
+
 def src2_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    roles.read(spark, sf_dir, "supplier").write.json(path)
-    return readers.read_file(spark, path, "json", schema=SUPPLIER)
+    """One file that is an array of objects, its ranges read side by side."""
+    customer = roles.read(spark, sf_dir, "customer")
+    objects = customer.select(F.to_json(F.struct("c_custkey", F.struct("c_name", "c_nationkey", "c_acctbal").alias("of"), F.concat(F.lit("}{\"["), "c_mktsegment").alias("c_mktsegment"))))
+    path = _one_text_file(objects, scratch(spark), "[", ",", "]")
+    found = readers.read_file(spark, path, "json", multiline=True, schema="c_custkey BIGINT, of STRUCT<c_name: STRING, c_nationkey: INT, c_acctbal: DOUBLE>, c_mktsegment STRING", split_bytes=PIECE)
+    return found.select("c_custkey", "of.*", "c_mktsegment")
 
 
 def src4_multiline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields with line breaks, quotes and commas."""
+    """One file with line breaks, quotes and commas in its fields, its ranges read side by side."""
+    note = F.concat("p_name", F.lit("\n\""), "p_brand", F.lit('",\n'), "p_type")
+    part = roles.read(spark, sf_dir, "part").select("p_partkey", note.alias("note"), "p_size")
     path = scratch(spark)
-    note = F.concat("p_name", F.lit("\n\""), "p_brand", F.lit('", '), "p_type")
-    roles.read(spark, sf_dir, "part").select("p_partkey", note.alias("note"), "p_size").write.option("header", True).csv(path)
-    return readers.read_file(spark, path, "csv", multiline=True, schema="p_partkey BIGINT, note STRING, p_size INT")
+    part.coalesce(1).write.option("header", True).csv(path)
+    return readers.read_file(spark, path, "csv", multiline=True, schema="p_partkey BIGINT, note STRING, p_size INT", split_bytes=PIECE)
 
 
 def src5_gzip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +90,7 @@ def src5_gzip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src6_jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A warehouse load and a read by key ranges, over a database in this process; so the session
     must be local."""
-    options = {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    options = {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": DERBY}
     supplier = roles.read(spark, sf_dir, "supplier")
     loaded = sinks.load_jdbc(supplier, "supplier", options)
     again = sinks.load_jdbc(supplier, "supplier", options)  # replaces the rows
@@ -75,31 +99,46 @@ def src6_jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.toDF(*[name.lower() for name in found.columns]).withColumn("loaded", F.lit(again).cast("long"))
 
 
-class Numbers:
-    """A document store: numbers and their squares, by the operators of key_ranges()."""
+def src6_balanced_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by a key that is dense at one end, read in eight ranges of as many rows each. The
+    database is in this process, so the session must be local."""
+    options = {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": DERBY}
+    lines = roles.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * F.col("l_orderkey")).alias("k"), "l_linenumber", "l_quantity", "l_returnflag")
+    sinks.load_jdbc(lines, "line", options)
+    read = Settings(mode="databases", jdbc_url=options["url"], jdbc_driver=DERBY, jdbc_table="line", jdbc_balance=('"k"', 8))
+    found = readers.read_jdbc(spark, read)
+    return found.toDF(*[name.lower() for name in found.columns])
+
+
+ORDERS = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, note STRING"
+
 
-    def __init__(self, count: int) -> None:
-        self.count = count
+def damaged_orders(spark: SparkSession, sf_dir: str) -> str:
+    """Orders in one CSV file, some of whose records are damaged: too short, too long, a price or a key that
+    is no number, no key; others have empty fields, line breaks, carriage returns at the end."""
+    n = F.col("o_orderkey") % 97
+    note = F.when(n == 5, "").when(n == 6, F.lit('"two\nlines, \\"x\\""')).otherwise(F.concat(F.col("o_orderpriority"), F.when(n == 7, F.lit("\r")).otherwise("")))
+    fields = [
+        F.when(n == 1, F.lit("key")).when(n == 2, F.lit("")).otherwise(F.col("o_orderkey").cast("string")), F.col("o_custkey").cast("string"),
+        F.when(n == 8, F.lit("")).otherwise(F.col("o_orderstatus")), F.when(n == 3, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")),
+    ]
+    line = F.when(n == 4, F.concat_ws(",", *fields[:3])).when(n == 9, F.concat_ws(",", *fields, note, F.lit("more"))).otherwise(F.concat_ws(",", *fields, note))
+    names = ",".join(c.split()[0] for c in ORDERS.split(", "))
+    return _one_text_file(roles.read(spark, sf_dir, "orders").select(line.alias("value")), scratch(spark), f"{names}\n")
 
-    def find(self, query: Mapping, projection: Mapping) -> Iterator[dict]:
-        wanted = query.get("n", {})
-        if wanted is None:
-            return iter([{"square": -1, "words": "no number"}])
-        low, high = wanted.get("$gte", 0), wanted.get("$lt", self.count)
-        return ({"n": n, "square": n * n, "words": f'the "{n}"'} for n in range(low, high))
 
-    def close(self) -> None:
-        pass
+def _bulk_loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return bulk.bulk_load(spark, damaged_orders(spark, sf_dir), ORDERS, scratch(spark), ("o_orderkey",), 64 * PIECE)
 
 
-def src7_document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = readers.key_ranges("n", 0, 5000, 4)
-    return readers.read_documents(spark, lambda: Numbers(5000), queries, "n BIGINT, square BIGINT, words STRING")
+def src13_bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bulk_loaded(spark, sf_dir)[0]
 
 
-def src8_json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [json.dumps({"n": n, "deep": {"x": [n, n + 1]}}) for n in range(20)] + ["{broken", "{}"]
-    return readers.from_json_texts(spark, texts, "n BIGINT, deep STRUCT<x: ARRAY<BIGINT>>").select("n", F.get("deep.x", F.lit(1)).alias("next"))
+def src13_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why records were refused, how many, and of how many bytes together."""
+    refused = _bulk_loaded(spark, sf_dir)[1]
+    return refused.groupBy("reason").agg(F.count("*").alias("records"), F.sum(F.octet_length("record")).alias("bytes"))
 
 
 def snk1_table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,16 +155,35 @@ def src12_stored_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_stored(spark, path)
 
 
-def snk5_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small table's canonical rows, numbered."""
-    rows, _ = sinks.snapshot(roles.read(spark, sf_dir, "region"))
-    return spark.createDataFrame(list(enumerate(rows)), "place INT, row STRING")
+def snk5_placed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item with its place in the canonical order, whatever the number of tasks that sort."""
+    lines = roles.read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax")
+    return sinks.placed(lines, scratch(spark))
+
+
+def snk3_whole_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that are loaded, loaded again by a run that fails half way, and by one that doesn't: what
+    readers see after each. The database is in this process, so the session must be local."""
+    options = {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": DERBY}
+    part = roles.read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    dearer = part.withColumn("p_retailprice", F.col("p_retailprice") * 2)
+    broken = dearer.repartition(4).withColumn("p_brand", F.when(F.col("p_partkey") % 50 == 7, F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("p_brand")))
+    seen = []
+    for step, rows in enumerate((part, broken, dearer)):
+        try:
+            sinks.load_whole(rows, "part", options)
+        except Exception as error:
+            if "broken" not in str(error):
+                raise
+        found = spark.read.format("jdbc").options(**options, dbtable="part").load()
+        seen.append(found.groupBy("p_brand").agg(F.count("*").alias("rows"), F.round(F.sum("p_retailprice"), 2).alias("price")).withColumn("step", F.lit(step)).collect())
+    return spark.createDataFrame([r for rows in seen for r in rows], "p_brand STRING, rows BIGINT, price DOUBLE, step INT")
 
 
 def snk4_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several tables of the catalog into a warehouse in this process; the rows that each load wrote."""
     mark = f"orrery{uuid.uuid4().hex}"
-    options = {"url": f"jdbc:derby:memory:{mark};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    options = {"url": f"jdbc:derby:memory:{mark};create=true", "driver": DERBY}
     names = {f"{mark}_{name}": name for name in ("nation", "region", "supplier")}
     for table, name in names.items():
         sinks.save(roles.read(spark, sf_dir, name), table, path=scratch(spark))
@@ -150,47 +208,26 @@ def prj6_specs_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.rename_by_specs(roles.read(spark, sf_dir, "supplier"), read)
 
 
-def src3_src9_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is said of a kind of file, a mode and a split that there aren't."""
-    attempts = {
-        "kind": lambda: readers.read_file(spark, "x", "parquet"),
-        "mode": lambda: Settings(mode="ftp"),
-        "split": lambda: Settings.from_environment({"JDBC_SPLIT": "id,9,1,2"}),
-    }
-    said = []
-    for what, attempt in attempts.items():
-        try:
-            attempt()
-        except ValueError as error:
-            said.append((what, str(error).replace("'", "`")))
-    return spark.createDataFrame(said, "what STRING, said STRING")
-
-
-def tls1_scaled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations three times over, their texts suffixed and their numbers shifted."""
-    out = io.StringIO(newline="")
-    writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(["ID", "KEY", "NOTE"])
-    for r in roles.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # 25 rows
-        writer.writerow([r.n_nationkey, r.n_name if r.n_nationkey % 5 else "", f'two\nlines, "{r.n_name}"'])
-    scaled = "".join(tools.copies_of_csv(out.getvalue(), 3, ["KEY"], {"ID": 100}))
-    rows = list(csv.reader(io.StringIO(scaled, newline="")))[1:]
-    return spark.createDataFrame([(int(i), key, note) for i, key, note in rows], "id INT, key STRING, note STRING")
+def tls1_scaled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events ten times over, their numbers shifted and their kinds suffixed."""
+    events = roles.read(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 7 > 0, F.col("event_type")).otherwise("").alias("event_type"), "value")
+    return tools.copies(events, 10, ["event_type"], {"event_id": 10_000_000, "user_id": 1_000_000})
 
 
 def tls2_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the comparer says of the regions and of copies that differ."""
-    region = roles.read(spark, sf_dir, "region").withColumn("share", F.col("r_regionkey") / 3)
-    copies = {
-        "same": region.repartition(3),
-        "near": region.withColumn("share", F.col("share") * (1 + 1e-12)),
-        "value": region.withColumn("share", F.col("share") + F.when(F.col("r_regionkey") == 2, 1).otherwise(0)),
-        "rows": region.where("r_regionkey > 0"),
-        "type": region.withColumn("share", F.col("share").cast("float")),
+    """What the comparer says of the line items and of copies that differ."""
+    lines = roles.read(spark, sf_dir, "lineitem").drop("l_shipdate").withColumn("share", F.col("l_extendedprice") / 3)
+    one = (F.col("l_orderkey") == 6) & (F.col("l_linenumber") == 1)
+    altered = {
+        "same": lines.repartition(7),
+        "near": lines.withColumn("share", F.col("share") * (1 + 1e-12)),
+        "value": lines.withColumn("share", F.col("share") + F.when(one, 1).otherwise(0)).withColumn("l_tax", F.when(one, None).otherwise(F.col("l_tax"))),
+        "rows": lines.where("l_orderkey % 50 <> 3"),
+        "type": lines.withColumn("share", F.col("share").cast("float")),
     }
-    old = sinks.snapshot(region)
-    found = [(name, "; ".join(tools.differences({"t": old}, {"t": sinks.snapshot(df)}))) for name, df in copies.items()]
-    return spark.createDataFrame(found, "copy STRING, differs STRING")
+    old = sinks.placed(lines, scratch(spark))
+    found = [tools.first_difference(old, sinks.placed(df, scratch(spark)), "t").withColumn("copy", F.lit(name)) for name, df in altered.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _typed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,9 +274,10 @@ def dq6_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        src1_csv_scan, src2_json_scan, src4_multiline_csv, src5_gzip_csv, src6_jdbc_roundtrip, src7_document_scan, src8_json_texts,
-        snk1_table_overwrite, src12_stored_by_path, snk4_load_all, snk5_snapshot, prj1_arrival, prj6_specs_from_json, src3_src9_refusals,
-        tls1_scaled_csv, tls2_differences, dq_policies_violations, dq_accidents_violations, dq4_reports, dq6_gate,
+        src1_csv_scan, src2_json_scan, src4_multiline_csv, src5_gzip_csv, src6_jdbc_roundtrip, src6_balanced_reads,
+        src13_bulk_load, src13_quarantine,
+        snk1_table_overwrite, src12_stored_by_path, snk4_load_all, snk3_whole_load, snk5_placed_rows, prj1_arrival, prj6_specs_from_json,
+        tls1_scaled_events, tls2_differences, dq_policies_violations, dq_accidents_violations, dq4_reports, dq6_gate,
     )
 }
 
@@ -259,26 +297,51 @@ _FAILED = """(SELECT 2 AS place, 'silver_policies' AS t, string_agg(expectation,
 
 ORACLE_SQL = {
     "src1_csv_scan": _SUPPLIER,
-    "src2_json_scan": _SUPPLIER,
-    "src4_multiline_csv": """SELECT p_partkey, p_name || chr(10) || '"' || p_brand || '", ' || p_type AS note, p_size FROM part""",
+    "src2_json_scan": """SELECT c_custkey, c_name, c_nationkey, c_acctbal, '}{"[' || c_mktsegment AS c_mktsegment FROM customer""",
+    "src4_multiline_csv": """SELECT p_partkey, p_name || chr(10) || '"' || p_brand || '",' || chr(10) || p_type AS note, p_size FROM part""",
     "src5_gzip_csv": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "src6_jdbc_roundtrip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal, (SELECT count(*) FROM supplier) AS loaded FROM supplier",
-    "src7_document_scan": """SELECT n, n * n AS square, 'the "' || n || '"' AS words FROM range(5000) t(n) UNION ALL SELECT NULL, -1, 'no number'""",
-    "src8_json_texts": "SELECT n, n + 1 AS next FROM range(20) t(n) UNION ALL SELECT NULL, NULL FROM range(2)",
+    "src6_balanced_reads": "SELECT l_orderkey * l_orderkey AS k, l_linenumber, l_quantity, l_returnflag FROM lineitem",
+    "src13_bulk_load": """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 97 <> 8 THEN o_orderstatus END AS o_orderstatus, o_totalprice,
+       CASE o_orderkey % 97 WHEN 5 THEN NULL WHEN 6 THEN 'two' || chr(10) || 'lines, "x"' ELSE o_orderpriority END AS note
+FROM orders WHERE o_orderkey % 97 NOT IN (1, 2, 3, 4, 9)""",
+    "src13_quarantine": """
+WITH d AS (
+    SELECT o_orderkey % 97 AS n, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS s, o_totalprice AS p, o_orderpriority AS note FROM orders
+), t AS (
+    SELECT *, length(c) + length(s) + length(note) + 4 AS rest, length(CAST(p AS VARCHAR)) AS digits FROM d
+)
+SELECT CASE n WHEN 1 THEN 'type: o_orderkey' WHEN 2 THEN 'missing: o_orderkey' WHEN 3 THEN 'type: o_totalprice' ELSE 'fields' END AS reason, count(*) AS records,
+       CAST(sum(CASE n WHEN 1 THEN 3 + digits + rest WHEN 2 THEN digits + rest WHEN 3 THEN length(k) + 3 + rest
+                       WHEN 4 THEN length(k) + length(c) + length(s) + 2 ELSE length(k) + digits + rest + 5 END) AS BIGINT) AS bytes
+FROM t WHERE n IN (1, 2, 3, 4, 9) GROUP BY 1""",
     "snk1_table_overwrite": "SELECT * FROM nation",
     "src12_stored_by_path": "SELECT * FROM customer",
-    "snk5_snapshot": "SELECT CAST(row_number() OVER (ORDER BY r_regionkey, r_name) - 1 AS INTEGER) AS place, to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::VARCHAR AS row FROM region",
+    "snk5_placed_rows": """
+SELECT row_number() OVER (ORDER BY l_returnflag NULLS FIRST, l_quantity NULLS FIRST, l_discount NULLS FIRST, l_tax NULLS FIRST) - 1 AS place,
+       l_returnflag, l_quantity, l_discount, l_tax FROM lineitem""",
+    "snk3_whole_load": """
+SELECT p_brand, count(*) AS rows, round(sum(p_retailprice * CASE step WHEN 2 THEN 2 ELSE 1 END), 2) AS price, CAST(step AS INTEGER) AS step
+FROM part, range(3) s(step) GROUP BY p_brand, step""",
     "snk4_load_all": "SELECT 'nation' AS table_name, count(*) AS loaded FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier",
     "prj1_arrival": "SELECT r_regionkey, r_name, true AS stamped, 3 AS columns FROM region",
     "prj6_specs_from_json": "SELECT s_suppkey AS supplier, s_name, s_nationkey, s_acctbal AS balance FROM supplier",
-    "src3_src9_refusals": """
-SELECT * FROM (VALUES ('kind', 'files of kind `parquet` are not read here, only csv and json'), ('mode', 'mode is `ftp`; it can be `files` or `databases`'),
-    ('split', 'a split is column,low,high,readers with low below high, not `id,9,1,2`')) v(what, said)""",
-    "tls1_scaled_csv": """
-SELECT CAST(n_nationkey + 100 * k AS INTEGER) AS id, CASE WHEN n_nationkey % 5 = 0 THEN '' WHEN k = 0 THEN n_name ELSE n_name || '-x' || k END AS key,
-       'two' || chr(10) || 'lines, "' || n_name || '"' AS note
-FROM nation, range(3) t(k)""",
-    "tls2_differences": "SELECT * FROM (VALUES ('same', ''), ('near', ''), ('value', 't: row 2, share'), ('rows', 't: 5 rows, 4 rows'), ('type', 't: schema')) v(copy, differs)",
+    "tls1_scaled_events": """
+SELECT event_id + 10000000 * k AS event_id, user_id + 1000000 * k AS user_id,
+       CASE WHEN event_id % 7 = 0 THEN '' WHEN k = 0 THEN event_type ELSE event_type || '-x' || k END AS event_type, value
+FROM events, range(10) t(k)""",
+    "tls2_differences": """
+WITH o AS (
+    SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS place
+    FROM lineitem
+), n AS (
+    SELECT count(*) AS a, count(*) FILTER (WHERE l_orderkey % 50 <> 3) AS b FROM lineitem
+)
+SELECT 'same' AS copy, '' AS differs UNION ALL SELECT 'near', ''
+UNION ALL SELECT 'value', coalesce((SELECT 't: row ' || min(place) || ', l_tax, share' FROM o WHERE l_orderkey = 6 AND l_linenumber = 1), '')
+UNION ALL SELECT 'rows', 't: ' || a || ' rows, ' || b || ' rows' FROM n
+UNION ALL SELECT 'type', 't: schema'""",
     "dq_policies_violations": f"SELECT * FROM {_POLICIES}",
     "dq_accidents_violations": f"SELECT * FROM {_ACCIDENTS}",
     "dq4_reports": f"SELECT 'silver_claims' AS table_name, true AS success, '' AS failed UNION ALL SELECT t, failed IS NULL, coalesce(failed, '') FROM {_FAILED}",

@@ -21,6 +21,14 @@ def split_of(text: str) -> tuple[str, int, int, int]:
     return column, low, high, readers
 
 
+def balance_of(text: str) -> tuple[str, int]:
+    """column,readers."""
+    column, _, readers = (part.strip() for part in text.partition(","))
+    if not column or not readers.isdecimal() or int(readers) < 1:
+        raise ValueError(f"a balanced read is column,readers, not {text!r}")
+    return column, int(readers)
+
+
 @dataclass(frozen=True)
 class Settings:
     """Where the sources are, how tables are stored, and how sessions are made."""
@@ -38,7 +46,9 @@ class Settings:
     jdbc_driver: str = "com.mysql.cj.jdbc.Driver"
     #: A numeric column, its range and a number of readers make the JDBC read parallel.
     jdbc_split: tuple[str, int, int, int] | None = None
-    #: The same for the document store; a document's key, its range and a number of readers.
+    #: A numeric column and a number of readers, each of which gets about as many rows.
+    jdbc_balance: tuple[str, int] | None = None
+    #: As jdbc_split for the document store; a document's key, its range and a number of readers.
     document_split: tuple[str, int, int, int] | None = None
 
     def __post_init__(self) -> None:
@@ -56,6 +66,8 @@ class Settings:
         for name, variable in (("jdbc_split", "JDBC_SPLIT"), ("document_split", "DOCUMENT_SPLIT")):
             if env.get(variable):
                 given[name] = split_of(env[variable])
+        if env.get("JDBC_BALANCE"):
+            given["jdbc_balance"] = balance_of(env["JDBC_BALANCE"])
         if "SHUFFLE_PARTITIONS" in env:
             given["shuffle_partitions"] = int(env["SHUFFLE_PARTITIONS"])
         return cls(**{k: v for k, v in given.items() if v})

@@ -1,4 +1,7 @@
+import datetime
 import datetime as dt
+import random
+from decimal import Decimal
 
 import pytest
 
@@ -95,3 +98,26 @@ def test_the_gate_names_every_failure(spark):
     with pytest.raises(quality.DataQualityError, match="silver_claims: .*null.*between; silver_policies: expect_column_values_to_be_unique"):
         quality.gate({"silver_claims": bad, "silver_policies": policies})
     assert quality.gate({"silver_policies": policies.limit(1)})[0].success
+
+
+def test_the_first_of_a_key_equals_the_ranking(spark):
+    kinds = "k int, i bigint, d double, b boolean, day date, t timestamp, n timestamp_ntz, m decimal(9,2), s string, z double"
+    rng = random.Random(8)
+    pick = lambda *values: rng.choice([None, *values])
+    day = datetime.date
+    rows = [
+        (
+            pick(1, 2, 3), pick(-(2**63), 5, 2**63 - 1), pick(0.5, float("nan"), -1.0), pick(True, False), pick(day(1, 1, 1), day(2024, 5, 1)),
+            pick(datetime.datetime(1960, 1, 1), datetime.datetime(2024, 1, 1, 1, 1, 1, 5)), pick(datetime.datetime(1900, 1, 1), datetime.datetime(2024, 1, 1)),
+            pick(Decimal("1.25"), Decimal("-3")), pick("a", "b"), pick(1.0, 2.0),
+        )
+        for _ in range(200)
+    ]
+    df = spark.createDataFrame(rows, kinds).repartition(5)
+    for best in (("i", "d"), ("d", "b", "m"), ("day", "n"), ("t",), ()):
+        rest = sorted({*df.columns} - {"k", *best})
+        got, want = cleaning.keep_first(df, "k", best), cleaning._first_by_rank(df, "k", best, rest)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan and plan.count("ObjectHashAggregate") == 2
+        assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), best
+    assert cleaning.keep_first(df, "k", ("s",)).count() == 4  # texts can't be turned round

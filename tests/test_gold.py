@@ -91,3 +91,10 @@ def test_contributions_sum_to_the_ratio_less_100(spark):
     assert {k: r.contribution_pct_points for k, r in got.items()} == {"SUV": 25.0, portfolio.POOLED: -12.5, portfolio.UNKNOWN: -25.0}
     assert sum(r.contribution_pct_points for r in got.values()) == 350 / 400 * 100 - 100
     assert got[portfolio.POOLED].number_of_policies == 2
+
+
+def test_modes_of_columns_with_as_many_values_as_rows(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS g", "id + 10 AS every", "CAST(id % 2 AS string) AS two", "CAST(NULL AS int) AS never")
+    df = df.unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS g, CAST(7 AS bigint) AS every, 'x' AS two, 1 AS never"))
+    got = {r.g: (r.e, r.t, r.n) for r in series.modes(df, "g", {"every": "e", "two": "t", "never": "n"}).collect()}
+    assert got == {0: (10, "0", None), 1: (11, "1", None), 2: (12, "0", None), None: (7, "x", 1)}

@@ -5,7 +5,7 @@ import pytest
 
 from orrery.operators import tools
 from orrery.plans import cards, gold, stages
-from orrery.sources import readers, sinks
+from orrery.sources import bulk, readers, sinks
 from orrery.sources.config import Settings
 from orrery.streaming.windows import counts_by_window
 
@@ -65,7 +65,7 @@ class Collection:
 
 def test_documents_equal_files(spark, files):
     source = Collection()
-    texts = readers.fetch_documents(lambda: source)
+    texts = list(readers.fetch_documents(lambda: source))
     assert source.closed
     own = readers.from_json_texts(spark, texts)
     file = readers.read_file(spark, str(files / "claims.json"), "json", True, readers.CLAIMS)
@@ -73,7 +73,7 @@ def test_documents_equal_files(spark, files):
     assert sorted(map(str, own.collect())) == sorted(map(str, file.collect()))
     source = Collection(fails=True)
     with pytest.raises(OSError):
-        readers.fetch_documents(lambda: source)
+        list(readers.fetch_documents(lambda: source))
     assert source.closed
     assert readers.from_json_texts(spark, ["{broken"]).first().claim_no is None
     for queries in (({},), ({"claim_no": ["c1"]}, {"claim_no": ["c2", "c3"]}, {"claim_no": []})):
@@ -173,13 +173,80 @@ def test_differences(spark):
     assert tools.differences({"t": a}, {"t": sinks.snapshot(spark.range(2))}) == ["t: schema"]
 
 
-def test_copies():
-    text = 'POLICY_NO,ID,NOTE\n101/1,5,"a\nb"\n,6,"x,""y"""\n'
-    got = "".join(tools.copies_of_csv(text, 3, ["POLICY_NO"], {"ID": 10}))
-    assert got == 'POLICY_NO,ID,NOTE\n101/1,5,"a\nb"\n,6,"x,""y"""\n101/1-x1,15,"a\nb"\n,16,"x,""y"""\n101/1-x2,25,"a\nb"\n,26,"x,""y"""\n'
-    with pytest.raises(OverflowError):
-        list(tools.copies_of_csv("ID\n2147483000\n", 2, [], {"ID": 10_000_000}))
-    assert [d["k"] for d in tools.copies_of_documents([{"k": "a"}, {"k": ""}], 2, ["k"])] == ["a", "", "a-x1", ""]
+def test_copies(spark):
+    df = spark.createDataFrame([("101/1", 5, "a"), ("", 6, None), (None, None, "b")], "policy string, id int, note string")
+    got = tools.copies(df, 3, ["policy"], {"id": 10}).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(
+        str((p if not p or not k else f"{p}-x{k}", None if i is None else i + 10 * k, n)) for p, i, n in map(tuple, df.collect()) for k in range(3)
+    )
+    far = spark.createDataFrame([(2147483000,)], "id int")
+    assert tools.copies(far, 2, [], {"id": 600}).count() == 2
+    with pytest.raises(Exception, match="leaves its type"):
+        tools.copies(far, 2, [], {"id": 10_000_000}).collect()
+
+
+def test_places_and_first_differences(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ALIKE_AT_ONCE", 7)
+    rows = [(i % 5, None if i % 3 else float(i % 7), "x") for i in range(300)] + [(2, 1.5, "hot")] * 200
+    df = spark.createDataFrame(rows, "K int, v double, k2 string").repartition(6)
+    got = sinks.placed(df, f"{tmp_path}/a").orderBy("place").collect()
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+    assert [tuple(r[1:]) for r in got] == want and [r.place for r in got] == list(range(500))
+    assert sinks.placed(df.limit(0), f"{tmp_path}/e").count() == 0
+
+    def compared(a, b):
+        left = sinks.placed(spark.createDataFrame(a, "k int, v double"), f"{tmp_path}/{len(list(tmp_path.iterdir()))}")
+        right = sinks.placed(spark.createDataFrame(b, "k int, v double"), f"{tmp_path}/{len(list(tmp_path.iterdir()))}")
+        return tools.first_difference(left, right, "t").first().differs
+
+    nan = float("nan")
+    assert compared([(1, 0.1), (2, None), (3, nan)], [(3, nan), (2, None), (1, 0.1 + 1e-12)]) == ""
+    assert compared([(1, 0.1), (2, 0.0)], [(1, 0.2), (2, 1e-300)]) == "t: row 0, v"
+    assert compared([(1, 0.1), (2, None)], [(1, 0.1), (2, 3.0)]) == "t: row 1, v"
+    assert compared([(1, 0.1), (2, None)], [(1, 0.1)]) == "t: 2 rows, 1 rows" and compared([], []) == ""
+    with pytest.raises(ValueError, match="placed"):
+        monkeypatch.setattr(sinks, "SNAPSHOT_ROWS", 10)
+        sinks.snapshot(df)
+
+
+def test_balanced_reads(spark):
+    keys = spark.range(4000).selectExpr("id * id AS k").unionByName(spark.sql("SELECT CAST(9 AS BIGINT) AS k FROM range(700)")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k FROM range(50)"))
+    found = readers.balanced_predicates(keys, "k", 8)
+    counts = [keys.where(p).count() for p in found]
+    assert sum(counts) == keys.count() and max(counts) <= 2 * keys.count() / 8
+    assert keys.where("NOT (" + ") AND NOT (".join(f"coalesce({p}, false)" for p in found) + ")").count() == 0
+    assert readers.balanced_predicates(keys.where("k IS NULL"), "k", 8) == readers.balanced_predicates(keys, "k", 1) == ["1 = 1"]
+    assert Settings.from_environment({"JDBC_BALANCE": "id, 8"}).jdbc_balance == ("id", 8)
+    for bad in ("id", "id,0", ",3", "id,x"):
+        with pytest.raises(ValueError, match="balanced"):
+            Settings.from_environment({"JDBC_BALANCE": bad})
+
+
+def test_bulk_load(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes(b'id,name,v\r\n1,"two\nlines",1.5\r\n2,,\r\nx,y,1\r\n,n,2\r\n3,a\r\n4,a,1,2\r\n5,b,1e400x\r\n')
+    good, bad = bulk.bulk_load(spark, f"{tmp_path}/in", "id INT, name STRING, v DOUBLE", f"{tmp_path}/out", ("id",))
+    assert sorted(map(tuple, good.collect())) == [(1, "two\nlines", 1.5), (2, None, None)]
+    assert sorted((r.reason, r.record) for r in bad.collect()) == [("fields", "3,a"), ("fields", "4,a,1,2"), ("missing: id", ",n,2"), ("type: id", "x,y,1"), ("type: v", "5,b,1e400x")]
+
+
+def test_a_load_that_fails_leaves_the_old_rows(spark):
+    options = {"url": "jdbc:derby:memory:orrery_whole;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+    def seen():
+        return sorted(tuple(r) for r in spark.read.format("jdbc").options(**options, dbtable="t").load().collect())
+
+    old, new = spark.createDataFrame([(1, "a")], "k int, s string"), spark.createDataFrame([(2, "b"), (3, None)], "k int, s string")
+    assert sinks.load_whole(old, "t", options) == 1 and seen() == [(1, "a")]
+    broken = new.selectExpr("k", "if(k = 3, raise_error('broken'), s) AS s")
+    for _ in range(2):
+        with pytest.raises(Exception, match="broken"):
+            sinks.load_whole(broken, "t", options)
+        assert seen() == [(1, "a")]
+    assert sinks.load_whole(new, "t", options) == 2 and len(seen()) == 2
+    assert sinks.load_whole(old.limit(0), "t", options) == 0 and seen() == []
+    with pytest.raises(Exception):  # no database, no guess
+        sinks.load_whole(old, "t", {**options, "url": "jdbc:derby:memory:orrery_not_there"})
 
 
 def test_plans_logs_and_cards(spark):
