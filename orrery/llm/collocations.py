@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_map, cut, pick, table
-from .words import Members, by_group, byte_classes, coded_column, hashes, in_group, joined, members, paired, shards, split_words
+from .words import Members, by_group, byte_classes, coded_column, hashes, in_group, joined, members, mixed, paired, shards, split_words
 
 #: Words are parted by spaces and tabs; pieces, which no phrase crosses, by these as well.
 CLASSES = byte_classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
@@ -23,21 +26,18 @@ BLOCK = 8
 BATCH_ENTRIES, ANDS_AT_ONCE = 1 << 16, 1 << 18
 #: Positions whose bitmaps are held at a time.
 SPAN = 1 << 20
+#: Words and phrases are first summed by the top bits of their hash, in so many buckets (as many as
+#: shards, within bounds); a task passes its sums on when it holds so many.
+HASH_BITS, BUCKETS, HELD_SUMS = 40, (16, 4096), 1 << 20
 #: Shares in which the best phrases of a language are found before they meet.
 SALTS = (64, 8)
 
-SHARD_SCHEMA = "langs array<string>, words binary, ends binary, lang_of binary, word_of binary, sequence binary"
+#: A shard is stored in pieces of so many bytes, in order, as rows of megabytes burden the JVM's heap.
+PIECE_BYTES = 256 << 10
+SHARD_SCHEMA = "piece binary, last boolean"
 FIRST = np.uint32(1 << 31)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _unpack(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
 class Shard:
     """The words of some whole texts in order. A term is a word in a language: lang[t] and word[t]
     are its parts, terms[i] the term at the i-th place, first[i] whether a piece begins there."""
@@ -58,27 +58,32 @@ def _encoded(batches):
         langs, lang = coded_column(held.column(0), NO_LANG)
         w = split_words(held.column(1), CLASSES)
         of_lang, of_word, term = by_group(lang[w.text], w.word, len(w.dictionary))
-        lengths = pc.binary_length(w.dictionary).to_numpy(zero_copy_only=False).astype(np.int32)
-        row = [
-            langs.to_pylist(), zstandard.compress(b"".join(w.dictionary.to_pylist()), 1), _pack(np.cumsum(lengths, dtype=np.int64)),
-            _pack(of_lang.astype(np.int32)), _pack(of_word.astype(np.int32)), _pack(term.astype(np.uint32) | (w.first * FIRST)),
-        ]
-        kinds = [pa.list_(pa.string()), *[pa.binary()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["langs", "words", "ends", "lang_of", "word_of", "sequence"])
+        lengths = pc.binary_length(w.dictionary).to_numpy(zero_copy_only=False)
+        parts = (
+            langs.to_pylist(), b"".join(w.dictionary.to_pylist()), np.cumsum(lengths, dtype=np.int64),
+            of_lang.astype(np.int32), of_word.astype(np.int32), term.astype(np.uint32) | (w.first * FIRST),
+        )
+        whole = zstandard.compress(pickle.dumps(parts, protocol=5), 1)
+        pieces = [whole[k : k + PIECE_BYTES] for k in range(0, len(whole), PIECE_BYTES)]
+        last = [k == len(pieces) - 1 for k in range(len(pieces))]
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(last)], names=["piece", "last"])
 
 
 def _decoded(batches):
+    held = []
     for batch in batches:
-        for row in range(batch.num_rows):
-            langs, words, ends, lang, word, sequence = (batch.column(i)[row].as_py() for i in range(6))
-            ends = np.concatenate([[0], _unpack(ends, np.int64)]).astype(np.int64)
-            held = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(zstandard.ZstdDecompressor().decompress(words))])
-            sequence = _unpack(sequence, np.uint32)
-            yield Shard(pa.array(langs, pa.string()), held, _unpack(lang, np.int32), _unpack(word, np.int32), (sequence & ~FIRST).astype(np.int32), sequence >= FIRST)
+        for piece, last in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.append(piece)
+            if last:
+                langs, words, ends, lang, word, sequence = pickle.loads(zstandard.decompress(b"".join(held)))
+                held = []
+                ends = np.concatenate([[0], ends]).astype(np.int64)
+                names = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(words)])
+                yield Shard(pa.array(langs, pa.string()), names, lang, word, (sequence & ~FIRST).astype(np.int32), sequence >= FIRST)
 
 
 def encoded_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """docs as rows of SHARD_SCHEMA, a row for some megabytes of whole texts."""
+    """docs as shards of some megabytes of whole texts each; the rows of one follow each other."""
     return arrow_map(pick(docs, lang=lang_col, text=text_col), _encoded, SHARD_SCHEMA)
 
 
@@ -158,10 +163,10 @@ class Bitmaps:
         return [np.concatenate(x) for x in zip(*found, strict=True)] if found else None
 
 
-def mine(shard: Shard, keep: np.ndarray, allowed, words: int):
+def mine(shard: Shard, keep: np.ndarray, allowed, words: int, fits=None):
     """(terms at each place, count) of the phrases of 2 to so many words: each batch of bitmaps is
-    extended to the end before the next one. Phrases of terms that keep doesn't hold, or with pairs that
-    allowed() drops, are left out."""
+    extended to the end before the next one. Phrases of terms that keep doesn't hold, with pairs that
+    allowed() drops, or that fits(terms at each place) drops, are left out with all that they begin."""
     width = len(keep)
     for lo in range(0, len(shard.terms), SPAN):
         hi = min(lo + SPAN, len(shard.terms))
@@ -182,6 +187,10 @@ def mine(shard: Shard, keep: np.ndarray, allowed, words: int):
                 count = np.bincount(phrase, np.bitwise_count(bits), len(pair)).astype(np.int64)
                 head, tail = np.divmod(pair, width)
                 columns = [c[head] for c in columns] + [tail]
+                if fits is not None:
+                    fine = fits(columns)
+                    columns, count, here = [c[fine] for c in columns], count[fine], fine[phrase]
+                    phrase, last, block, bits = (np.cumsum(fine) - 1)[phrase[here]], last[here], block[here], bits[here]
                 yield columns, count
 
 
@@ -189,64 +198,146 @@ def _batch(lang, phrase, count):
     return pa.RecordBatch.from_arrays([lang, phrase, pa.array(count, pa.int64())], names=["lang", "phrase", "a"])
 
 
-def _word_counts(batches):
-    """A row for each term; and one without a phrase for each language, with all its words."""
-    for shard in _decoded(batches):
-        count = np.bincount(shard.terms, minlength=len(shard.word))
-        lang, word = shard.langs.take(pa.array(shard.lang)), shard.words.take(pa.array(shard.word)).cast(pa.string())
-        yield _batch(lang, word, count)
-        total = np.bincount(shard.lang, count, len(shard.langs)).astype(np.int64)
-        yield _batch(shard.langs, pa.nulls(len(total), pa.string()), total)
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers by their bytes' places, which compresses well where most are small."""
+    return zstandard.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _of_planes(held: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(held), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and the sums of their counts."""
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.uint64)
+
+
+def _key(h: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """The top bits of the hash of each phrase, h being the terms' hashes."""
+    made = h[columns[0]]
+    for c in columns[1:]:
+        made = paired(made, h[c])
+    return made >> np.uint64(64 - HASH_BITS)
+
+
+def _among(filters, h: np.ndarray):
+    """What tells whether phrases pass a filter of keys."""
+    held = Members(filters.value)
+    return lambda *columns: held.has(mixed(_key(h, columns)))
+
+
+def _counted(shard: Shard, filters: list, words: int):
+    """(terms at each place, count) of the words, or of the phrases of so many words whose words, pairs and
+    so on pass the filters of those sizes; the last filter is for that size and all beyond."""
+    h = shard.hash()
+    every = np.arange(len(shard.word))
+    if not filters:
+        yield [every], np.bincount(shard.terms, minlength=len(every))
+        return
+    keep = _among(filters[0], h)(every) if len(every) else np.zeros(0, bool)
+    allowed = _among(filters[1], h) if len(filters) > 1 else None
+    longer = _among(filters[2], h) if len(filters) > 2 else None
+    fits = None if longer is None else lambda columns: longer(*columns) if len(columns) > 2 else np.ones(len(columns[0]), bool)
+    if longer is not None:
+        yield [every[keep]], np.bincount(shard.terms, minlength=len(every))[keep]
+    for columns, count in mine(shard, keep, allowed, words, fits):
+        if len(columns) > len(filters) or longer is not None:
+            yield columns, count
 
 
-def _phrase_counts(filters, pairs, words: int):
+def _sums(filters: list, words: int, buckets: int):
+    """bucket, keys (their steps) and counts of what a task's shards hold and the filters let through."""
+
     def run(batches):
+        keys, counts, held = [], [], 0
+
+        def flush():
+            key, count = _added(keys, counts)
+            ends = np.searchsorted(key * np.uint64(buckets) >> np.uint64(HASH_BITS), np.arange(buckets + 1)).tolist()
+            rows = [(b, _planes(np.diff(key[x:y], prepend=np.uint64(0))), _planes(count[x:y])) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "steps", "counts"])
+            keys.clear()
+            counts.clear()
+
         for shard in _decoded(batches):
             h = shard.hash()
-            keep = Members(filters.value).has(h)
-            allowed = None if pairs is None else lambda a, b, h=h, p=Members(pairs.value): p.has(paired(h[a], h[b]))
-            for columns, count in mine(shard, keep, allowed, words):
-                if pairs is None or len(columns) > 2:
-                    yield _batch(*shard.phrases(columns), count)
+            for columns, count in _counted(shard, filters, words):
+                keys.append(_key(h, columns))
+                counts.append(count)
+                held += len(count)
+            if held >= HELD_SUMS:
+                yield from flush()
+                held = 0
+        if keys:
+            yield from flush()
+
+    return run
+
+
+def _frequent_keys(least: int):
+    """The keys that come to at least so many, of rows sorted by bucket."""
+
+    def run(batches):
+        rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for _, mine_ in groupby(rows, lambda r: r[0]):
+            keys, counts, size, base = [], [], 0, 0
+            for _, steps, held in mine_:
+                keys.append(np.cumsum(_of_planes(steps), dtype=np.uint64))
+                counts.append(_of_planes(held))
+                size += len(keys[-1])
+                if size >= max(HELD_SUMS, 2 * base):
+                    keys, counts = ([x] for x in _added(keys, counts))
+                    size = base = len(keys[0])
+            key, count = _added(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(key[count >= least].astype(np.int64))], names=["key"])
 
     return run
 
 
-def _hash_of(batch: pa.RecordBatch) -> np.ndarray:
-    """Of rows lang, phrase with one word or two."""
-    parts = pc.split_pattern(batch.column(1).cast(pa.string()), " ")
-    n = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-    flat = hashes(parts.flatten())
-    h = in_group(np.repeat(hashes(batch.column(0)), n), flat)
-    ends = np.cumsum(n)
-    return np.where(n > 1, paired(h[ends - n], h[ends - 1]), h[ends - 1]) if len(n) else h
+def frequent(stored: DataFrame, filters: list, words: int, shards_: int, least: int):
+    """A broadcast filter that lets all through that is there at least so often: words; pairs of such
+    words; phrases of three words and more, all of whose pairs are such. Its size is bounded."""
+    buckets = min(max(shards_, BUCKETS[0]), BUCKETS[1])
+    sums = arrow_map(stored, _sums(filters, words, buckets), "bucket int, steps binary, counts binary")
+    sums = sums.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    keys = cut(arrow_map(sums, _frequent_keys(least), "key long"))
+    found = members(keys, keys.count(), lambda batch: mixed(batch.column(0).to_numpy().astype(np.uint64)))
+    return stored.sparkSession.sparkContext.broadcast(found.slots)
 
 
-def _summed(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | F.col("phrase").isNull())
+def _phrases(filters: list, words: int):
+    """A row for each word and phrase that passes the filters; and one without a phrase for each
+    language, with all its words."""
+
+    def run(batches):
+        for shard in _decoded(batches):
+            for columns, count in _counted(shard, filters, words):
+                yield _batch(*shard.phrases(columns), count)
+            total = np.bincount(shard.lang[shard.terms], minlength=len(shard.langs))
+            yield _batch(shard.langs, pa.nulls(len(total), pa.string()), total)
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST_COUNT, words: int = MOST_WORDS):
     """(lang, phrase, a) of all phrases of 1 to so many words with a >= least occurrences, exact, and
     (lang, n), all words of each language.
 
-    A phrase is no more frequent than any part of it. So the words are counted first; then, in each
-    shard, the pairs of frequent words; then phrases all of whose pairs are frequent. What may be
-    frequent is told by set filters of bounded size, which let some more through; counts of the shards
-    are summed by Spark, map-side first, and only sums decide."""
-    spark = docs.sparkSession
+    A phrase is no more frequent than any part of it. So words, then pairs of frequent words, then
+    longer phrases all of whose pairs are frequent are summed by 40 bits of their hash, a few bytes each;
+    and then counted exactly, but for those whose sums are too small. What may be frequent is told by set
+    filters of bounded size, which let some more through; the exact counts are summed by Spark, map-side
+    first, and only they decide."""
     stored = cut(encoded_shards(docs, lang_col, text_col))
-    single = cut(_summed(arrow_map(stored, _word_counts, "lang string, phrase string, a long"), least))
-    n = single.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
-    single = single.where(F.col("phrase").isNotNull())
-    frequent = spark.sparkContext.broadcast(members(single, single.count(), _hash_of).slots)
-    pair = cut(_summed(arrow_map(stored, _phrase_counts(frequent, None, 2), "lang string, phrase string, a long"), least))
-    found = single.unionByName(pair)
-    if words > 2:
-        pairs = spark.sparkContext.broadcast(members(pair, pair.count(), _hash_of).slots)
-        longer = _summed(arrow_map(stored, _phrase_counts(frequent, pairs, words), "lang string, phrase string, a long"), least)
-        found = found.unionByName(cut(longer))
-    return found, n
+    n_shards, filters = stored.where("last").count(), []
+    for size in (1, 2, max(3, words)):
+        filters.append(frequent(stored, list(filters), size, n_shards, least))
+    counted = arrow_map(stored, _phrases(filters, words), "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    counted = cut(counted.where((F.col("a") >= least) | F.col("phrase").isNull()))
+    n = counted.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
+    return counted.where(F.col("phrase").isNotNull()), n
 
 
 def scored(counts: DataFrame, scale: int = SCALE) -> DataFrame:

@@ -46,6 +46,7 @@ def tiny(monkeypatch):
     for module, name, value in (
         (words, "SHARD_BYTES", 900), (words, "WINDOW_BYTES", 61), (collocations, "SPAN", 53), (collocations, "BATCH_ENTRIES", 7),
         (collocations, "ANDS_AT_ONCE", 11), (collocations, "SALTS", (3, 2)),
+        (collocations, "HELD_SUMS", 50), (collocations, "PIECE_BYTES", 100), (collocations, "BUCKETS", (3, 5)),
     ):
         monkeypatch.setattr(module, name, value)
 
