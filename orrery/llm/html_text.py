@@ -19,6 +19,9 @@ from .common import append_columns, pick, table
 MOST_PADDING = 8
 PADDED = 60
 GAP = "  "
+#: Lists and quotations indent their lines up to this depth; what is deeper is as far in, and its items
+#: keep their markers. So a line is never longer than its text by more than a bound.
+INDENTS = 24
 
 # The classes of elements in the HTML standard that matter to text and its layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +43,10 @@ _NAME = re.compile(r"[^\s/>]+")
 _ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?)?")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _VISIBILITY = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?(?=;|$)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_AT_RULE = re.compile(r"@[^{};]*+(?:;|\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}?|\Z)")
+_RULE = re.compile(r"([^{}]++)\{([^{}]*+)\}")
+_SELECTOR = re.compile(r"[.#]?-?[A-Za-z_][\w-]*")
 _SHOWN = re.compile(r"[^ \t\n\f\r]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
@@ -52,6 +59,7 @@ class Flow:
         self.run: list[str] = []
         self.space = self.blank = False
         self.prefixes: list[list[str | None]] = []  # [marker of the first line, of the others]
+        self.late: list[list[str | None]] = []  # of those deeper than INDENTS the ones whose marker is still to come
 
     def text(self, text: str, keep: bool) -> None:
         if keep:
@@ -89,12 +97,27 @@ class Flow:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
+        if not line:
+            self.lines.append("")
+            return
         marks = []
-        for prefix in self.prefixes:
+        for prefix in self.prefixes[:INDENTS]:
             marks.append(prefix[1] if prefix[0] is None else prefix[0])
-            if line:
-                prefix[0] = None
-        self.lines.append(("".join(marks) + line) if line else "")
+            prefix[0] = None
+        marks += [prefix[0] for prefix in self.late]
+        self.late.clear()
+        self.lines.append("".join(marks) + line)
+
+    def indent(self, marker: str | None, others: str) -> None:
+        self.prefixes.append([marker, others])
+        if len(self.prefixes) > INDENTS and marker is not None:
+            self.late.append(self.prefixes[-1])
+
+    def outdent(self) -> None:
+        if self.prefixes:
+            gone = self.prefixes.pop()
+            if self.late and self.late[-1] is gone:
+                self.late.pop()
 
     def gap(self) -> None:
         self.end_line()
@@ -208,14 +231,14 @@ class Element:
         self.select: Element | None = None  # of an option
 
 
-def _style(style: str) -> dict[str, str]:
-    """The properties of a style that decide on visibility; of several the last important one, else
-    the last, holds."""
+def _style(style: str) -> dict[str, tuple[bool, str]]:
+    """The properties of a style that decide on visibility, and whether they are important; of
+    several the last important one, else the last, holds."""
     found: dict[str, tuple[bool, str]] = {}
     for name, value, important in _VISIBILITY.findall(style):
         if important or not found.get(name.lower(), (False, ""))[0]:
             found[name.lower()] = (bool(important), value.lower())
-    return {name: value for name, (_, value) in found.items()}
+    return found
 
 
 def _number(text: str | None, least: int, most: int, default: int) -> int:
@@ -225,19 +248,28 @@ def _number(text: str | None, least: int, most: int, default: int) -> int:
 
 class Page:
     """The tree builder. Only the open elements are held; text goes to the flow that it is in as
-    it comes, so memory and time follow the page's length however deep it is nested."""
+    it comes, so memory and time follow the page's length however deep it is nested. What hides an element
+    is its `hidden` attribute, its style, and the rules of style elements before it (Page.stylesheet)."""
 
     def __init__(self) -> None:
         self.flow = Flow()
         self.open: list[Element] = []
         self.scopes: list[dict[str, int]] = [{}]  # names open since the last table cell or caption
         self.grids: list[Grid] = []
+        self.places: dict[str, list[int]] = {name: [] for names in SIBLINGS.values() for name in names}
+        self.barriers: list[int] = []  # where such elements and barriers are open, innermost last
+        self.styles: dict[str, dict[str, tuple[bool, int, str]]] = {}  # selector to property: important, order, value
+        self.rules = 0
         self.lists: list[Element] = []  # the open lists and selects, innermost last
         self.selects: list[Element] = []
 
     # Elements.
 
     def _push(self, element: Element) -> None:
+        if element.name in self.places:
+            self.places[element.name].append(len(self.open))
+        if element.name in BARRIERS or element.flow is not None:
+            self.barriers.append(len(self.open))
         self.open.append(element)
         self.scopes[-1][element.name] = self.scopes[-1].get(element.name, 0) + 1
         if element.name in LISTS:
@@ -248,6 +280,9 @@ class Page:
     def _pop(self) -> Element:
         element = self.open.pop()
         name = element.name
+        for held in (self.places.get(name), self.barriers):
+            if held and held[-1] == len(self.open):
+                held.pop()
         if element.flow is not None:  # a cell or caption: back to the flow around it
             self.scopes.pop()
             self.flow = element.flow
@@ -264,8 +299,7 @@ class Page:
                 self.flow.gap()
         elif name in ("li", "dd", "blockquote"):
             self.flow.end_line()
-            if self.flow.prefixes:
-                self.flow.prefixes.pop()
+            self.flow.outdent()
             if name == "blockquote" and not element.hidden:
                 self.flow.gap()
         elif name == "option" and element.select is not None:
@@ -380,6 +414,43 @@ class Page:
             grid.end_group()
             grid.group = self._made(name, attributes, around)
 
+    # Styles.
+
+    def stylesheet(self, text: str) -> None:
+        """Take the rules of a style element whose selectors are a name, a class or an id alone. They hold
+        for what follows it; at-rules and other selectors are passed over. Of each selector only what
+        holds in the end is kept, so an element asks for its name, id and classes once."""
+        text = _AT_RULE.sub(" ", _COMMENT.sub(" ", text))
+        for selectors, body in _RULE.findall(text):
+            declared = _style(body)
+            for selector in selectors.split(",") if declared else ():
+                selector = selector.strip()
+                if _SELECTOR.fullmatch(selector):
+                    key = selector if selector[0] in ".#" else selector.lower()
+                    held = self.styles.setdefault(key, {})
+                    for name, (important, value) in declared.items():
+                        if important or name not in held or not held[name][0]:
+                            self.rules += 1
+                            held[name] = (important, self.rules, value)
+
+    def _styled(self, name: str, attributes: dict[str, str]) -> dict[str, str]:
+        """The properties that hold for an element: important ones first, then its own style, its id's,
+        its classes' and its name's; of equal rank the last."""
+        found: dict[str, tuple[tuple, str]] = {}
+        if self.styles:
+            keys = [(0, name), *((1, f".{c}") for c in attributes.get("class", "").split()), (2, f"#{attributes.get('id', '')}")]
+            for level, key in keys:
+                for name_, (important, order, value) in self.styles.get(key, {}).items():
+                    rank = (important, level, order)
+                    if name_ not in found or rank > found[name_][0]:
+                        found[name_] = (rank, value)
+        if attributes.get("style"):
+            for name_, (important, value) in _style(attributes["style"]).items():
+                rank = (important, 3, 0)
+                if name_ not in found or rank > found[name_][0]:
+                    found[name_] = (rank, value)
+        return {name_: value for name_, (_, value) in found.items()}
+
     # Events.
 
     def _made(self, name: str, attributes: dict[str, str], around: Element | None) -> Element:
@@ -390,7 +461,7 @@ class Page:
         if around is not None:
             inside = around.hidden or around.name == "details" and around.option == "closed" and name != "summary"
             unseen, collapsed = around.unseen, around.collapsed
-        style = _style(attributes["style"]) if attributes.get("style") else {}
+        style = self._styled(name, attributes)
         if style:
             gone = gone or style.get("display") == "none" or style.get("content-visibility") == "hidden"
             visibility = style.get("visibility")
@@ -416,13 +487,9 @@ class Page:
         if name in HEADINGS and self.open and self.open[-1].name in HEADINGS:
             self._pop()
         for sibling in SIBLINGS.get(name, ()):
-            if self._is_open(sibling):
-                for element in reversed(self.open):
-                    if element.name == sibling:
-                        self._pop_to(sibling)
-                        break
-                    if element.name in BARRIERS or element.flow is not None:
-                        break
+            held = self.places[sibling]
+            if held and (not self.barriers or held[-1] > self.barriers[-1]):
+                self._pop_to(sibling)
         if name in ("table", "caption", "tr", "td", "th", "tbody", "thead", "tfoot"):
             self._table_part(name, attributes)
             return None
@@ -478,7 +545,7 @@ class Page:
             width = len(marker)
             if element.unseen:
                 marker = None
-        self.flow.prefixes.append([marker, " " * width])
+        self.flow.indent(marker, " " * width)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -605,6 +672,8 @@ def render(html: str) -> str:
         if name in RAW and element is not None:
             end = _RAW_END[name].search(html, at) if name != "plaintext" else None
             stop = end.start() if end else n
+            if name == "style":
+                page.stylesheet(html[at:stop])
             if not element.hidden:
                 raw = html[at:stop]
                 page.text(raw if name in ESCAPABLE else raw.replace("&", "&amp;"))

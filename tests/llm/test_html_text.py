@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -176,3 +177,42 @@ def test_lists_and_selects_are_found_at_any_depth():
     assert render(f"<select>{wrapped}<option>1<option selected>2<option>3</select>x") == "2 x"
     assert render(f"<select>{wrapped}<option>1</option><option>2</select><select multiple>{wrapped}<option>3<option>4</select>").split() == ["1", "3", "4"]
     assert render("<select><option>1<section><option>2</select>") == "1"
+
+
+def test_deep_nesting_is_bounded_in_time_and_output():
+    n = 1_000_000 // 15
+    for page in ("<blockquote><p>x" * n, "<ul><li>x" * n, "<ol><li><blockquote>x" * (n // 2)):
+        start = time.perf_counter()
+        text = render(page)
+        assert time.perf_counter() - start < 10 and len(text) < 20 * len(page) and text.count("x") == page.count("x")
+    page = "<ul><li><button>" + "<b>" * (n // 2) + "<li></li>" * n
+    start = time.perf_counter()
+    render(page + "x")
+    assert time.perf_counter() - start < 10
+
+
+def test_items_below_the_deepest_indent_keep_their_markers():
+    page = "<ul><li>a" * 40 + "</ul>" * 40
+    lines = [line for line in render(page).splitlines() if line]
+    assert [len(line) - len(line.lstrip()) for line in lines][:25] == [2 * k for k in range(24)] + [48]
+    assert all(line.lstrip().startswith("- a") for line in lines) and len(lines) == 40
+    assert render("<blockquote>" * 30 + "<ol><li>one<p>two<li>three").split() == ["1.", "one", "two", "2.", "three"]
+
+
+@pytest.mark.parametrize(
+    ("style", "body", "want"),
+    [
+        (".x{display:none}", "<p class=x>no<p class='y x'>no<p class=y>yes", "yes"),
+        ("#a, p{display:none}", "<p>no<div id=a>no</div><div>yes", "yes"),
+        ("p{display:none} .x{display:block}", "<p class=x>yes<p>no", "yes"),
+        (".x{display:none}", "<p class=x style='display:block'>yes", "yes"),
+        (".x{display:none!important}", "<p class=x style='display:block'>no<p>yes", "yes"),
+        (".x{visibility:hidden} .y{visibility:visible}", "<div class=x>no<b class=y>yes</b></div>", "yes"),
+        ("/* .x{} */ @media print{p{display:none}} @import 'a'; .x:hover{display:none} div p{display:none}", "<p class=x>yes", "yes"),
+        ("tr.x{display:none} .z{display:none}", "<table><tr class=z><td>no<tr class=x><td>yes</table>", "yes"),
+        (".x{display:none} .x{display:inline}", "<b class=x>yes</b>", "yes"),
+        (".x{display:none", "<b class=x>yes</b>", "yes"),
+    ],
+)
+def test_rules_of_style_elements(style, body, want):
+    assert render(f"<head><style>{style}</style></head><body>{body}").split() == [want]
