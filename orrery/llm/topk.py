@@ -120,22 +120,34 @@ def block_top(
     return best
 
 
-def large_top(
-    query_ids: np.ndarray, q: list[bytes], ids: np.ndarray, v: list[bytes], which: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As block_top(), for the pairs in which either is too large for sums in 64 bits (which: by
-    query and row), in whole numbers of any size; scores are held at the ends of 64 bits."""
+def sortable(score: int) -> str:
+    """Text that sorts as a whole number beyond 64 bits does; empty for those within."""
+    if -LONG <= score <= LONG:
+        return ""
+    digits = str(abs(score))
+    if score > 0:
+        return f"1{len(digits):06d}{digits}"
+    return f"0{999_999 - len(digits):06d}{digits.translate(_TURNED)}"
+
+
+_TURNED = str.maketrans("0123456789", "9876543210")
+
+
+def large_top(query_ids: np.ndarray, q: list[bytes], ids: np.ndarray, v: list[bytes], which: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(number of the query, id, score) as block_top(), for the pairs in which either is too large for
+    sums in 64 bits (which: by query and row), in whole numbers of any size."""
     exact_q, exact_v = {}, {}
-    query, row, score = [], [], []
+    best: dict[int, list[tuple[int, int]]] = {}
     for i, j in np.argwhere(which & (query_ids[:, None] != ids[None, :])).tolist():
         for held, all_, at in ((exact_q, q, i), (exact_v, v, j)):
             if at not in held:
                 held[at] = exact_codes(all_[at])
         total = sum(a * b for a, b in zip(exact_q[i], exact_v[j], strict=True))
-        query.append(i)
-        row.append(int(ids[j]))
-        score.append(max(-LONG, min(LONG, total)))
-    return best_of(np.array(query, np.int64), np.array(row, np.int64), np.array(score, np.int64), k)
+        mine = best.setdefault(i, [])
+        mine.append((-total, int(ids[j])))
+        if len(mine) > 2 * k:
+            best[i] = sorted(mine)[:k]
+    return [(i, row, -total) for i, mine in best.items() for total, row in sorted(mine)[:k]]
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -146,8 +158,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id
     task of its own: a query block meets every row, and no block grows with the table. Each query
     brings along the k-th best score of a sample of rows, so that all tasks prune from the start.
     Vectors that are null, hold null or non-finite components, or have no id take no part; vectors
-    of another length than the query's are no candidates. Scores beyond 64 bits are held at their
-    ends. Repeated ids: rows with the query's own id are not its candidates. An empty table gives
+    of another length than the query's are no candidates. Scores beyond 64 bits are ranked as the whole
+    numbers that they are, and returned as the nearest that 64 bits hold. Repeated ids: rows with the query's own id are not its candidates. An empty table gives
     no rows; extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -181,7 +193,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id
     queries = queries.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64),) * 3]
+        found, large = [(np.zeros(0, np.int64),) * 3], []
         if left.num_rows and right.num_rows:
             dim = left.column("dim")[0].as_py()
             raw_q, raw_v = left.column("vector").to_pylist(), right.column("vector").to_pylist()
@@ -191,15 +203,16 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id
             top = block_top(query_ids[at], q[at], least[at], ids[small_v], v[small_v], k)
             found.append((query_ids[at][top[0]], *top[1:]))
             if not (small_q.all() and small_v.all()):
-                top = large_top(query_ids, raw_q, ids, raw_v, ~(small_q[:, None] & small_v[None, :]), k)
-                found.append((query_ids[top[0]], *top[1:]))
+                large = large_top(query_ids, raw_q, ids, raw_v, ~(small_q[:, None] & small_v[None, :]), k)
+                found += [tuple(np.array([x], np.int64) for x in (query_ids[i], row, max(-LONG, min(LONG, score)))) for i, row, score in large]
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        beyond = [""] * (len(columns[0]) - len(large)) + [sortable(score) for _, _, score in large]
+        return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(beyond, pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
     parts = queries.groupBy("g", "r", "dim").cogroup(rows.groupBy("g", "r", "dim")).applyInArrow(
-        solve, "query_id long, vec_id long, score long"
+        solve, "query_id long, vec_id long, score long, beyond string"
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     ranked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

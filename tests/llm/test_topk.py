@@ -27,14 +27,14 @@ def test_equal_to_brute_force(spark, monkeypatch):
 
 
 def test_components_of_any_size(spark):
-    """Codes beyond sums in 64 bits are multiplied as whole numbers; the score is held at the ends
-    of 64 bits."""
+    """Codes beyond sums in 64 bits are multiplied and ranked as whole numbers; the score that is returned
+    is held at the ends of 64 bits."""
     rows = [(0, [1e9, -1e9]), (1, [1e9, -1e9 + 1]), (2, [1e300, 1e300]), (3, [1e300, -1e300]), (4, [1.0, 1.0]), (5, [2.0, 1.0]), (50, [0.5, 0.25])]
     got = {}
     for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6).collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     most = topk.LONG
-    assert got[0] == [(1, most), (3, most), (5, 256**2 * 10**9), (50, 256 * 64 * 10**9), (2, 0), (4, 0)]
+    assert got[0] == [(3, most), (1, most), (5, 256**2 * 10**9), (50, 256 * 64 * 10**9), (2, 0), (4, 0)]
     assert sorted(got[50], key=lambda x: (-x[1], x[0])) == got[50]
     assert dict(got[50])[1] == 128 * 256 * 10**9 + 64 * 256 * (1 - 10**9) and dict(got[50])[2] == most
 
@@ -78,3 +78,21 @@ def test_few_rows(spark):
     assert topk.top_k(empty).count() == 0
     two = spark.createDataFrame([(0, [0.5]), (None, [0.5]), (1, [-0.3])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(two).collect()] == [(0, 1, 1, 128 * -77)]
+
+
+def test_ranks_beyond_64_bits_are_exact(spark):
+    rows = [(0, [1e12, 0.0]), (1, [1e12, 5.0]), (2, [2e12, 1.0]), (3, [2e12, 2.0]), (4, [-1e12, 0.0]), (5, [-3e12, 0.0]), (6, [1e300, 1e300]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    code = {i: [int(x) * 256 if abs(x) >= 2**53 else int(x * 256 // 1) for x in v] for i, v in rows}
+    score = {i: sum(a * b for a, b in zip(code[0], code[i], strict=True)) for i in code if i}
+    want = sorted(score, key=lambda i: (-score[i], i))
+    most = topk.LONG
+    for blocks in (16_384, 2):
+        topk.ROW_BLOCK, before = blocks, topk.ROW_BLOCK
+        try:
+            got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(df, k=7).collect())
+        finally:
+            topk.ROW_BLOCK = before
+        assert got == [(n, i, max(-most, min(most, score[i]))) for n, i in enumerate(want, 1)]
+    numbers = [-(10**40), -(2**64), -(2**63), 2**63, 2**64, 10**40, 10**40 + 1]
+    assert sorted(map(topk.sortable, numbers)) == list(map(topk.sortable, numbers)) and topk.sortable(2**63 - 1) == topk.sortable(-5) == ""
