@@ -182,25 +182,18 @@ def allotment(
 
 
 def mixed_texts(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself, with the columns of docs: each row as often as it is taken whole, then its
-    first words if it is taken in part. Documents without words (null, empty or blank texts), of
-    which any number is in keeping with the targets, stay once. Of equal rows as many are handed on
-    as the mix takes; an empty table stays empty; other columns pass through, whatever their names."""
+    """The mix itself, with the columns of docs: each row as often as it is taken, whole every time. Of
+    the one in which a source's budget ends, the part that is taken is handed on as the whole text if
+    it is half of it or more, and else not at all, so a source misses its target by half a text at most.
+    Documents without words (null, empty or blank texts), of which any number is in keeping with the
+    targets, stay once. Of equal rows as many are handed on as the mix takes; an empty table stays
+    empty; other columns pass through, whatever their names."""
     width, names = len(docs.columns), docs.columns
-    text = f"c{names.index(text_col)}"
     flat = mix(docs, text_col=text_col, **options).toDF(*[f"c{i}" for i in range(width)], "size", "source_size", "target", "taken")
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.expr("try_divide(taken, size)")))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("(2 * taken + size) div greatest(2 * size, 1)"))
     flat = flat.withColumn("times", times.cast("int")).where("times > 0")
-    flat = flat.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    words = (F.col("taken") - F.col("copy") * F.col("size")).cast("int")
-    handed = F.when(words < F.col("size"), first_words(F.col(text), words)).otherwise(F.col(text))
-    return flat.select(*[handed.alias(c) if c == text else c for c in (f"c{i}" for i in range(width))]).toDF(*names)
-
-
-def first_words(text: Column, words: Column) -> Column:
-    """text up to the end of its first so many words."""
-    spaced = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)  # each word with the space before it
-    return F.array_join(F.slice(spaced, F.lit(1), words), "")
+    flat = flat.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return flat.select(*[f"c{i}" for i in range(width)]).toDF(*names)
 
 
 def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
