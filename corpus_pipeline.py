@@ -2,9 +2,8 @@
 duplicates stays, personal data is masked, sources are mixed to their weights, and the mix is
 encoded. Each stage works on all that the one before it kept.
 
-The mix meets its targets to the word, so of each source up to one text, the one in which its
-budget ends, is partial: its first words only are passed on and encoded, in place of the whole
-text or besides whole copies of it. With many small sources that is a great share of the texts.
+Every text is handed on whole: of the one in which a source's budget ends, the mix takes all or
+nothing, whichever is nearer to the target.
 
 Every stage reads and writes the columns of documents (doc_id, text, lang, source, n_chars), and
 passes extra columns through, also ones whose names differ from these in case only. An empty table
@@ -48,8 +47,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to one of each source in part. Documents
-    without words stay once; a null source is a source; equal keys are ordered by doc_id and text,
+    """Each document as often as the mix takes it, whole. Documents without words stay once; a null source is a source; equal keys are ordered by doc_id and text,
     and of equal rows as many are taken as the budget has room for."""
     return _recounted(mixing.mixed_texts(docs))
 
