@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,18 @@ from .common import arrow_map, cut, join_counted, pick, sound_vectors, table
 from .components import connected_components
 
 COSINE = 0.95
-#: Tables of random projections to 8 dimensions; cells probed next to a vector's own; and the
-#: scale of the lattice. A pair at the threshold meets in one table with probability 0.55, in any
-#: with 0.99 (measured on random pairs); closer pairs with more.
-TABLES, PROBES, SCALE = 6, 8, 1.0
+#: For tables of up to so many different vectors: blocks of 8 dimensions that a cell is made of, each an E8
+#: point; the scale of the lattice; cells looked into, the own one among them; and tables of random
+#: projections. Cells get finer as the table grows, so that a vector meets about as many unrelated ones
+#: (4 at most, on average) whatever its size. A pair's places depend on its cosine alone, as the
+#: projections are normal. At the threshold two vectors meet in one table with probability 0.66, 0.78, 0.64,
+#: 0.46, 0.41, 0.27 and 0.14 (measured), in any with 0.99 and more; closer pairs with more.
+PLANS = (
+    (2_500, 1, 1.0, 9, 6), (30_000, 2, 1.6, 32, 5), (220_000, 2, 1.4, 32, 6), (1_600_000, 2, 1.2, 32, 9),
+    (20_000_000, 3, 1.6, 32, 10), (300_000_000, 3, 1.4, 32, 16), (1 << 62, 3, 1.2, 32, 33),
+)
+#: Lattice points next to a block's own that are looked at.
+NEAR = 8
 #: Pairs that met are held against sketches of 64 projections' signs before their vectors are
 #: fetched. At the threshold 6.5 bits differ on average, with deviation 2.4; unrelated: 32, 4.
 SKETCH_BITS = 18
@@ -85,58 +94,99 @@ def by_length(codes: list[bytes]):
             yield part, np.frombuffer(b"".join(codes[i] for i in part)).reshape(len(part), -1)
 
 
-def _tables(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projections of the tables, directions of the sketch, and salts of the cells' keys."""
+@dataclass(frozen=True)
+class Plan:
+    blocks: int
+    scale: float
+    probes: int
+    tables: int
+
+
+def plan_for(vectors: int) -> Plan:
+    return next(Plan(*rest) for most, *rest in PLANS if vectors <= most)
+
+
+def _tables(dim: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Projections of the tables, and salts of the cells' keys."""
     rng = np.random.default_rng([8240, dim])
-    return rng.normal(size=(TABLES, dim, 8)), rng.normal(size=(dim, 64)), rng.integers(1, 1 << 63, (TABLES, 9), dtype=np.uint64)
+    width = 8 * plan.blocks
+    return rng.normal(size=(plan.tables, dim, width)), rng.integers(1, 1 << 63, (plan.tables, width + 1), dtype=np.uint64)
+
+
+def probed(y: np.ndarray, plan: Plan, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each place, and the cells to look into: of all that are made of each block's own point or
+    one of the NEAR next to it, those nearest to the place, the own one first."""
+    rows = np.arange(len(y))[:, None]
+    points = np.zeros((len(y), 1, 0))
+    far = np.zeros((len(y), 1))
+    for k in range(plan.blocks):
+        z = y[:, 8 * k : 8 * k + 8]
+        own = decode(z)
+        around = ((z[:, None, :] - own[:, None, :] - steps) ** 2).sum(axis=2)
+        near = np.argpartition(around, NEAR, axis=1)[:, :NEAR]
+        here = np.concatenate([own[:, None, :], own[:, None, :] + steps[near]], axis=1)
+        away = np.concatenate([((z - own) ** 2).sum(axis=1)[:, None], around[rows, near]], axis=1)
+        total = (far[:, :, None] + away[:, None, :]).reshape(len(y), -1)
+        best = np.argsort(total, axis=1, kind="stable")[:, : plan.probes]
+        i, j = np.divmod(best, away.shape[1])
+        points, far = np.concatenate([points[rows, i], here[rows, j]], axis=2), total[rows, best]
+    own = np.concatenate([decode(y[:, 8 * k : 8 * k + 8]) for k in range(plan.blocks)], axis=1)
+    return own, points
+
+
+def _sketch_directions(dim: int) -> np.ndarray:
+    return np.random.default_rng([6464, dim]).normal(size=(dim, 64))
 
 
 def _sketches(direction: np.ndarray) -> np.ndarray:
-    return np.packbits(direction @ _tables(direction.shape[1])[1] > 0, axis=1).view(">i8").astype(np.int64)[:, 0]
+    return np.packbits(direction @ _sketch_directions(direction.shape[1]) > 0, axis=1).view(">i8").astype(np.int64)[:, 0]
 
 
 def _key(points: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """A hash of lattice points (last axis) in a table."""
     whole = np.rint(2 * points).astype(np.int64).view(np.uint64)
-    key = (whole * (salt[:8] | np.uint64(1))).sum(axis=-1, dtype=np.uint64) ^ salt[8]
+    key = (whole * (salt[:-1] | np.uint64(1))).sum(axis=-1, dtype=np.uint64) ^ salt[-1]
     return (key * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+#: The cells in which balls are looked for: those of one block.
+ROUND_PLAN = Plan(1, 1.0, 1, ROUNDS)
+
+
 def own_cells(batches):
     """key, id, sketch, level: the cell of each vector in each of the first tables."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for part, x in by_length(batch.column(1).to_pylist()):
             direction = unit(x)
-            sketch, (projections, _, salts) = _sketches(direction), _tables(x.shape[1])
-            for level in range(min(ROUNDS, TABLES)):
-                key = _key(decode(direction @ projections[level] / SCALE), salts[level])
+            sketch, (projections, salts) = _sketches(direction), _tables(x.shape[1], ROUND_PLAN)
+            for level in range(ROUNDS):
+                key = _key(decode(direction @ projections[level] / ROUND_PLAN.scale), salts[level])
                 columns = [pa.array(c) for c in (key, ids[part], sketch, np.full(len(part), level, np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "sketch", "level"])
 
 
-def cells(batches):
-    """key, class, sketch, ball, stored: the cell of each vector in each table (stored), and the
-    cells in which it looks for others (its own and the PROBES nearest to it). A ball's members
-    have its sketch."""
-    steps = shortest()
-    for batch in batches:
-        ids, ball = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-        given = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
-        for part, x in by_length(batch.column(1).to_pylist()):
-            direction = unit(x)
-            sketch = np.where(ball[part], given[part], _sketches(direction))
-            projections, _, salts = _tables(x.shape[1])
-            for projection, salt in zip(projections, salts, strict=True):
-                y = direction @ projection / SCALE
-                own = decode(y)
-                around = ((y[:, None, :] - own[:, None, :] - steps) ** 2).sum(axis=2)
-                near = np.argpartition(around, PROBES, axis=1)[:, :PROBES]
-                key = _key(np.concatenate([own[:, None, :], own[:, None, :], own[:, None, :] + steps[near]], axis=1), salt)
-                stored = np.zeros(key.shape, bool)
-                stored[:, 0] = True
-                columns = [key.ravel(), *(np.repeat(c, key.shape[1]) for c in (ids[part], sketch, ball[part])), stored.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "class", "sketch", "ball", "stored"])
+def cells(plan: Plan):
+    """key, class, sketch, ball, stored: the cell of each vector in each table (stored), and the cells
+    in which it looks for others. A ball's members have its sketch."""
+
+    def run(batches):
+        steps = shortest()
+        for batch in batches:
+            ids, ball = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            given = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            for part, x in by_length(batch.column(1).to_pylist()):
+                direction = unit(x)
+                sketch = np.where(ball[part], given[part], _sketches(direction))
+                for projection, salt in zip(*_tables(x.shape[1], plan), strict=True):
+                    own, around = probed(direction @ projection / plan.scale, plan, steps)
+                    key = np.concatenate([_key(own, salt)[:, None], _key(around, salt)], axis=1)
+                    stored = np.zeros(key.shape, bool)
+                    stored[:, 0] = True
+                    columns = [key.ravel(), *(np.repeat(c, key.shape[1]) for c in (ids[part], sketch, ball[part])), stored.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "class", "sketch", "ball", "stored"])
+
+    return run
 
 
 def cosines(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -239,6 +289,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     base = cut(arrow_map(base, sound, "vec_id long, code binary"))
     able = base.where("code IS NOT NULL AND vec_id IS NOT NULL")
     classes = cut(able.groupBy("code").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    plan = plan_for(classes.count())
     balls = gathered(classes)
     if balls is None:
         named = classes.select("code", "id", "n", F.col("id").alias("class"), F.lit(None).cast("long").alias("sketch"), F.lit(False).alias("ball"))
@@ -247,7 +298,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         named = cut(named.select("code", "id", "n", F.coalesce("lead", "id").alias("class"), "sketch", F.col("lead").isNotNull().alias("ball")))
 
     def placed_in_cells(some: DataFrame) -> DataFrame:
-        return arrow_map(some.select("class", "code", "sketch", "ball"), cells, "key long, class long, sketch long, ball boolean, stored boolean")
+        return arrow_map(some.select("class", "code", "sketch", "ball"), cells(plan), "key long, class long, sketch long, ball boolean, stored boolean")
 
     placed = placed_in_cells(named.where("NOT ball"))
     if balls is not None:  # whose members are in few cells

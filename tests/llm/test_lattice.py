@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from orrery.llm import lattice
 
@@ -117,3 +119,62 @@ def test_recall_at_the_threshold(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = sum(r.n_links for r in lattice.near_vectors(frame).collect()) / 2
     assert found >= 0.95 * 400
+
+
+@pytest.mark.parametrize("plan", lattice.PLANS[1:5])
+def test_finer_cells_keep_the_recall(plan):
+    """Places depend on the cosine alone, so pairs tell the recall of tables of any size."""
+    rng = np.random.default_rng(22)
+    a, b = rng.normal(size=(2, 600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    both = np.stack([a, 0.9502 * a + np.sqrt(1 - 0.9502**2) * b], axis=1).reshape(1200, 64)
+    stored, looked = cells_of(both, lattice.Plan(*plan[1:]))
+    met = [bool(stored[2 * k] & looked[2 * k + 1] or stored[2 * k + 1] & looked[2 * k]) for k in range(600)]
+    assert np.mean(met) >= 0.98
+
+
+def cells_of(vectors, plan):
+    n = len(vectors)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool))],
+        names=["class", "code", "sketch", "ball"],
+    )
+    stored, looked = [set() for _ in range(n)], [set() for _ in range(n)]
+    for made in lattice.cells(plan)([batch]):
+        for key, i, is_stored in zip(*(made.column(k).to_pylist() for k in (0, 1, 4)), strict=True):
+            (stored if is_stored else looked)[i].add(key)
+    return stored, looked
+
+
+def test_unrelated_vectors_meet_as_few_in_larger_tables():
+    per_vector = {}
+    for n in (2_000, 5_000, 20_000):
+        vectors = np.random.default_rng(n).normal(size=(n, 64))
+        keys, where = [[], []], [[], []]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n)), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool))],
+            names=["class", "code", "sketch", "ball"],
+        )
+        for made in lattice.cells(lattice.plan_for(n))([batch]):
+            stored = made.column(4).to_numpy(zero_copy_only=False)
+            for side, at in enumerate((stored, ~stored)):
+                keys[side].append(made.column(0).to_numpy()[at])
+                where[side].append(made.column(1).to_numpy()[at])
+        own, looked = (np.concatenate(k) for k in keys)
+        own.sort()
+        met = (np.searchsorted(own, looked, "right") - np.searchsorted(own, looked)).sum() - len(own)  # less each vector's own cells
+        per_vector[n] = met / n
+    assert max(per_vector.values()) <= 2 * per_vector[2_000], per_vector
+
+
+def test_a_larger_table_is_linked_as_a_small_one(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in rng.normal(size=64)]) for i in range(400)]
+    rows += [(1000 + k, near_copies(rng, np.array(rows[k][1]), 1, 0.2)[0]) for k in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, _ = brute(rows)
+    monkeypatch.setattr(lattice, "PLANS", lattice.PLANS[2:])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(frame).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
