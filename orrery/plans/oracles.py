@@ -307,6 +307,34 @@ SELECT * FROM (VALUES (0, 'expect_column_values_to_be_between', 'c_acctbal', (SE
 
 OTHER = {
     "str1_event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL",
+    "win2_means_of_many_series": """
+WITH d AS (
+    SELECT user_id, event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS events FROM events GROUP BY 1, 2, 3
+), w AS (
+    SELECT *, sum(cents) OVER (PARTITION BY user_id, event_type ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS recent,
+           least(30, day - min(day) OVER (PARTITION BY user_id, event_type) + 1) AS divisor
+    FROM d
+)
+SELECT user_id, event_type, day, cents, events, round(CAST(recent AS DOUBLE) / divisor, 6) AS mean_cents FROM w""",
+    "win10_totals_of_many_series": """
+SELECT event_id, ts, event_type, CAST(round(value * 100) AS BIGINT) AS cents,
+       CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_cents
+FROM events""",
+    "agg7_modes_of_all_values": """
+WITH k AS (
+    SELECT o_orderpriority, o_orderkey AS v, count(*) AS n FROM orders GROUP BY ALL
+), c AS (
+    SELECT o_orderpriority, o_custkey % 500 AS v, count(*) AS n FROM orders GROUP BY ALL
+), s AS (
+    SELECT o_orderpriority, o_orderstatus AS v, count(*) AS n FROM orders GROUP BY ALL
+), p AS (
+    SELECT DISTINCT o_orderpriority FROM orders
+)
+SELECT o_orderpriority,
+       (SELECT k.v FROM k WHERE k.o_orderpriority = p.o_orderpriority ORDER BY k.n DESC, k.v LIMIT 1) AS common_key,
+       (SELECT c.v FROM c WHERE c.o_orderpriority = p.o_orderpriority ORDER BY c.n DESC, c.v LIMIT 1) AS common_customer,
+       (SELECT s.v FROM s WHERE s.o_orderpriority = p.o_orderpriority ORDER BY s.n DESC, s.v LIMIT 1) AS common_status
+FROM p""",
     "win7_keep_first": """
 SELECT * EXCLUDE (r) FROM (SELECT l_orderkey || '-' || l_linenumber AS line, * EXCLUDE (l_orderkey, l_linenumber), row_number() OVER (PARTITION BY l_orderkey, l_linenumber
     ORDER BY l_shipdate DESC, l_extendedprice DESC, l_discount, l_linestatus, l_partkey, l_quantity, l_returnflag, l_suppkey, l_tax) AS r FROM lineitem) WHERE r = 1""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, portfolio, quality
+from ..operators import cleaning, many_series, portfolio, quality, series
 from ..streaming import windows
 from . import cards, gold, oracles, roles, roundtrips
 
@@ -51,6 +51,26 @@ def win7_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.keep_first(keyed.drop("l_orderkey", "l_linenumber"), "line", ("l_shipdate", "l_extendedprice"))
 
 
+def win2_means_of_many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30-day means of the events of each user and kind."""
+    events = roles.read(spark, sf_dir, "events")
+    daily = events.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.count("*").alias("events"))
+    means = many_series.rolling_calendar_means(daily, ("user_id", "event_type"), "day", "cents", "mean_cents", segment_days=45)
+    return means.withColumn("mean_cents", F.round("mean_cents", 6))
+
+
+def win10_totals_of_many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running total of each kind of events."""
+    events = roles.read(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return many_series.running_totals(events, ("event_type",), ("ts", "event_id"), F.trunc("ts", "week"), "cents", "running_cents")
+
+
+def agg7_modes_of_all_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes by order priority, of a column with as many values as rows and of others."""
+    orders = roles.read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", (F.col("o_custkey") % 500).alias("customer"), "o_orderstatus")
+    return series.modes(orders, "o_orderpriority", {"o_orderkey": "common_key", "customer": "common_customer", "o_orderstatus": "common_status"})
+
+
 def agg18_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.totals(gold.on_test_tables("gold_loss_ratio_monthly", spark, sf_dir))
 
@@ -73,7 +93,7 @@ def str1_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.counts_by_window(roles.read(spark, sf_dir, "events"))
 
 
-_OTHERS = (str1_event_windows, slv1_claims, slv2_policies, slv3_accidents, dq_claims_violations, dq_bounds_on_customers, win7_keep_first, agg18_totals, prj4_renamed_columns)
+_OTHERS = (str1_event_windows, slv1_claims, slv2_policies, slv3_accidents, dq_claims_violations, dq_bounds_on_customers, win7_keep_first, win2_means_of_many_series, win10_totals_of_many_series, agg7_modes_of_all_values, agg18_totals, prj4_renamed_columns)
 
 QUERIES: dict[str, Query] = (
     {key: _gold(name) for key, name in GOLD_IDS.items()}

@@ -141,18 +141,24 @@ def src13_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refused.groupBy("reason").agg(F.count("*").alias("records"), F.sum(F.octet_length("record")).alias("bytes"))
 
 
+def _dropped(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df, and the catalog without the table of that name; its files, which df reads, stay."""
+    spark.sql(f"DROP TABLE {name}")
+    return df
+
+
 def snk1_table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is replaced with another schema, and read from the catalog."""
     path, name = scratch(spark), f"orrery_{uuid.uuid4().hex}"
     sinks.save(spark.range(3), name, path=path)
     sinks.save(roles.read(spark, sf_dir, "nation"), name, path=path)
-    return spark.table(name)
+    return _dropped(spark, spark.table(name), name)
 
 
 def src12_stored_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    sinks.save(roles.read(spark, sf_dir, "customer"), f"orrery_{uuid.uuid4().hex}", path=path)
-    return readers.read_stored(spark, path)
+    path, name = scratch(spark), f"orrery_{uuid.uuid4().hex}"
+    sinks.save(roles.read(spark, sf_dir, "customer"), name, path=path)
+    return _dropped(spark, readers.read_stored(spark, path), name)
 
 
 def snk5_placed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +194,8 @@ def snk4_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     for table, name in names.items():
         sinks.save(roles.read(spark, sf_dir, name), table, path=scratch(spark))
     loaded = sinks.load_all(spark, list(names), options)
+    for table in names:
+        spark.sql(f"DROP TABLE {table}")
     return spark.createDataFrame([(names[table], rows) for table, rows in loaded.items()], "table_name STRING, loaded BIGINT")
 
 

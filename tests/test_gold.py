@@ -1,6 +1,8 @@
 import datetime as dt
 
-from orrery.operators import density, portfolio, series
+from pyspark.sql import functions as F
+
+from orrery.operators import density, many_series, portfolio, series
 
 D = dt.date
 CLAIM = "claim_datetime date, total_claim_amount long, injury_claim_amount long, property_claim_amount long, vehicle_claim_amount long, incident_hour int, driver_age double"
@@ -98,3 +100,25 @@ def test_modes_of_columns_with_as_many_values_as_rows(spark):
     df = df.unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS g, CAST(7 AS bigint) AS every, 'x' AS two, 1 AS never"))
     got = {r.g: (r.e, r.t, r.n) for r in series.modes(df, "g", {"every": "e", "two": "t", "never": "n"}).collect()}
     assert got == {0: (10, "0", None), 1: (11, "1", None), 2: (12, "0", None), None: (7, "x", 1)}
+
+
+def test_windows_over_many_series_need_no_single_partition(spark):
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=3 * i + (k or 0)), i * 7 % 11 + 1) for k in (1, 2, None) for i in range(120)] + [(1, None, 5)]
+    df = spark.createDataFrame(rows, "k int, day date, v long").repartition(5)
+    for size in (7, 30, 400):
+        got = many_series.rolling_calendar_means(df, ("k",), "day", "v", "m", days=30, segment_days=size)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+        found = {(r.k, r.day): r.m for r in got.collect()}
+        assert len(found) == len(rows)
+        for k, day, _ in rows:
+            if day is None:
+                assert found[k, day] is None
+                continue
+            first = min(d for x, d, _ in rows if x == k and d)
+            recent = sum(v for x, d, v in rows if x == k and d and dt.timedelta(0) <= day - d < dt.timedelta(days=30))
+            assert abs(found[k, day] - recent / min(30, (day - first).days + 1)) < 1e-9
+    dated = df.where("day IS NOT NULL")
+    got = many_series.running_totals(dated, ("k",), ("day",), F.trunc("day", "month"), "v", "t")
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert all(r.t == sum(v for x, d, v in rows if x == r.k and d and d <= r.day) for r in got.collect())
