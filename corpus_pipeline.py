@@ -78,6 +78,7 @@ ORACLE_SQL = None
 
 
 def _removed(spark: SparkSession, path: str) -> None:
+    """Delete a stage's files, wherever they are; by the JVM's file systems, so not over Spark Connect."""
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
