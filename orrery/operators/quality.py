@@ -73,26 +73,45 @@ SUITES: dict[str, tuple[Expectation, ...]] = {
 }
 
 
+def _counted(df: DataFrame, suite: Sequence[Expectation]) -> tuple[dict[int, int], list[int]]:
+    """What breaks each null or range check, and the uniqueness checks in which some hash is met twice; all
+    from one scan and one exchange, in which a value to be unique is the 8 bytes of its hash."""
+    direct = {i: x for i, x in enumerate(suite) if not isinstance(x, Unique)}
+    unique = {i: x for i, x in enumerate(suite) if isinstance(x, Unique)}
+    broken = [x.broken().alias(f"b{i}") for i, x in direct.items()]
+    if not unique:
+        row = df.agg(F.lit(0).alias("b"), *broken).first()
+        return {i: row[f"b{i}"] for i in direct}, []
+    hashed = df.withColumns({f"h{i}": F.when(F.col(x.column).isNotNull(), F.xxhash64(x.column)) for i, x in unique.items()})
+    names = [f"h{i}" for i in unique]
+    groups = hashed.groupingSets([*([n] for n in names), []], *names).agg(F.count("*").alias("n"), F.grouping_id().alias("which"), *broken)
+    full = (1 << len(names)) - 1  # the bit of a set's own column is clear
+    twice = [F.count_if((F.col("which") == full - (1 << (len(names) - 1 - k))) & F.col(n).isNotNull() & (F.col("n") > 1)).alias(n) for k, n in enumerate(names)]
+    row = groups.agg(F.lit(0).alias("b"), *twice, *[F.max(F.when(F.col("which") == full, F.col(f"b{i}"))).alias(f"b{i}") for i in direct]).first()
+    return {i: row[f"b{i}"] or 0 for i in direct}, [i for i in unique if row[f"h{i}"]]
+
+
+def _met_twice(df: DataFrame, column: str) -> DataFrame:
+    """broken: how many values of the column are there twice or more. Only rows whose hash is met twice
+    are grouped by the value itself."""
+    hashed = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.xxhash64(column).alias("h"))
+    twice = hashed.groupBy("h").count().where(F.col("count") > 1).select("h")
+    return hashed.join(twice, "h", "left_semi").groupBy("value").count().agg(F.count_if(F.col("count") > 1).alias("broken"))
+
+
 def violations(df: DataFrame, suite: Sequence[Expectation]) -> DataFrame:
     """check (number in the suite), expectation, column_name, broken: the rows or values that
-    break each. Null and range checks share one aggregate; a uniqueness check counts per value,
-    combined map-side. Nothing is cached, and only the named columns are read."""
+    break each. One scan of the named columns makes all checks: counts for nulls and ranges, and, for values
+    to be unique, whether a hash is met twice, which no equal values escape. Only where one is are
+    the values themselves counted. The driver gets a number for each check. Nothing is cached."""
     spark = df.sparkSession
-    direct = [(i, x) for i, x in enumerate(suite) if not isinstance(x, Unique)]
-    frames = []
-    if direct:
-        one = df.agg(*[x.broken().alias(f"b{i}") for i, x in direct])
-        cells = [F.struct(F.lit(i).alias("check"), F.lit(x.kind).alias("expectation"), F.lit(x.column).alias("column_name"), F.col(f"b{i}").alias("broken")) for i, x in direct]
-        frames.append(one.select(F.inline(F.array(*cells))))
-    for i, x in enumerate(suite):
-        if isinstance(x, Unique):
-            twice = df.where(F.col(x.column).isNotNull()).groupBy(x.column).count().agg(F.count_if(F.col("count") > 1).alias("broken"))
-            frames.append(twice.select(F.lit(i).alias("check"), F.lit(x.kind).alias("expectation"), F.lit(x.column).alias("column_name"), "broken"))
-    if not frames:
-        return spark.createDataFrame([], "check int, expectation string, column_name string, broken long")
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
+    counts, doubtful = _counted(df, suite) if suite else ({}, [])
+    counts |= {i: 0 for i, x in enumerate(suite) if isinstance(x, Unique) and i not in doubtful}
+    rows = [(i, suite[i].kind, suite[i].column, broken) for i, broken in sorted(counts.items())]
+    out = spark.createDataFrame(rows, "check int, expectation string, column_name string, broken long")
+    for i in doubtful:
+        x = suite[i]
+        out = out.unionByName(_met_twice(df, x.column).select(F.lit(i).alias("check"), F.lit(x.kind).alias("expectation"), F.lit(x.column).alias("column_name"), "broken"))
     return out
 
 

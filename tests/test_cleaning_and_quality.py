@@ -121,3 +121,12 @@ def test_the_first_of_a_key_equals_the_ranking(spark):
         assert "Window" not in plan and "Sort" not in plan and plan.count("ObjectHashAggregate") == 2
         assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), best
     assert cleaning.keep_first(df, "k", ("s",)).count() == 4  # texts can't be turned round
+
+
+def test_uniqueness_by_hashes(spark):
+    df = spark.sql("SELECT id, id % 100 AS k, if(id % 3 = 0, NULL, cast(id AS string)) AS s, cast(id AS double) AS v FROM range(1000)")
+    suite = (quality.Unique("k"), quality.NotNull("s"), quality.Unique("s"), quality.Between("v", 10, 899), quality.Unique("id"))
+    got = {r.check: r.broken for r in quality.violations(df, suite).collect()}
+    assert got == {0: 100, 1: 334, 2: 0, 3: 110, 4: 0}
+    empty = {r.check: r.broken for r in quality.violations(df.limit(0), suite).collect()}
+    assert empty == dict.fromkeys(range(5), 0) and quality.violations(df, ()).count() == 0
