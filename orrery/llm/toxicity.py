@@ -347,9 +347,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id are scored; they are not held out, and, as no label is theirs, teach nothing."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = with_score(pick(docs, doc_id="doc_id", text="text"), model, drop=["text"])
     return scored.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -116,3 +116,14 @@ def test_strange_columns(spark):
     assert kept.columns == docs.columns and {90, 91} <= {r.doc_id for r in kept.collect()}
     assert sum(r.doc_id == 91 for r in kept.collect()) == 2
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    words = vocabulary()
+    rows = list(enumerate(texts(40, 7, words, BAD) + texts(40, 8, words))) + [(None, "grumbolt"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op6_subword_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 82 and [r.held_out for r in got if r.doc_id is None] == [False, False]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
