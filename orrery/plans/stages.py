@@ -30,6 +30,8 @@ POLICY_SPECS = [{"name": name, "alias": alias} for name, alias in POLICY_NAMES]
 def session(settings: Settings, name: str = "orrery") -> SparkSession:
     made = SparkSession.builder.appName(name).config("spark.sql.warehouse.dir", settings.warehouse)
     made = made.config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    # keys whose rows a task of a deduplication holds before it sorts instead: some 50 MB
+    made = made.config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "50000")
     if settings.master:
         made = made.master(settings.master)
     if settings.shuffle_partitions:
