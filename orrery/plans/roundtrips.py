@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, quality, tools
-from ..sources import bulk, readers, sinks
+from ..sources import bulk, readers, shared, sinks
 from ..sources.config import Settings
 from . import roles
 
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 #: Bytes of a range in the scans of single files here; some of the files are small.
 PIECE = 8_192
+#: Tasks that read a database table side by side.
+READERS = 8
 SUPPLIER = "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE"
 
 
@@ -30,13 +32,30 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        if not _one_process(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="orrery-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     return f"{named}/roundtrip-{uuid.uuid4().hex}"
 
 
+def _one_process(spark: SparkSession) -> bool:
+    """Whether the session's tasks run in the driver's own JVM."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def _embedded() -> dict[str, str]:
+    """Options of a new JDBC database, which lives in this process."""
+    return {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": DERBY}
+
+
+def _warehouse(spark: SparkSession) -> shared.Warehouse:
+    """A new database that all executors reach: a file in the shared folder. Spark's jars hold no JDBC
+    driver for one that more than one process can open."""
+    return shared.Warehouse(f"{shared.local_path(scratch(spark))}.db")
+
+
 def src1_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     roles.read(spark, sf_dir, "supplier").write.option("header", True).csv(path)
@@ -88,10 +107,15 @@ def src5_gzip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src6_jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A warehouse load and a read by key ranges, over a database in this process; so the session
-    must be local."""
-    options = {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": DERBY}
+    """A warehouse load and a read by key ranges: by JDBC over a database in this process, or, where
+    executors are processes of their own, over one in the shared folder."""
     supplier = roles.read(spark, sf_dir, "supplier")
+    if not _one_process(spark):
+        warehouse = _warehouse(spark)
+        again = [warehouse.load(supplier, "supplier") for _ in range(2)][1]  # replaces the rows
+        keys = warehouse.read(spark, "supplier", warehouse.row_ranges("supplier", READERS), '"s_suppkey"')
+        return warehouse.read(spark, "supplier", readers.balanced_predicates(keys, '"s_suppkey"', 3)).withColumn("loaded", F.lit(again).cast("long"))
+    options = _embedded()
     loaded = sinks.load_jdbc(supplier, "supplier", options)
     again = sinks.load_jdbc(supplier, "supplier", options)  # replaces the rows
     read = Settings(mode="databases", jdbc_url=options["url"], jdbc_driver=options["driver"], jdbc_table="supplier", jdbc_split=("s_suppkey", 0, max(1, loaded), 3))
@@ -100,12 +124,17 @@ def src6_jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src6_balanced_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items by a key that is dense at one end, read in eight ranges of as many rows each. The
-    database is in this process, so the session must be local."""
-    options = {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": DERBY}
+    """Line items by a key that is dense at one end, read in eight ranges of as many rows each; from a
+    database in this process by JDBC, or from one in the folder that executors share."""
     lines = roles.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * F.col("l_orderkey")).alias("k"), "l_linenumber", "l_quantity", "l_returnflag")
+    if not _one_process(spark):
+        warehouse = _warehouse(spark)
+        warehouse.load(lines, "line")
+        keys = warehouse.read(spark, "line", warehouse.row_ranges("line", READERS), '"k"')
+        return warehouse.read(spark, "line", readers.balanced_predicates(keys, '"k"', READERS))
+    options = _embedded()
     sinks.load_jdbc(lines, "line", options)
-    read = Settings(mode="databases", jdbc_url=options["url"], jdbc_driver=DERBY, jdbc_table="line", jdbc_balance=('"k"', 8))
+    read = Settings(mode="databases", jdbc_url=options["url"], jdbc_driver=DERBY, jdbc_table="line", jdbc_balance=('"k"', READERS))
     found = readers.read_jdbc(spark, read)
     return found.toDF(*[name.lower() for name in found.columns])
 
@@ -169,31 +198,35 @@ def snk5_placed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snk3_whole_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that are loaded, loaded again by a run that fails half way, and by one that doesn't: what
-    readers see after each. The database is in this process, so the session must be local."""
-    options = {"url": f"jdbc:derby:memory:orrery{uuid.uuid4().hex};create=true", "driver": DERBY}
+    readers see after each. The database is in this process, or in the folder that executors share."""
     part = roles.read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
     dearer = part.withColumn("p_retailprice", F.col("p_retailprice") * 2)
     broken = dearer.repartition(4).withColumn("p_brand", F.when(F.col("p_partkey") % 50 == 7, F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("p_brand")))
+    options, warehouse = (_embedded(), None) if _one_process(spark) else ({}, _warehouse(spark))
     seen = []
     for step, rows in enumerate((part, broken, dearer)):
         try:
-            sinks.load_whole(rows, "part", options)
+            warehouse.load_whole(rows, "part") if warehouse else sinks.load_whole(rows, "part", options)
         except Exception as error:
             if "broken" not in str(error):
                 raise
-        found = spark.read.format("jdbc").options(**options, dbtable="part").load()
+        found = warehouse.read(spark, "part") if warehouse else spark.read.format("jdbc").options(**options, dbtable="part").load()
         seen.append(found.groupBy("p_brand").agg(F.count("*").alias("rows"), F.round(F.sum("p_retailprice"), 2).alias("price")).withColumn("step", F.lit(step)).collect())
     return spark.createDataFrame([r for rows in seen for r in rows], "p_brand STRING, rows BIGINT, price DOUBLE, step INT")
 
 
 def snk4_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several tables of the catalog into a warehouse in this process; the rows that each load wrote."""
+    """Several tables of the catalog into a warehouse, in this process or in the folder that executors
+    share; the rows that each load wrote."""
     mark = f"orrery{uuid.uuid4().hex}"
-    options = {"url": f"jdbc:derby:memory:{mark};create=true", "driver": DERBY}
     names = {f"{mark}_{name}": name for name in ("nation", "region", "supplier")}
     for table, name in names.items():
         sinks.save(roles.read(spark, sf_dir, name), table, path=scratch(spark))
-    loaded = sinks.load_all(spark, list(names), options)
+    if _one_process(spark):
+        loaded = sinks.load_all(spark, list(names), _embedded())
+    else:
+        warehouse = _warehouse(spark)
+        loaded = sinks.load_all(spark, list(names), {}, lambda df, name, _: warehouse.load_whole(df, name))
     for table in names:
         spark.sql(f"DROP TABLE {table}")
     return spark.createDataFrame([(names[table], rows) for table, rows in loaded.items()], "table_name STRING, loaded BIGINT")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from itertools import chain
 
 import pyarrow as pa
@@ -167,7 +167,7 @@ def _cut(kind, starts, fragments: bool):
     and ends (place 1). leads marks the first of a file."""
 
     def walk(key, units):
-        s: Start = starts.value[key]
+        s = Start(*starts.value[key])
         inside, depth = s.inside, s.depth
         begun = not s.first and (inside or depth != s.level)
         leads, held = s.first, []
@@ -236,7 +236,7 @@ def record_texts(spark: SparkSession, path: str, kind: str, split_bytes: int | N
     ranges = units.mapInArrow(_scanned(machine), SCAN).limit(MOST_RANGES + 1).collect()
     if len(ranges) > MOST_RANGES:
         raise ValueError(f"{path} has over {MOST_RANGES} ranges; raise spark.sql.files.maxPartitionBytes")
-    starts = own.sparkContext.broadcast(composed(ranges, machine.nested))
+    starts = own.sparkContext.broadcast({key: astuple(s) for key, s in composed(ranges, machine.nested).items()})
     whole = units.mapInArrow(_cut(machine, starts, False), CUT).select("value", "leads")
     parts = units.mapInArrow(_cut(machine, starts, True), CUT)
     before = Window.partitionBy("file").orderBy("start", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
