@@ -160,6 +160,34 @@ def test_the_screen_clears_what_holds_nothing(tagger):
     assert missed <= 0.02 * sum(len(f[1]) for f in full)
 
 
+def test_every_window_is_read(tagger, monkeypatch):
+    model, words = tagger
+    draw, read = random.Random(7), []
+    seen = model.network.emissions
+    monkeypatch.setattr(model.network, "emissions", lambda ids: read.append(ids.shape[1]) or seen(ids))
+    texts = ["", "x", *(" ".join(draw.choices(words, k=n)) for n in (5, 300, 3000))]
+    found = model.runs(texts)
+    step = pii.WINDOW - pii.OVERLAP
+    assert len(found) == len(texts) and sum(read) == sum(max(1, -(-(len(t) - pii.OVERLAP) // step)) for t in texts)
+    again = pii.Tagger.of(model.numbers())
+    assert all(len(a) == len(b) for a, b in zip(again.runs(texts), found, strict=True))
+
+
+def test_search_between_sure_places_equals_the_whole(tagger, monkeypatch):
+    model, _ = tagger
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 40, 200)
+    offset = np.cumsum(size) - size
+    for scale in (0.5, 3.0, 12.0):
+        score = rng.normal(0, scale, (int(size.sum()), pii.TAGS)).astype(np.float32)
+        score[:, 0] += scale * rng.integers(0, 4, len(score))
+        got = model._best(score, offset, size)
+        with monkeypatch.context() as whole:
+            whole.setattr(pii.Tagger, "_sure", lambda self, score: np.zeros(len(score), bool))
+            want = model._best(score, offset, size)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
 def test_strange_words_cost_no_quadratic_time():
     assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
     assert pii.base_spans("9" * 5000 + ".1.1.1") == []
