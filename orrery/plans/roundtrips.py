@@ -19,8 +19,10 @@ from ..sources.config import Settings
 from . import roles
 
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-#: Bytes of a range in the scans of single files here; some of the files are small.
+#: Bytes of a range in the scans of single files here, at least; some of the files are small.
 PIECE = 8_192
+#: Ranges of such a file for each core; they get longer with the file, up to Spark's own length.
+RANGES = 3
 #: Tasks that read a database table side by side.
 READERS = 8
 SUPPLIER = "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE"
@@ -80,12 +82,18 @@ def _one_text_file(lines: DataFrame, path: str, head: str = "", between: str = "
     return path
 
 
+def _range_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a range of the files at path: as many ranges as keep the cores busy, whatever the size."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return min(max(PIECE, size // (RANGES * spark.sparkContext.defaultParallelism) + 1), 128 << 20)
+
+
 def src2_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file that is an array of objects, its ranges read side by side."""
     customer = roles.read(spark, sf_dir, "customer")
     objects = customer.select(F.to_json(F.struct("c_custkey", F.struct("c_name", "c_nationkey", "c_acctbal").alias("of"), F.concat(F.lit("}{\"["), "c_mktsegment").alias("c_mktsegment"))))
     path = _one_text_file(objects, scratch(spark), "[", ",", "]")
-    found = readers.read_file(spark, path, "json", multiline=True, schema="c_custkey BIGINT, of STRUCT<c_name: STRING, c_nationkey: INT, c_acctbal: DOUBLE>, c_mktsegment STRING", split_bytes=PIECE)
+    found = readers.read_file(spark, path, "json", multiline=True, schema="c_custkey BIGINT, of STRUCT<c_name: STRING, c_nationkey: INT, c_acctbal: DOUBLE>, c_mktsegment STRING", split_bytes=_range_bytes(spark, path))
     return found.select("c_custkey", "of.*", "c_mktsegment")
 
 
@@ -95,7 +103,7 @@ def src4_multiline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = roles.read(spark, sf_dir, "part").select("p_partkey", note.alias("note"), "p_size")
     path = scratch(spark)
     part.coalesce(1).write.option("header", True).csv(path)
-    return readers.read_file(spark, path, "csv", multiline=True, schema="p_partkey BIGINT, note STRING, p_size INT", split_bytes=PIECE)
+    return readers.read_file(spark, path, "csv", multiline=True, schema="p_partkey BIGINT, note STRING, p_size INT", split_bytes=_range_bytes(spark, path))
 
 
 def src5_gzip_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +165,8 @@ def damaged_orders(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _bulk_loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return bulk.bulk_load(spark, damaged_orders(spark, sf_dir), ORDERS, scratch(spark), ("o_orderkey",), 64 * PIECE)
+    path = damaged_orders(spark, sf_dir)
+    return bulk.bulk_load(spark, path, ORDERS, scratch(spark), ("o_orderkey",), max(64 * PIECE, _range_bytes(spark, path)))
 
 
 def src13_bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:

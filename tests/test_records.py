@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.plans import roundtrips
 from orrery.sources import readers, records
 
 CSV = "k INT, a STRING, b STRING, v DOUBLE"
@@ -62,6 +63,19 @@ def test_json_arrays_equal_the_reader(spark, tmp_path, form):
     assert same(read, want) and read.count() == 300
 
 
+def test_ranges_grow_with_the_file(spark, tmp_path):
+    counts = []
+    for size in (1 << 20, 8 << 20):
+        (tmp_path / f"{size}").mkdir()
+        line = "x" * 99 + "\n"
+        (tmp_path / f"{size}" / "a.csv").write_text(line * (size // len(line)))
+        path = str(tmp_path / f"{size}")
+        made = records.with_range_bytes(spark, roundtrips._range_bytes(spark, path))
+        counts.append(made.read.text(path).rdd.getNumPartitions())
+    most = roundtrips.RANGES * spark.sparkContext.defaultParallelism
+    assert 1 < counts[0] <= most and 1 < counts[1] <= most
+
+
 def test_steps_from_either_state():
     csv, js = records.KINDS["csv"], records.KINDS["json"]
     assert csv.step('a,"b', False) == (True, 0) and csv.step('b",c', True) == (False, 0) and csv.step('a"b', False) == (False, 0)
