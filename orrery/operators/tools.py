@@ -52,6 +52,15 @@ def _differs(a: Column, b: Column, kind: T.DataType, tolerance: float) -> Column
     return ~a.eqNullSafe(b)
 
 
+def early_difference(old: DataFrame, new: DataFrame, name: str) -> str | None:
+    """What first_difference says of two tables whose schema or number of rows differs, told without
+    numbering their rows; else None."""
+    if old.schema.simpleString() != new.schema.simpleString():
+        return f"{name}: schema"
+    counts = old.count(), new.count()
+    return None if counts[0] == counts[1] else f"{name}: {counts[0]} rows, {counts[1]} rows"
+
+
 def first_difference(old: DataFrame, new: DataFrame, name: str, tolerance: float = TOLERANCE) -> DataFrame:
     """One row, differs: what differs first between two tables whose rows are numbered (`place`): their
     schema, their number of rows, or the columns of the first row that differs; empty if nothing does.

@@ -276,7 +276,11 @@ def tls2_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "type": lines.withColumn("share", F.col("share").cast("float")),
     }
     old = sinks.placed(lines, scratch(spark))
-    found = [tools.first_difference(old, sinks.placed(df, scratch(spark)), "t").withColumn("copy", F.lit(name)) for name, df in altered.items()]
+    found = []
+    for name, df in altered.items():
+        early = tools.early_difference(lines, df, "t")  # rows are numbered only where their values decide
+        differs = tools.first_difference(old, sinks.placed(df, scratch(spark)), "t") if early is None else spark.range(1).select(F.lit(early).alias("differs"))
+        found.append(differs.withColumn("copy", F.lit(name)))
     return reduce(DataFrame.unionByName, found)
 
 

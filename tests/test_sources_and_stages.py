@@ -209,6 +209,15 @@ def test_places_and_first_differences(spark, tmp_path, monkeypatch):
         sinks.snapshot(df)
 
 
+def test_rows_that_differ_are_numbered_without_a_shuffle(spark, tmp_path):
+    df = spark.range(500).selectExpr("(id * 37) % 500 AS k", "CAST(id AS STRING) AS s").repartition(5)
+    got = sinks.placed(df, f"{tmp_path}/a")
+    assert [(r.place, r.k) for r in got.orderBy("place").collect()] == [(k, k) for k in range(500)]
+    assert "ENSURE_REQUIREMENTS" not in got.select("place", "s")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert tools.early_difference(df, df.limit(7), "t") == "t: 500 rows, 7 rows" and tools.early_difference(df, df.repartition(2), "t") is None
+    assert tools.early_difference(df, df.select("s"), "t") == "t: schema"
+
+
 def test_balanced_reads(spark):
     keys = spark.range(4000).selectExpr("id * id AS k").unionByName(spark.sql("SELECT CAST(9 AS BIGINT) AS k FROM range(700)")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k FROM range(50)"))
     found = readers.balanced_predicates(keys, "k", 8)
