@@ -188,6 +188,40 @@ def test_search_between_sure_places_equals_the_whole(tagger, monkeypatch):
         assert all((a == b).all() for a, b in zip(got, want, strict=True))
 
 
+def test_few_places_are_left_to_the_search(tagger, monkeypatch):
+    model, words = tagger
+    draw, searched = random.Random(11), []
+    plain = model._search
+    monkeypatch.setattr(model, "_search", lambda score, offset, size, tags: searched.append(int(size.sum())) or plain(score, offset, size, tags))
+    texts = [" ".join(draw.choices([*words, "1999", "3.5", "at"], k=2000)) for _ in range(10)]
+    model.runs(texts)
+    assert sum(searched) <= 0.01 * sum(map(len, texts))
+
+
+def test_long_stretches_are_searched_in_pieces(tagger, monkeypatch):
+    """Against a search step by step; no search takes more steps than a piece has."""
+    model, _ = tagger
+    move = model.network.p["move"].astype(np.float64)
+    monkeypatch.setattr(pii, "PIECES", 5)
+    steps, ahead = [], model._ahead
+    monkeypatch.setattr(model, "_ahead", lambda score, begin, size, entry: steps.append(int(size.max())) or ahead(score, begin, size, entry))
+    rng = np.random.default_rng(6)
+    size = np.array([1, pii.PIECE - 1, 1500, pii.PIECE, pii.PIECE + 1, 2 * pii.PIECE, 2, 700, 1])
+    offset = np.cumsum(size) - size
+    for scale in (0.5, 3.0):
+        score = rng.normal(0, scale, (int(size.sum()), pii.TAGS)).astype(np.float32)
+        tags = np.zeros(len(score), np.int8)
+        model._search(score, offset, size, tags)
+        for o, z in zip(offset, size, strict=True):
+            rows, path = score[o : o + z].astype(np.float64), np.concatenate([[0], tags[o : o + z], [0]])
+            best = np.where(np.arange(pii.TAGS) == 0, 0, -np.inf)
+            for row in rows:
+                best = (best[:, None] + move).max(axis=0) + row
+            got = rows[np.arange(z), path[1:-1]].sum() + move[path[:-1], path[1:]].sum()
+            assert abs(got - (best + move[:, 0]).max()) < 1e-3
+    assert max(steps) == pii.PIECE
+
+
 def test_strange_words_cost_no_quadratic_time():
     assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
     assert pii.base_spans("9" * 5000 + ".1.1.1") == []
