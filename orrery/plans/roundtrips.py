@@ -275,13 +275,8 @@ def tls2_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rows": lines.where("l_orderkey % 50 <> 3"),
         "type": lines.withColumn("share", F.col("share").cast("float")),
     }
-    old = sinks.placed(lines, scratch(spark))
-    found = []
-    for name, df in altered.items():
-        early = tools.early_difference(lines, df, "t")  # rows are numbered only where their values decide
-        differs = tools.first_difference(old, sinks.placed(df, scratch(spark)), "t") if early is None else spark.range(1).select(F.lit(early).alias("differs"))
-        found.append(differs.withColumn("copy", F.lit(name)))
-    return reduce(DataFrame.unionByName, found)
+    found = tools.first_differences(lines, altered, "t", lambda df: sinks.placed(df, scratch(spark)))
+    return reduce(DataFrame.unionByName, [spark.range(1).select(F.lit(differs).alias("differs"), F.lit(name).alias("copy")) for name, differs in found.items()])
 
 
 def _typed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 import pytest
 
 from orrery.operators import tools
-from orrery.plans import cards, gold, stages
+from orrery.plans import cards, gold, roundtrips, stages
 from orrery.sources import bulk, readers, sinks
 from orrery.sources.config import Settings
 from orrery.streaming.windows import counts_by_window
@@ -218,6 +218,69 @@ def test_rows_that_differ_are_numbered_without_a_shuffle(spark, tmp_path):
     assert tools.early_difference(df, df.select("s"), "t") == "t: schema"
 
 
+def test_first_differences_by_key_are_those_of_numbered_rows(spark, tmp_path, monkeypatch):
+    rows = [(None if i % 50 == 7 else f"k{i % 90:02}é", i % 4, None if i % 11 == 3 else i / 7, i % 3 or None) for i in range(400)] + [("k05é", 1, 0.25, 2)] * 9
+
+    def changed(k, **cells):
+        return [tuple(cells.get(c, v) for c, v in zip("abcd", r, strict=True)) if i == k else r for i, r in enumerate(rows)]
+
+    news = {
+        "same": rows[::-1], "near": [(a, b, c and c * (1 + 1e-13), d) for a, b, c, d in rows], "far": [(a, b, c and c * (1 + 1e-7), d) for a, b, c, d in rows],
+        "null": changed(260, d=None), "more": changed(300, a="k05é"), "less": changed(8, a="k91"), "none": changed(200, a=None), "two": changed(350, b=9, c=float("nan")), "rows": rows[1:],
+    }
+
+    def said(columns, some):
+        def ordered(table):
+            picked = [tuple(r["abcd".index(c)] for c in columns) for r in table]
+            return sorted(picked, key=lambda r: [(v is not None, v != v, 0 if v is None or v != v else v) for v in r])
+
+        if len(some) != len(rows):
+            return f"t: {len(rows)} rows, {len(some)} rows"
+        for k, (x, y) in enumerate(zip(ordered(rows), ordered(some), strict=True)):
+            bad = [c for c, v, w in zip(columns, x, y, strict=True) if v != w and not (c == "c" and v and w and abs(v - w) <= 1e-9 * max(abs(v), abs(w)))]
+            if bad:
+                return f"t: row {k}, {', '.join(bad)}"
+        return ""
+
+    def numbered(df):
+        if not may_number:
+            raise AssertionError("rows are numbered")
+        return sinks.placed(df, f"{tmp_path}/{len(list(tmp_path.iterdir()))}")
+
+    def compared(columns, *names):
+        old, *others = (spark.createDataFrame(some, "a string, b int, c double, d long").select(*columns).repartition(3) for some in (rows, *[news[n] for n in names]))
+        assert tools.first_differences(old, dict(zip(names, others, strict=True)), "t", numbered) == {n: said(columns, news[n]) for n in names}
+
+    may_number = False
+    monkeypatch.setattr(tools, "TASK_ROWS", 1_000)
+    compared("abcd", *news)
+    monkeypatch.setattr(tools, "ROUND_ROWS", 150)  # ranges of keys
+    compared("abcd", *news)
+    monkeypatch.setattr(tools, "SHARED_KEY", 40)  # a key of three columns
+    compared("bdac", "same", "near", "more", "none", "two")
+    with pytest.raises(AssertionError, match="numbered"):
+        compared("ca", "same")
+    may_number = True
+    compared("ca", "same", "null", "more")  # fractions come first
+    compared("bc", "near", "two")  # too many rows of a key
+    assert tools.first_differences(spark.range(0), {"x": spark.range(0)}, "t", numbered) == {"x": ""}
+
+
+def test_compared_line_items_are_not_numbered_and_leave_no_shuffle(spark, monkeypatch):
+    def placed(df, path):
+        raise AssertionError("rows are numbered")
+
+    def shuffles():
+        return set(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+
+    monkeypatch.setattr(sinks, "placed", placed)
+    monkeypatch.setattr(tools, "ROUND_ROWS", 2_000)
+    before = shuffles()
+    got = dict((r.copy, r.differs) for r in roundtrips.tls2_differences(spark, "/root/testdata/sf0.001").collect())
+    assert got["same"] == got["near"] == "" and got["type"] == "t: schema" and " rows, " in got["rows"]
+    assert not {f for f in shuffles() - before if "shuffle_" in f}
+
+
 def test_balanced_reads(spark):
     keys = spark.range(4000).selectExpr("id * id AS k").unionByName(spark.sql("SELECT CAST(9 AS BIGINT) AS k FROM range(700)")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k FROM range(50)"))
     found = readers.balanced_predicates(keys, "k", 8)
